@@ -40,14 +40,19 @@ def largest_group(df: DataFrame, keys: list[str]) -> int:
 
 
 def running(
-    df: DataFrame, keys: list[str], order: list[str | Column], aggs: dict[str, tuple[str, Column]]
+    df: DataFrame,
+    keys: list[str],
+    order: list[str | Column],
+    aggs: dict[str, tuple[str, Column]],
+    largest: int | None = None,
 ) -> DataFrame:
     """Adds inclusive running aggregates ``{name: (op, column)}`` per ``keys`` in ``order``.
 
-    ``order`` must be a total order inside a group for the result to be deterministic.
+    ``order`` must be a total order inside a group for the result to be deterministic. ``largest`` spares
+    the size check where the caller knows a bound on every group.
     """
     order = [F.col(o) if isinstance(o, str) else o for o in order]
-    if largest_group(df, keys) <= ONE_TASK_ROWS:
+    if (largest_group(df, keys) if largest is None else largest) <= ONE_TASK_ROWS:
         within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[_FOLD[op](c).over(within).alias(name) for name, (op, c) in aggs.items()])
     return _spread(df, keys, order, aggs)
@@ -83,9 +88,15 @@ def _spread(df: DataFrame, keys: list[str], order: list[Column], aggs: dict[str,
     )
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[str | Column], name: str = "rank") -> DataFrame:
+def ranked(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str | Column],
+    name: str = "rank",
+    largest: int | None = None,
+) -> DataFrame:
     """``row_number()`` per ``keys`` for groups of any size."""
-    return running(df, keys, order, {name: ("sum", F.lit(1).cast("bigint"))})
+    return running(df, keys, order, {name: ("sum", F.lit(1).cast("bigint"))}, largest)
 
 
 def unique_rows(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -64,27 +64,23 @@ def align_lines(lines: DataFrame, by: list[str], rounds: int = 5) -> DataFrame:
             group = [*group, "_nth"]
         same_key = Window.partitionBy(*group)
         line_a, line_b = side_values(same_key, F.col("line_no"))
-        rows = (
-            rows.withColumn("_a", line_a)
-            .withColumn("_b", line_b)
-            .withColumn("_na", F.count(F.when(in_a, 1)).over(same_key))
-            .withColumn("_nb", F.count(F.when(in_b, 1)).over(same_key))
-            .withColumn("_cand", F.col("_open") & (F.col("_na") == 1) & (F.col("_nb") == 1))
-        )
+        one_each = (F.count(F.when(in_a, 1)).over(same_key) == 1) & (F.count(F.when(in_b, 1)).over(same_key) == 1)
+        rows = rows.withColumns({"_a": line_a, "_b": line_b, "_cand": F.col("_open") & one_each})
         # Both sides see the same matches and compute the same blocks.
         gap = [*by, "gap", "side", "_cand"]
         by_b = Window.partitionBy(*gap).orderBy("_b", "line_no")
         by_a = Window.partitionBy(*gap).orderBy("_a", "line_no")
         upto = by_a.rowsBetween(Window.unboundedPreceding, 0)
-        rows = rows.withColumn("_rb", F.row_number().over(by_b)).withColumn("_ra", F.row_number().over(by_a))
-        shift = F.col("_rb") - F.col("_ra")
+        rows = rows.withColumns({"_rb": F.row_number().over(by_b), "_ra": F.row_number().over(by_a)})
         top = F.max("_rb").over(by_a.rowsBetween(Window.unboundedPreceding, -1))
-        rows = (
-            rows.withColumn("_shift", shift)
-            .withColumn("_new_block", (F.lag("_shift").over(by_a) != F.col("_shift")).cast("int"))
-            .withColumn("_new_part", (F.coalesce(top, F.lit(0)) == F.col("_ra") - 1).cast("int"))
-            .withColumn("_block", F.coalesce(F.sum("_new_block").over(upto), F.lit(0)))
-            .withColumn("_part", F.sum("_new_part").over(upto))
+        rows = rows.withColumns(
+            {"_shift": F.col("_rb") - F.col("_ra"), "_new_part": (F.coalesce(top, F.lit(0)) == F.col("_ra") - 1).cast("int")}
+        ).withColumn("_new_block", (F.lag("_shift").over(by_a) != F.col("_shift")).cast("int"))
+        rows = rows.withColumns(
+            {
+                "_block": F.coalesce(F.sum("_new_block").over(upto), F.lit(0)),
+                "_part": F.sum("_new_part").over(upto),
+            }
         )
         block = Window.partitionBy(*gap, "_part", "_block")
         part = Window.partitionBy(*gap, "_part")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from diffloom.functions.paths import base_name
-from diffloom.functions.scan import ranked
+from diffloom.functions.scan import largest_group, ranked
 from diffloom.session import cut
 
 # File modes and the id of the empty blob.
@@ -74,8 +74,10 @@ def pair_renames(changed: DataFrame) -> DataFrame:
     sides = gone.withColumn("side", F.lit("a")).unionByName(new.withColumn("side", F.lit("b")))
     sides = sides.withColumn("name", base_name(F.col("path")))
 
+    largest = largest_group(sides, ["diffset_id", "blob", "side"])
+
     def pair(rows: DataFrame, by: list[str]) -> DataFrame:
-        at = ranked(rows, ["diffset_id", "blob", *by, "side"], ["path"], "rank")
+        at = ranked(rows, ["diffset_id", "blob", *by, "side"], ["path"], "rank", largest)
         pick = lambda side, col: F.max(F.when(F.col("side") == side, F.col(col)))
         return (
             at.groupBy("diffset_id", "blob", *by, "rank")

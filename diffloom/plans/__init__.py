@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["derive", "snapshot_queries", "line_queries"]
+_MODULES = ["derive", "snapshot_queries", "line_queries", "history_queries", "patch_queries"]
 
 
 def all_queries():

@@ -64,7 +64,7 @@ def oracle(sql: str) -> str:
     """``sql`` with the fragments it names prepended as CTEs, in DuckDB's dialect."""
     known = {**FRAGMENTS, **ORACLE_FRAGMENTS}
     ctes = [f"{n} as ({known[n].strip()})" for n in _needed(sql, known)]
-    body = re.sub(r"\{(\w+)\}", r"\1", sql.strip())
+    body = sql.strip()
     text = ("with recursive " + ",\n".join(ctes) + "\n" + body) if ctes else body
     return _dialect(re.sub(r"\{(%s)\}" % "|".join(TABLES), r"\1", text), spark=False)
 
