@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["derive", "snapshot_queries", "line_queries", "history_queries", "patch_queries"]
+_MODULES = ["derive", "snapshot_queries", "line_queries", "history_queries", "patch_queries", "move_queries", "review_queries"]
 
 
 def all_queries():

@@ -65,6 +65,10 @@ def oracle(sql: str) -> str:
     known = {**FRAGMENTS, **ORACLE_FRAGMENTS}
     ctes = [f"{n} as ({known[n].strip()})" for n in _needed(sql, known)]
     body = sql.strip()
+    if body.startswith("with recursive "):
+        ctes, body = [*ctes, body[len("with recursive "):]], ""
+    elif body.startswith("with "):
+        ctes, body = [*ctes, body[len("with "):]], ""
     text = ("with recursive " + ",\n".join(ctes) + "\n" + body) if ctes else body
     return _dialect(re.sub(r"\{(%s)\}" % "|".join(TABLES), r"\1", text), spark=False)
 
