@@ -12,12 +12,11 @@ MERGE_SUBJECT = (
     r"^Merge (?:(?:remote-tracking )?branch(?:es)? '|tags? '|commits? '|pull request #\d+ from "
     r"|(?:(?:[a-z][\w+.-]*://|[\w.-]+(?:@[\w.-]+)?:|/)\S+|\S+ into \S+)$)"
 )
-PULL_URL = (
-    r"(?i)^(?:https?://)?(?:www\.)?github\.com/([\w.-]+)/([\w.-]+)/pull/(\d+)"
-    r"(?:/(?:files|commits(?:/[0-9a-f]{7,40})?))?/?(?:[?#].*)?$"
+PULL_FORMS = (
+    r"^(?:(?i:(?:https?://)?(?:www\.)?github\.com/([\w.-]+)/([\w.-]+)/pull/(\d+)"
+    r"(?:/(?:files|commits(?:/[0-9a-f]{7,40})?))?/?(?:[?#].*)?)"
+    r"|([\w.-]+)/([\w.-]+)#(\d+)|#?(\d+))$"
 )
-PULL_SHORT = r"^([\w.-]+)/([\w.-]+)#(\d+)$"
-PULL_NUMBER = r"^#?(\d+)$"
 REMOTES = [
     r"^https://github\.com/([^/]+)/([^/]+?)(?:\.git)?/?$",
     r"^git@github\.com:([^/]+)/([^/]+?)(?:\.git)?/?$",
@@ -39,15 +38,17 @@ def _matched(text: Column, pattern: str, group: int) -> Column:
 def parse_pull_ref(ref: Column) -> Column:
     """``owner``, ``repo`` (null when none is named) and ``number`` of a pull request; null of anything else."""
     text = F.trim(ref)
-    number = F.coalesce(
-        _matched(text, PULL_URL, 3), _matched(text, PULL_SHORT, 3), _matched(text, PULL_NUMBER, 1)
-    ).try_cast("bigint")
-    parts = F.struct(
-        F.coalesce(_matched(text, PULL_URL, 1), _matched(text, PULL_SHORT, 1)).alias("owner"),
-        F.coalesce(_matched(text, PULL_URL, 2), _matched(text, PULL_SHORT, 2)).alias("repo"),
-        number.alias("number"),
+    # One match of all forms; the groups of the forms that did not match are empty.
+    parts = F.split(F.regexp_replace(text, PULL_FORMS, "$1$4\t$2$5\t$3$6$7"), "\t")
+    named = F.transform(
+        F.filter(F.array(parts), lambda p: (F.size(p) == 3) & text.rlike(PULL_FORMS)),
+        lambda p: F.struct(
+            F.nullif(F.get(p, F.lit(0)), F.lit("")).alias("owner"),
+            F.nullif(F.get(p, F.lit(1)), F.lit("")).alias("repo"),
+            F.get(p, F.lit(2)).try_cast("bigint").alias("number"),
+        ),
     )
-    return F.when((number > 0) & (number <= SAFE_INTEGER), parts)
+    return F.get(F.filter(named, lambda n: (n["number"] > 0) & (n["number"] <= SAFE_INTEGER)), F.lit(0))
 
 
 def parse_remote(url: Column) -> Column:
@@ -145,28 +146,20 @@ def decode_base64(content: Column) -> Column:
 
 def head_from_channel(channel: Column) -> Column:
     """The head commit a page's live-update channel names, or null."""
-    payload = F.expr("try_to_binary('')") if False else F.try_to_binary(F.substring_index(channel, "--", 1), F.lit("base64"))
+    payload = F.try_to_binary(F.substring_index(channel, "--", 1), F.lit("base64"))
     name = F.get_json_object(payload.cast("string"), "$.c")
     return _matched(name, r":commit:([0-9a-f]{40})$", 1)
 
 
-KEY_SCHEMA = (
-    "struct<anchor: struct<side: string, path: string, nodes: array<array<double>>, "
-    "chars: struct<start: double, end: double>>, before: string, after: string, score: double>"
-)
-
-
 def valid_key(json: Column) -> Column:
     """An untrusted key, parsed, or null when any of its fields is malformed.
 
-    Numbers parse as doubles, so a fraction is seen rather than cut off, and a field of a wrong type makes
-    the parse fail instead of reading as absent.
+    The text parses to a variant, so a fraction is seen rather than cut off, and a field of a wrong type is
+    told apart from an absent one.
     """
-    key = F.from_json(json, KEY_SCHEMA, {"mode": "FAILFAST"})
     raw = F.try_parse_json(json)
     kind = lambda path: F.schema_of_variant(F.try_variant_get(raw, path, "variant"))
     present = lambda path: F.try_variant_get(raw, path, "variant").isNotNull()
-    del key
     number = lambda c: (c >= 0) & (c <= SAFE_INTEGER) & (c == F.floor(c))
     text = lambda path: F.when(kind(path) == "STRING", F.try_variant_get(raw, path, "string"))
     nodes = F.try_variant_get(raw, "$.anchor.nodes", "array<array<double>>")

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value: every character a script engine counts as whitespace; both Java and RE2 read it.
+SPACE = r"[\s\x0B\p{Z}\x{FEFF}]"
+SPACES = SPACE + "+"
+
 # A token is a quoted string kept whole, a word run, or any other single character that is
 # not a space; a quote right after a word character is an apostrophe.
 TOKEN = (
     r"(?<![\p{L}\p{N}_])(?:\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`)"
-    r"|[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
+    r"|[\p{L}\p{N}_]+|[^\s\x0B\p{Z}\x{FEFF}\p{L}\p{N}_]"
 )
 WORD = r"[\p{L}_$][\p{L}\p{N}_$]*"
 DISPLAY_WORD = r"[\p{L}\p{N}_$]+"
@@ -17,7 +21,6 @@ COMMENT_MARKER = r"(?m)^[ \t]*(?:\*(?!/)|//+|#)[ \t]*"
 SCAFFOLD = r"^[\s()\[\]{}<>;,]*$"
 JOINER = r"^(?:[.,;()\[\]{}]|\?\.)+$"
 DECIMAL = r"^([+-]?)(\d*)(?:\.(\d*))?(?:[eE]([+-]?\d+))?$"
-SPACES = r"\s+"
 
 
 def line_array(text: Column) -> Column:
@@ -84,31 +87,12 @@ def chars_of(text: Column, first: Column, end: Column) -> Column:
     return F.struct(count(first).alias("start"), count(end).alias("end"))
 
 
-def words_of(text: Column) -> Column:
-    """The words of a text as ranges in its whitespace-skipped characters."""
-    found = F.regexp_extract_all(text, F.lit(DISPLAY_WORD), F.lit(0))
-    breaks = F.split(text, DISPLAY_WORD, -1)
-    sizes = F.transform(
-        found,
-        lambda w, i: F.struct(
-            F.length(solid(F.get(breaks, i))).alias("gap"), F.length(w).alias("size")
-        ),
-    )
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-
-    def push(acc: Column, s: Column) -> Column:
-        at = F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)) + s["gap"]
-        return F.concat(acc, F.array(F.struct(at.alias("start"), (at + s["size"]).alias("end"))))
-
-    return F.aggregate(sizes, empty, push)
-
-
 def display_range(text: Column, start: Column, end: Column) -> Column:
     """Whitespace-skipped offsets back to display offsets, ``end`` exclusive."""
     chars = F.split(text, "", -1)
     offsets = F.filter(
         F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0))),
-        lambda i: (F.length(text) > 0) & ~F.get(chars, i).rlike(r"^\s$"),
+        lambda i: (F.length(text) > 0) & ~F.get(chars, i).rlike(f"^{SPACE}$"),
     )
     last = F.get(offsets, end - 1)
     first = F.coalesce(F.get(offsets, start), F.length(text))

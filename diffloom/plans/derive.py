@@ -50,7 +50,7 @@ from (select doc_id, source, lang,
 where doc_id % 10 <> 1 and doc_id % 19 <> 3""")
 
 # One repository per customer: its orders are the commits.
-fragment("commits", """
+fragment("commit_rows", """
 select cast(o_orderkey as string) sha, o_custkey repo_id, @SECONDS(o_orderdate) time,
        cast(lag(o_orderkey, 1) over w as string) parent1,
        case when o_orderkey % 5 = 0 then cast(lag(o_orderkey, 2) over w as string) end parent2,

@@ -8,7 +8,7 @@ from diffloom.sources import history as SH
 
 
 def commits(d: Data):
-    return d.shared("commits", lambda d: d.commits.select(
+    return d.shared("commits", lambda d: d.commit_rows.select(
         "sha", "repo_id", "time", "seq", "seq_count",
         F.filter(F.array("parent1", "parent2"), lambda p: p.isNotNull()).alias("parents")))
 
@@ -19,18 +19,18 @@ select sha, 'tree '||md5(sha)||chr(10)||coalesce('parent '||parent1||chr(10), ''
  ||'author A U Thor <'||cast(repo_id as string)||'@example.com> '||cast(time as string)||' +0100'||chr(10)
  ||'committer Com Mitter <c@example.com> '||cast(time + 60 as string)||' -0330'||chr(10)||chr(10)
  ||'Subject of '||sha||chr(10)||chr(10)||'parent body line'||chr(10) raw
-from commits""")
+from commit_rows""")
 
 
 @query("s7_parse_commits", """select c.sha, md5(c.sha) tree, concat_ws(',', parent1, parent2) parents,
  'A U Thor <'||cast(repo_id as varchar)||'@example.com> '||cast(time as varchar)||' +0100' author, time + 60 "time",
- 'Subject of '||sha||chr(10)||chr(10)||'parent body line'||chr(10) message from commits c""")
+ 'Subject of '||sha||chr(10)||chr(10)||'parent body line'||chr(10) message from commit_rows c""")
 def _(d):
     c = SH.parse_commits(d.raw_commits)
     return c.select("sha", "tree", F.array_join("parents", ",").alias("parents"), "author", "time", "message")
 
 
-@query("f12_commit_labels", """select sha, substr(md5(sha), 1, 7) short_tree, 'Subject of '||sha subject, 'A U Thor' author_name from commits""")
+@query("f12_commit_labels", """select sha, substr(md5(sha), 1, 7) short_tree, 'Subject of '||sha subject, 'A U Thor' author_name from commit_rows""")
 def _(d):
     from diffloom.functions import text as T
 
@@ -59,7 +59,7 @@ def _(d):
 
 # Pairs: in every repository the newest commit against each of the others by residue.
 fragment("commit_pairs", """
-select a.sha||'-'||b.sha pair_id, a.sha a, b.sha b from commits a join commits b on a.repo_id = b.repo_id
+select a.sha||'-'||b.sha pair_id, a.sha a, b.sha b from commit_rows a join commit_rows b on a.repo_id = b.repo_id
 where a.seq = a.seq_count and b.seq % 3 = 1""")
 
 
@@ -69,26 +69,26 @@ where a.seq = a.seq_count and b.seq % 3 = 1""")
  common as (select pair_id, sha from up group by 1, 2 having count(distinct bit) = 2),
  above as (select c.pair_id, p.parent sha from common c join parents p on p.sha = c.sha
   union select w.pair_id, p.parent from above w join parents p on p.sha = w.sha)
- select q.pair_id, c.sha, k.time from commit_pairs q left join (select * from common anti join above using (pair_id, sha)) c using (pair_id) left join commits k on k.sha = c.sha) x
+ select q.pair_id, c.sha, k.time from commit_pairs q left join (select * from common anti join above using (pair_id, sha)) c using (pair_id) left join commit_rows k on k.sha = c.sha) x
  group by pair_id""")
 def _(d):
     return H.merge_base(commits(d), d.commit_pairs).select("pair_id", F.coalesce("merge_base", F.lit("")).alias("merge_base"))
 
 
-oracle_fragment("parents", "select sha, parent1 parent from commits where parent1 is not null union all select sha, parent2 from commits where parent2 is not null")
+oracle_fragment("parents", "select sha, parent1 parent from commit_rows where parent1 is not null union all select sha, parent2 from commit_rows where parent2 is not null")
 fragment("branch_heads", """
-select h.repo_id branch, h.sha head, b.sha base from commits h left join commits b on b.repo_id = h.repo_id and b.seq = h.seq_count - 8 and h.repo_id % 2 = 0
+select h.repo_id branch, h.sha head, b.sha base from commit_rows h left join commit_rows b on b.repo_id = h.repo_id and b.seq = h.seq_count - 8 and h.repo_id % 2 = 0
 where h.seq = h.seq_count""")
 
 
 @query("t3_branch_commits", """select * from (with recursive w as (select branch, head, base, head sha, 1 place from branch_heads
- union all select w.branch, w.head, w.base, c.parent1, place + 1 from w join commits c on c.sha = w.sha where c.parent1 is not null and c.parent1 is distinct from w.base and place < 50)
+ union all select w.branch, w.head, w.base, c.parent1, place + 1 from w join commit_rows c on c.sha = w.sha where c.parent1 is not null and c.parent1 is distinct from w.base and place < 50)
  select branch, head, sha, place from w) r""")
 def _(d):
     return H.branch_commits(commits(d), d.branch_heads)
 
 
-_SPECS = """select repo_id, sha head, spec from commits cross join (
+_SPECS = """select repo_id, sha head, spec from commit_rows cross join (
  select '@' spec union all select 'main~3' union all select 'main^2' union all select 'main~2^2~1' union all select 'main^^' union all select 'main^0~1') t where seq = seq_count"""
 fragment("rev_specs", _SPECS)
 
@@ -96,8 +96,8 @@ fragment("rev_specs", _SPECS)
 @query("t5_resolve_specs", """select s.repo_id, s.spec, coalesce(case s.spec when '@' then s.head
  when 'main~3' then c3.sha when 'main^2' then c1.parent2 when 'main^^' then p2.sha when 'main^0~1' then c1.parent1
  when 'main~2^2~1' then m.parent1 end, '') sha
- from rev_specs s left join commits c1 on c1.sha = s.head left join commits p1 on p1.sha = c1.parent1 left join commits p2 on p2.sha = p1.parent1
- left join commits c3 on c3.sha = p2.parent1 left join commits m on m.sha = p2.parent2""")
+ from rev_specs s left join commit_rows c1 on c1.sha = s.head left join commit_rows p1 on p1.sha = c1.parent1 left join commit_rows p2 on p2.sha = p1.parent1
+ left join commit_rows c3 on c3.sha = p2.parent1 left join commit_rows m on m.sha = p2.parent2""")
 def _(d):
     specs = d.rev_specs
     names = specs.select("repo_id", "head").distinct()
@@ -119,7 +119,7 @@ def _(d):
 # Subjects of several kinds, one per commit.
 fragment("subjects", """
 select sha, case seq % 7 when 0 then 'Merge branch ''topic'' into main' when 1 then 'Merge pull request #12 from a/b' when 2 then 'Merge topic into main'
- when 3 then 'Merge the queues' when 4 then 'Merge tag ''v1''' when 5 then 'Fix '||sha else 'Merge git@host.example:a/b.git' end subject from commits""")
+ when 3 then 'Merge the queues' when 4 then 'Merge tag ''v1''' when 5 then 'Fix '||sha else 'Merge git@host.example:a/b.git' end subject from commit_rows""")
 MERGE = r"^Merge (?:(?:remote-tracking )?branch(?:es)? '|tags? '|commits? '|pull request #\d+ from |(?:(?:[a-z][\w+.-]*://|[\w.-]+(?:@[\w.-]+)?:|/)\S+|\S+ into \S+)$)"
 
 

@@ -25,9 +25,9 @@ def duck_lines(text: str) -> str:
             f"then string_split({text}, chr(10))[:-2] else string_split({text}, chr(10)) end")
 
 
-oracle_fragment("pair_lines", f"""select diffset_id, path, 'a' side, i line_no, l text, regexp_replace(l, '\\s+', '', 'g') key
+oracle_fragment("pair_lines", f"""select diffset_id, path, 'a' side, i line_no, l text, regexp_replace(l, '{T.SPACES}', '', 'g') key
  from (select diffset_id, path, unnest(ls) l, generate_subscripts(ls, 1) i from (select diffset_id, path, {duck_lines('text_a')} ls from pair_texts) p) q
- union all select diffset_id, path, 'b' side, i line_no, l text, regexp_replace(l, '\\s+', '', 'g') key
+ union all select diffset_id, path, 'b' side, i line_no, l text, regexp_replace(l, '{T.SPACES}', '', 'g') key
  from (select diffset_id, path, unnest(ls) l, generate_subscripts(ls, 1) i from (select diffset_id, path, {duck_lines('text_b')} ls from pair_texts) p) q""")
 
 

@@ -113,8 +113,11 @@ class Data:
         names = _needed(text, FRAGMENTS)
         tables = {t: self.table(t) for t in TABLES if re.search(r"\{%s\}" % t, text)}
         parts = {n: getattr(self, n) for n in names}
+        # Braces of the text itself (JSON) are doubled, then table and fragment names become parameters.
+        text = re.sub(r"\{(%s)\}" % "|".join(TABLES), "\x01\\1\x02", text)
         for n in names:
-            text = re.sub(rf"\b{n}\b", "{%s}" % n, text)
+            text = re.sub(rf"\b{n}\b", f"\x01{n}\x02", text)
+        text = text.replace("{", "{{").replace("}", "}}").replace("\x01", "{").replace("\x02", "}")
         return self.spark.sql(_dialect(text, spark=True), **tables, **parts)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from diffloom.functions import text as T
@@ -56,16 +56,29 @@ def explode_lines(texts: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+def _pieces(lines: DataFrame, pattern: str, measure) -> DataFrame:
+    """The matches of a pattern in each line, ``_at`` from 0, with ``_start``: the measured length of all
+    text before the match, by a running sum over the line."""
+    rest = [c for c in lines.columns if c != "text"]
+    found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    between = F.split("text", pattern, -1)
+    zipped = F.posexplode(F.arrays_zip(found.alias("m"), between.alias("g"))).alias("_at", "_p")
+    rows = lines.select(*rest, zipped).filter("_p.m is not null")
+    upto = Window.partitionBy(*rest).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    length = measure(F.col("_p.g")) + measure(F.col("_p.m"))
+    return rows.select(*rest, "_at", F.col("_p.m").alias("match"), (F.sum(length).over(upto) - measure(F.col("_p.m"))).alias("_start"))
+
+
 def explode_tokens(lines: DataFrame) -> DataFrame:
-    """One row per token of a line: ``tok_no`` from 1, ``token`` and its 0-based ``start``.
+    """One row per token of a line: ``tok_no`` from 1, ``token`` and its 0-based ``start``. The columns
+    beside ``text`` identify the line."""
+    rest = [c for c in lines.columns if c != "text"]
+    rows = _pieces(lines, T.TOKEN, F.length)
+    return rows.select(*rest, (F.col("_at") + 1).alias("tok_no"), F.col("match").alias("token"), F.col("_start").alias("start"))
+
 
-    The text between tokens is only whitespace, so a token starts after the earlier tokens and the
-    whitespace runs before it.
-    """
+def explode_words(lines: DataFrame) -> DataFrame:
+    """One row per word of a line: its range in the line's whitespace-skipped characters."""
     rest = [c for c in lines.columns if c != "text"]
-    found = T.tokens(F.col("text"))
-    seen = lines.select(*rest, "text", F.posexplode(found).alias("_at", "token"), found.alias("_all"))
-    # The characters of earlier tokens, and the non-space character the token begins at among them.
-    earlier = F.length(T.solid(F.array_join(F.slice("_all", F.lit(1), F.col("_at")), "")))
-    start = T.display_range(F.col("text"), earlier, earlier + 1)["start"]
-    return seen.select(*rest, (F.col("_at") + 1).alias("tok_no"), "token", start.alias("start"))
+    rows = _pieces(lines, T.DISPLAY_WORD, lambda c: F.length(T.solid(c)))
+    return rows.select(*rest, (F.col("_at") + 1).alias("place"), F.col("match").alias("word"), F.col("_start").alias("start"), (F.col("_start") + F.length("match")).alias("end"))
