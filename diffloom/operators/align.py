@@ -121,5 +121,5 @@ def out_of_order(pairs: DataFrame, by: list[str], a: str = "pos_a", b: str = "po
     )
     weight = F.struct(F.count(F.lit(1)).over(Window.partitionBy(*by, "_part", "_block")), -F.col("_block"))
     rows = rows.withColumn("_weight", weight)
-    best = F.max("_weight").over(Window.partitionBy(*by, "_part"))
-    return rows.filter(F.col("_weight") != best).select(*pairs.columns)
+    rows = rows.withColumn("_best", F.max("_weight").over(Window.partitionBy(*by, "_part")))
+    return rows.filter("_weight <> _best").select(*pairs.columns)
