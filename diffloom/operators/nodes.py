@@ -15,3 +15,240 @@ def outermost(ranges: DataFrame, by: list[str]) -> DataFrame:
     order = Window.partitionBy(*by).orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
     rows = ranges.select(*by, "start", "end").distinct()
     return rows.withColumn("_reach", F.max("end").over(order)).filter("_reach is null or _reach < end").drop("_reach")
+
+
+def ancestors(nodes: DataFrame, by: str = "blob_id") -> DataFrame:
+    """``(by, idx, level, anc)`` for every node and each node above it. A node at depth d asks once per
+    level; the last node opened at that level is its ancestor there, a running ``last`` over one text."""
+    none = F.lit(None).cast("int")
+    asks = nodes.filter("depth > 0").select(by, "idx", F.explode(F.sequence(F.lit(0), F.col("depth") - 1)).alias("level"), none.alias("_n"), F.lit(1).alias("_o"))
+    tells = nodes.filter("size > 1").select(by, "idx", F.col("depth").alias("level"), F.col("idx").alias("_n"), F.lit(0).alias("_o"))
+    order = Window.partitionBy(by, "level").orderBy("idx", F.desc("_o")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = asks.unionByName(tells).withColumn("anc", F.last("_n", ignorenulls=True).over(order))
+    return rows.filter("_o = 1").select(by, "idx", "level", "anc")
+
+
+def content_atoms(nodes: DataFrame, by: str = "blob_id") -> DataFrame:
+    """Adds ``is_atom`` (a named node that is no comment, not empty, without a named child) and ``is_unit``
+    (a named node filling no field). ``named`` and ``field`` default to true and null."""
+    named = F.col("named") if "named" in nodes.columns else F.lit(True)
+    field = F.col("field") if "field" in nodes.columns else F.lit(None).cast("string")
+    kids = nodes.withColumn("_named", named).filter("_named and parent >= 0").groupBy(by, F.col("parent").alias("idx")).agg(F.count(F.lit(1)).alias("_kids"))
+    rows = nodes.join(kids, [by, "idx"], "left")
+    solid = (F.col("end") > F.col("start")) & ~F.contains("kind", F.lit("comment"))
+    leaf = F.col("_kids").isNull() & solid
+    return rows.withColumns(
+        {"is_atom": F.when(named, leaf).otherwise(leaf & field.isNotNull()), "is_unit": named & field.isNull()}
+    ).drop("_kids")
+
+
+def declaration_names(nodes: DataFrame, name_kinds: list[str], by: str = "blob_id") -> DataFrame:
+    """Adds ``name``: the label of a node's first child of one of the naming kinds, or null."""
+    kids = nodes.filter(F.col("kind").isin(name_kinds) & (F.col("parent") >= 0)).groupBy(by, F.col("parent").alias("idx")).agg(F.min_by("label", "idx").alias("name"))
+    return nodes.join(kids, [by, "idx"], "left")
+
+
+def subtree_stats(nodes: DataFrame, by: str = "blob_id") -> DataFrame:
+    """Node count, content atoms and height per subtree. A subtree is a range of preorder numbers, so its
+    atoms are the difference of two running sums, joined by number; heights are the deepest level beneath."""
+    flagged = content_atoms(nodes, by)
+    order = Window.partitionBy(by).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    sums = flagged.withColumn("_upto", F.sum(F.col("is_atom").cast("int")).over(order))
+    last = sums.select(by, F.col("idx").alias("_last"), F.col("_upto").alias("_end"))
+    rows = sums.withColumn("_last", F.col("idx") + F.col("size") - 1).join(last, [by, "_last"])
+    deepest = ancestors(nodes, by).join(nodes.select(by, "idx", "depth"), [by, "idx"]).groupBy(by, F.col("anc").alias("idx")).agg(F.max("depth").alias("_deep"))
+    rows = rows.join(deepest, [by, "idx"], "left")
+    return rows.select(
+        by, "idx", "size", (F.coalesce("_deep", "depth") - F.col("depth")).alias("height"),
+        (F.col("_end") - F.col("_upto") + F.col("is_atom").cast("int")).alias("atoms"),
+    )
+
+
+def subtree_hash(nodes: DataFrame, by: str = "blob_id") -> DataFrame:
+    """Adds ``hash``: equal for subtrees of equal kinds, labels and shape. The preorder sequence of (depth
+    below the top, kind, label) says all of that; labels are hashed first, so a row stays small."""
+    own = nodes.select(by, "idx", "depth", F.md5(F.concat_ws("\u0001", "kind", "label")).alias("_h"))
+    held = ancestors(nodes, by).select(by, "idx", "anc").unionByName(nodes.select(by, "idx", F.col("idx").alias("anc")))
+    tops = nodes.select(by, F.col("idx").alias("anc"), F.col("depth").alias("_top"))
+    rows = held.join(own, [by, "idx"]).join(tops, [by, "anc"])
+    item = F.struct("idx", F.concat((F.col("depth") - F.col("_top")).cast("string"), F.lit(":"), "_h").alias("t"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda i: i["t"]), ",")
+    hashes = rows.groupBy(by, F.col("anc").alias("idx")).agg(F.md5(text).alias("hash"))
+    return nodes.join(hashes, [by, "idx"])
+
+
+def steps_of(nodes: DataFrame, by: str = "blob_id") -> DataFrame:
+    """Adds ``steps``: child indices from the root, as anchors name nodes. Spark orders arrays as document
+    order needs."""
+    sibling = Window.partitionBy(by, "parent").orderBy("idx")
+    at = nodes.select(by, "idx", "depth", (F.row_number().over(sibling) - 1).alias("_i"))
+    up = ancestors(nodes, by).filter("level > 0").select(by, "idx", F.col("anc").alias("_a"))
+    path = up.unionByName(nodes.filter("depth > 0").select(by, "idx", F.col("idx").alias("_a")))
+    rows = path.join(at.select(by, F.col("idx").alias("_a"), F.col("depth").alias("_d"), "_i"), [by, "_a"])
+    steps = F.transform(F.array_sort(F.collect_list(F.struct("_d", "_i"))), lambda s: s["_i"])
+    found = rows.groupBy(by, "idx").agg(steps.alias("steps"))
+    return nodes.join(found, [by, "idx"], "left").withColumn("steps", F.coalesce("steps", F.array().cast("array<int>")))
+
+
+def is_prefix(p, q):
+    """Whether steps ``p`` lead to a node at or above ``q``."""
+    return (F.size(p) <= F.size(q)) & (F.slice(q, F.lit(1), F.size(p)) == p)
+
+
+def normalize_steps(nodes):
+    """Steps in document order, duplicates and descendants of an included node dropped: an array function."""
+    ordered = F.array_sort(F.array_distinct(nodes))
+    return F.filter(ordered, lambda s: ~F.exists(ordered, lambda p: (F.size(p) < F.size(s)) & is_prefix(p, s)))
+
+
+def with_lines(nodes: DataFrame, texts: DataFrame, by: str = "blob_id") -> DataFrame:
+    """Adds ``first_line, last_line`` (1-based): lines and node ends in one order, a running count of line
+    starts over one text."""
+    from diffloom.sources.blobs import explode_lines
+
+    lines = explode_lines(texts.select(by, "text"))
+    order = Window.partitionBy(by).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    starts = lines.select(by, F.coalesce(F.sum(F.length("text") + 1).over(order), F.lit(0)).cast("int").alias("_at"))
+    asks = nodes.select(by, "idx", F.explode(F.array(F.struct(F.col("start").alias("_at"), F.lit("f").alias("_w")), F.struct(F.greatest(F.col("start"), F.col("end") - 1).alias("_at"), F.lit("l").alias("_w")))).alias("p")).select(by, "idx", "p._at", "p._w")
+    rows = asks.unionByName(starts, allowMissingColumns=True)
+    upto = Window.partitionBy(by).orderBy("_at", F.col("idx").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_line", F.count_if(F.col("idx").isNull()).over(upto)).filter("idx is not null")
+    at = rows.groupBy(by, "idx").agg(F.max(F.when(F.col("_w") == "f", F.col("_line"))).cast("int").alias("first_line"), F.max(F.when(F.col("_w") == "l", F.col("_line"))).cast("int").alias("last_line"))
+    return nodes.join(at, [by, "idx"])
+
+
+def nodes_on_lines(nodes: DataFrame, ranges: DataFrame, by: str = "blob_id", width: int = 64) -> DataFrame:
+    """The outermost nodes wholly on a line range, else the innermost node that holds it. ``nodes`` have
+    lines; ``ranges``: ``by, range_id, first, last``.
+
+    A node is outermost on a range when its parent is not on it, so a node only carries its parent's lines
+    along. Nodes that start on the range are found through buckets of ``width`` lines; the rest are the
+    ones around its first line, an equi-join on the buckets a node touches.
+    """
+    from diffloom.functions.scan import spans
+
+    up = nodes.select(by, F.col("idx").alias("parent"), F.col("first_line").alias("_pf"), F.col("last_line").alias("_pl"))
+    rows = nodes.join(up, [by, "parent"], "left").select(by, "idx", "size", "first_line", "last_line", "_pf", "_pl")
+    near = ranges.select(by, "range_id", "first", "last", spans(F.col("first"), F.col("last"), width).alias("_b"))
+    starts = rows.withColumn("_b", F.floor(F.col("first_line") / width).cast("int"))
+    wholly = near.join(starts, [by, "_b"]).filter("first_line >= first and last_line <= last").filter(
+        "_pf is null or _pf < first or _pl > last"
+    ).select(by, "range_id", "idx")
+    rest = ranges.join(wholly.select(by, "range_id").distinct(), [by, "range_id"], "left_anti")
+    around = rest.withColumn("_b", F.floor(F.col("first") / width).cast("int")).join(
+        rows.withColumn("_b", spans(F.col("first_line"), F.col("last_line"), width)), [by, "_b"]
+    ).filter("first_line <= first and last_line >= last")
+    inner = around.groupBy(by, "range_id").agg(F.min_by("idx", F.struct("size", "idx")).alias("idx"))
+    return wholly.unionByName(inner)
+
+
+def line_ranges(nodes: DataFrame, anchors: DataFrame, by: str = "blob_id") -> DataFrame:
+    """The merged line ranges of an anchor's nodes ``(by, anchor_id, idx)``; touching ones join."""
+    from diffloom.operators.hunks import merge_ranges
+
+    at = anchors.join(nodes.select(by, "idx", "first_line", "last_line"), [by, "idx"])
+    at = at.select(by, "anchor_id", F.col("first_line").alias("start"), (F.col("last_line") + 1).alias("end"))
+    return merge_ranges(at, [by, "anchor_id"]).select(by, "anchor_id", "start", (F.col("end") - 1).alias("end"))
+
+
+def declaration_chain(nodes: DataFrame, declared: list[str], by: str = "blob_id") -> DataFrame:
+    """Per node the declarations around it, outermost first, as ``kind label``."""
+    kinds = nodes.filter(F.col("kind").isin(declared)).select(by, F.col("idx").alias("anc"), F.concat_ws(" ", "kind", "label").alias("_d"))
+    found = ancestors(nodes, by).join(kinds, [by, "anc"]).groupBy(by, "idx").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("level", "_d"))), lambda c: c["_d"]).alias("chain")
+    )
+    return nodes.select(by, "idx").join(found, [by, "idx"], "left").withColumn("chain", F.coalesce("chain", F.array().cast("array<string>")))
+
+
+def section_events(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Balanced ``begin`` and ``end`` events where the chain changes from a row to the next; what is open at
+    the end closes there. ``rows``: ``row_no, chain``."""
+    order = Window.partitionBy(*by).orderBy("row_no")
+    empty = F.array().cast("array<string>")
+    rows = rows.select(*by, "row_no", "chain", F.coalesce(F.lag("chain").over(order), empty).alias("_prev"), F.lead("row_no").over(order).isNull().alias("_end"))
+    same = F.zip_with(F.slice("_prev", F.lit(1), F.size("chain")), F.slice("chain", F.lit(1), F.size("_prev")), lambda a, b: a == b)
+    broken = F.array_position(same, False)
+    common = F.when(broken > 0, broken - 1).otherwise(F.size(same)).cast("int")
+    rows = rows.withColumn("_k", common)
+    beyond = lambda c, k: F.slice(c, k + 1, F.greatest(F.size(c) - k, F.lit(0)))
+    event = lambda kind, shift: lambda label, i: F.struct((F.col("row_no") + shift).alias("row_no"), F.lit(kind).alias("kind"), i.alias("i"), label.alias("label"))
+    ends = F.transform(F.reverse(beyond(F.col("_prev"), F.col("_k"))), event("end", 0))
+    begins = F.transform(beyond(F.col("chain"), F.col("_k")), event("begin", 0))
+    tail = F.when(F.col("_end"), F.transform(F.reverse("chain"), event("end", 1))).otherwise(F.array().cast("array<struct<row_no:int,kind:string,i:int,label:string>>"))
+    typed = "array<struct<row_no:int,kind:string,i:int,label:string>>"
+    flat = F.concat(ends.cast(typed), begins.cast(typed), tail.cast(typed))
+    return rows.select(*by, F.explode(flat).alias("e")).select(*by, "e.row_no", "e.kind", "e.i", "e.label")
+
+
+def match_nodes(a: DataFrame, b: DataFrame, by: str = "blob_id") -> DataFrame:
+    """Nodes of two versions of one text that match: equal subtrees, the only ones of their hash on each
+    side, the outermost of nested ones, with all they hold; then equal copies whose neighbours agree and
+    make them the only ones. One to one. Inputs carry ``hash``; the result is ``by, idx_a, idx_b, rule``.
+    """
+    def once(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+        return df.groupBy(by, *keys).agg(F.count(F.lit(1)).alias("_n"), F.any_value(F.struct("idx", "size")).alias(name)).filter("_n = 1").drop("_n")
+
+    def outer(pairs: DataFrame) -> DataFrame:
+        order = Window.partitionBy(by).orderBy("idx_a").rowsBetween(Window.unboundedPreceding, -1)
+        reach = pairs.withColumn("_reach", F.max(F.col("idx_a") + F.col("size")).over(order))
+        return reach.filter("_reach is null or _reach <= idx_a").drop("_reach")
+
+    def paired(x: DataFrame, y: DataFrame, keys: list[str], rule: str) -> DataFrame:
+        pairs = once(x, keys, "_x").join(once(y, keys, "_y"), [by, *keys])
+        pairs = outer(pairs.select(by, F.col("_x.idx").alias("idx_a"), F.col("_y.idx").alias("idx_b"), F.col("_x.size").alias("size")))
+        step = F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("_k")
+        return pairs.select(by, "idx_a", "idx_b", step).select(by, (F.col("idx_a") + F.col("_k")).alias("idx_a"), (F.col("idx_b") + F.col("_k")).alias("idx_b"), F.lit(rule).alias("rule"))
+
+    first = paired(a, b, ["hash"], "unique")
+
+    def left(df: DataFrame, col: str) -> DataFrame:
+        sibling = Window.partitionBy(by, "parent").orderBy("idx")
+        rows = df.withColumns({"_prev": F.coalesce(F.lag("hash").over(sibling), F.lit("")), "_next": F.coalesce(F.lead("hash").over(sibling), F.lit(""))})
+        return rows.join(first.select(by, F.col(col).alias("idx")), [by, "idx"], "left_anti")
+
+    second = paired(left(a, "idx_a"), left(b, "idx_b"), ["hash", "_prev", "_next"], "neighbours")
+    # A copy's inside may have matched on its own already; such a pair gives way.
+    for col in ("idx_a", "idx_b"):
+        second = second.join(first.select(by, col), [by, col], "left_anti")
+    return first.unionByName(second)
+
+
+def match_containers(node_map: DataFrame, a: DataFrame, b: DataFrame, by: str = "blob_id", least: float = 0.5) -> DataFrame:
+    """Pairs unmatched containers of one kind by the matched nodes both hold: twice the shared ones over
+    all they hold, ``least`` or more, and each the other's best."""
+    def inside(df: DataFrame, col: str, out: str) -> DataFrame:
+        free = df.filter("size > 1").join(node_map.select(by, F.col(col).alias("idx")), [by, "idx"], "left_anti").select(by, F.col("idx").alias("anc"), "kind", "size")
+        return ancestors(df, by).join(free, [by, "anc"]).select(by, F.col("idx").alias(col), F.col("anc").alias(out), "kind", F.col("size").alias(f"_{out}"))
+
+    shared = node_map.select(by, "idx_a", "idx_b").join(inside(a, "idx_a", "anc_a"), [by, "idx_a"]).join(inside(b, "idx_b", "anc_b"), [by, "idx_b", "kind"])
+    pairs = shared.groupBy(by, "kind", "anc_a", "anc_b", "_anc_a", "_anc_b").agg(F.count(F.lit(1)).alias("_n"))
+    pairs = pairs.withColumn("dice", F.round(2 * F.col("_n") / (F.col("_anc_a") + F.col("_anc_b") - 2), 6)).filter(F.col("dice") >= least)
+    best = lambda own, other: F.row_number().over(Window.partitionBy(by, own).orderBy(F.desc("dice"), F.desc("_n"), other))
+    ranked = pairs.withColumns({"_ra": best("anc_a", "anc_b"), "_rb": best("anc_b", "anc_a")}).filter("_ra = 1 and _rb = 1")
+    return ranked.select(by, F.col("anc_a").alias("idx_a"), F.col("anc_b").alias("idx_b"), "kind", "dice")
+
+
+def whole_units(nodes: DataFrame, changed: DataFrame, declared: list[str], containers: list[str], by: str = "blob_id") -> DataFrame:
+    """Declarations added or deleted as one: a changed node of a declared kind, at top level or in
+    containers that themselves are, wrappers that hold nothing else aside. ``changed``: ``by, idx``."""
+    kids = nodes.filter("parent >= 0").groupBy(by, F.col("parent").alias("idx")).agg(F.count(F.lit(1)).alias("_kids"))
+    passes = nodes.join(kids, [by, "idx"], "left").select(by, F.col("idx").alias("anc"), (F.col("kind").isin(containers) | (F.col("_kids") == 1) | (F.col("depth") == 0)).alias("_ok"))
+    local = ancestors(nodes, by).join(passes, [by, "anc"]).filter("not _ok").select(by, "idx").distinct()
+    units = nodes.filter(F.col("kind").isin(declared)).join(changed.select(by, "idx"), [by, "idx"], "left_semi").join(local, [by, "idx"], "left_anti")
+    # The outermost one is the unit; those inside come with it.
+    order = Window.partitionBy(by).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    reach = units.withColumn("_reach", F.max(F.col("idx") + F.col("size")).over(order))
+    return reach.filter("_reach is null or _reach <= idx").select(by, "idx", "kind", "label", "size")
+
+
+def edit_outline(aligned: DataFrame, by: list[str]) -> DataFrame:
+    """Edit atoms in line form: a key per changed line that holds text, under its hunk's root. ``aligned``
+    has ``side, line_no, mate, gap, text``; equal edits of one path share a key wherever they sit."""
+    from diffloom.functions.keys import atom_key
+    from diffloom.functions.text import text_hash
+
+    lines = aligned.filter("mate is null").withColumn("hash", text_hash(F.col("text"))).filter(F.trim("text") != "")
+    side = F.when(F.col("side") == "a", "before").otherwise("after")
+    none = F.array().cast("array<string>")
+    atom = atom_key(F.col("path"), none, F.when(F.col("side") == "a", F.col("hash")), F.when(F.col("side") == "b", F.col("hash")))
+    return lines.select(*by, F.col("gap").alias("frag_no"), side.alias("side"), F.col("line_no").alias("node_no"), F.lit("line").alias("kind"), F.length("text").alias("columns"), "hash", atom.alias("atom"))

@@ -136,7 +136,7 @@ def fenced_blocks(lines: DataFrame, by: str = "doc_id") -> DataFrame:
     info = F.nullif(F.regexp_extract("text", r"^\s{0,3}(?:`{3,}|~{3,})\s*([^\s`{]*)", 1), F.lit(""))
     rows = rows.filter("_n % 2 = 1").withColumn("block_no", ((F.col("_n") + 1) / 2).cast("int"))
     return rows.groupBy(by, "block_no").agg(
-        fence_language(F.min_by(F.when(F.col("_fence"), info), "line_no")).alias("language"), F.min("line_no").alias("first_line"), F.count_if("not _fence").alias("lines"),
+        fence_language(F.min_by(F.when(F.col("_fence"), info), "line_no")).alias("language"), F.min("line_no").alias("first_line"), F.count_if(~F.col("_fence")).alias("lines"),
     )
 
 

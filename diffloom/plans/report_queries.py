@@ -14,13 +14,9 @@ fragment("graph_objects", """select 'g' graph, 'r'||cast(r_regionkey as string)
  union all select 'g', 'n'||cast(n_nationkey as string), n_name, 'group' from {nation} union all select 'g', 'c'||cast(c_custkey as string), c_name, 'file' from {customer}""")
 fragment("graph_edges", """select 'g' graph, 'r'||cast(n_regionkey as string) parent, 'n'||cast(n_nationkey as string) child from {nation}
  union all select 'g', 'n'||cast(c_nationkey as string), 'c'||cast(c_custkey as string) from {customer} union all select 'g', 'c1', 'r4' from {region} where r_regionkey = 4""")
-oracle_fragment("graph_paths", """select 'c'||cast(c_custkey as varchar) object_id, concat_ws('/', case when r_regionkey = 4 and not (l.c_nationkey in (select n_nationkey from nation where n_regionkey = 4) and false) then null end, case when r_regionkey = 2 then null else r_name end, n_name, c_name) path, r_regionkey, l.c_custkey
- from customer l join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey""")
-
-
 @query("g1_object_paths", """select * from (with recursive up as (
- select object_id, object_id at, [case when part <> '<group>' then part end] parts, [object_id] seen from graph_objects
- union all select u.object_id, e.parent, [case when o.part <> '<group>' then o.part end] || u.parts, list_append(u.seen, e.parent) from up u join graph_edges e on e.child = u.at join graph_objects o on o.object_id = e.parent where not list_contains(u.seen, e.parent))
+ select object_id, object_id cur, [case when part <> '<group>' then part end] parts, [object_id] seen from graph_objects
+ union all select u.object_id, e.parent, [case when o.part <> '<group>' then o.part end] || u.parts, list_append(u.seen, e.parent) from up u join graph_edges e on e.child = u.cur join graph_objects o on o.object_id = e.parent where not list_contains(u.seen, e.parent))
  select object_id, array_to_string(list_filter(arg_max(parts, len(seen)), lambda p: p is not null), '/') path from up group by 1) x""")
 def _(d):
     return G.object_paths(d.graph_objects, d.graph_edges).select("object_id", "path")
@@ -163,7 +159,7 @@ _CODE = r"trim(regexp_replace(l, '[ \t\r\n\f]+//.*$', ''), ' '||chr(9)||chr(13)|
    len(list_filter(code, lambda l: ends_with({_CODE}, ';'))) semis, len(list_filter(code, lambda l: not ends_with({_CODE}, ';') and regexp_matches({_CODE}, '[^\s{{}};,.:=+*/%&|!?<>-](?:\+\+|--)?$'))) bare,
    len(regexp_extract_all(text, '''(?:\\.|[^''\\\r\n])*''')) s, len(regexp_extract_all(text, '"(?:\\.|[^"\\\r\n])*"')) q from c),
  t as (select *, tabs > spaces use_tabs, case when tabs > spaces or not two then 4 else 2 end tab_width from m), w as (select *, list_transform(ls, lambda l: length(l) + length(regexp_extract(l, '^(\t*)', 1)) * (tab_width - 1)) ws from t)
- select doc_id, bare <= semis semi, s > q single_quote, case when len(list_filter(ws, lambda x: x > 80)) * 100 <= len(ls) then 80 when len(list_filter(ws, lambda x: x > 100)) * 100 <= len(ls) then 100 when len(list_filter(ws, lambda x: x > 120)) * 100 <= len(ls) then 120
+ select doc_id, bare <= semis "semi", s > q single_quote, case when len(list_filter(ws, lambda x: x > 80)) * 100 <= len(ls) then 80 when len(list_filter(ws, lambda x: x > 100)) * 100 <= len(ls) then 100 when len(list_filter(ws, lambda x: x > 120)) * 100 <= len(ls) then 120
    when len(list_filter(ws, lambda x: x > 140)) * 100 <= len(ls) then 140 when len(list_filter(ws, lambda x: x > 160)) * 100 <= len(ls) then 160 else 200 end print_width, use_tabs, tab_width from w""")
 def _(d):
     return R.style_profile(d.styled)

@@ -235,7 +235,7 @@ def _(d):
 
 # --- pairs -------------------------------------------------------------------------------------------
 # Parents with children in two orders: an order's lines by line number and by part.
-fragment("sibling_pairs", "select l_orderkey parent, l_linenumber * 10 pos_a, l_partkey * 100 + l_linenumber pos_b from {lineitem}")
+fragment("sibling_pairs", "select l_orderkey parent, l_linenumber * 10 pos_a, max(l_partkey * 100 + l_linenumber) pos_b from {lineitem} group by l_orderkey, l_linenumber")
 
 
 @query("w2_out_of_order", """select parent, pos_a, pos_b from (select *, max(weight) over (partition by parent, part) best from (select *, count(*) over (partition by parent, part, blk) * 1000000 - blk weight from (
