@@ -59,6 +59,10 @@ NO_SEMICOLON = r"[^\s{};,.:=+*/%&|!?<>-](?:\+\+|--)?$"
 WIDTHS = [80, 100, 120, 140, 160]
 
 
+def _wider(widths, limit: int):
+    return F.size(F.filter(widths, lambda w: w > limit))
+
+
 def style_profile(texts: DataFrame, by: str = "doc_id") -> DataFrame:
     """How a file is written: tabs or spaces, the step, semicolons, quotes, and the narrowest common width
     nearly every line fits. Higher-order functions over one file's lines; nothing is exploded."""
@@ -83,8 +87,7 @@ def style_profile(texts: DataFrame, by: str = "doc_id") -> DataFrame:
     rows = rows.withColumn("_widths", widths)
     fits = F.lit(200)
     for width in reversed(WIDTHS):
-        wide = count(F.col("_widths"), lambda w, n=width: w > n)
-        fits = F.when(wide * 100 <= F.size("_lines"), width).otherwise(fits)
+        fits = F.when(_wider(F.col("_widths"), width) * 100 <= F.size("_lines"), width).otherwise(fits)
     return rows.select(by, (F.col("_bare") <= F.col("_semi")).alias("semi"), (F.col("_single") > F.col("_double")).alias("single_quote"), fits.alias("print_width"), "use_tabs", "tab_width")
 
 

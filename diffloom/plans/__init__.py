@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["derive", "snapshot_queries", "line_queries", "history_queries", "patch_queries", "move_queries", "review_queries", "interdiff_queries", "forge_queries", "text_queries", "report_queries", "node_queries"]
+_MODULES = ["derive", "snapshot_queries", "line_queries", "history_queries", "patch_queries", "move_queries", "review_queries", "interdiff_queries", "forge_queries", "text_queries", "report_queries", "node_queries", "stream_queries"]
 
 
 def all_queries():

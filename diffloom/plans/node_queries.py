@@ -51,7 +51,7 @@ def _(d):
     return good.groupBy("blob_id").agg(F.count("*").alias("nodes"))
 
 
-@query("s13_node_problems", "select page_id blob_id, '' problem from pages where false")
+@query("s13_node_problems", "select cast(page_id as varchar) blob_id, 'none' problem from pages where false")
 def _(d):
     return S.load_nodes(nodes(d))[1]
 
