@@ -86,14 +86,13 @@ oracle_fragment("fragments", """select diffset_id, path, frag_no, case when min(
 
 
 def with_texts(d: Data, changed):
-    """Both sides' texts of the changes whose content differs. Equal ids drop out before any text is read,
-    and a text is fetched once per side of a change."""
-    before = d.snap_before.select(F.col("blob_id").alias("before"), "text")
-    after = d.snap_after.select(F.col("blob_id").alias("after"), "text")
+    """Both sides' texts of the changes whose content differs. Equal ids and submodules drop out before any
+    text is read; only blobs a change needs are fetched, each once, whichever snapshot holds it."""
     needed = changed.filter(~F.col("before").eqNullSafe(F.col("after")) & ~F.col("submodule"))
-    # One row per blob id, taken by an aggregate with map-side combine, so copies never multiply.
-    blobs = before.withColumnRenamed("before", "blob").unionByName(after.withColumnRenamed("after", "blob"))
-    blobs = blobs.groupBy("blob").agg(F.any_value("text").alias("text"))
+    ids = needed.select(F.explode(F.array("before", "after")).alias("blob")).filter("blob is not null").distinct()
+    blobs = d.snap_before.select(F.col("blob_id").alias("blob"), "text").unionByName(d.snap_after.select(F.col("blob_id").alias("blob"), "text"))
+    # The semi-join comes first, so texts of unchanged files are never shuffled; then copies fold into one.
+    blobs = blobs.join(ids, "blob", "left_semi").groupBy("blob").agg(F.any_value("text").alias("text"))
     a = blobs.select(F.col("blob").alias("before"), F.col("text").alias("text_a"))
     b = blobs.select(F.col("blob").alias("after"), F.col("text").alias("text_b"))
     return needed.join(a, "before", "left").join(b, "after", "left")

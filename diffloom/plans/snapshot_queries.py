@@ -46,7 +46,9 @@ where not (c.status = 'deleted' and exists (select 1 from rename_pairs p where p
 union all
 select diffset_id, path, old_path, 'renamed', blob, blob, b_mode, case when a_mode <> b_mode then a_mode end from rename_pairs""")
 
-_COLS = ["diffset_id", "path", "status", "before", "after", "mode"]
+
+def tree_entries(d: Data):
+    return d.shared("tree_entries", lambda d: d.tree_entries)
 
 
 def changed_files(d: Data):
@@ -100,7 +102,7 @@ def _(d):
  select * from f where mode <> 16384)""")
 def _(d):
     roots = d.spark.createDataFrame([("root1", "root1"), ("root2", "root2")], "snapshot_id string, tree_id string")
-    return S.flatten_trees(d.tree_entries, roots)
+    return S.flatten_trees(tree_entries(d), roots)
 
 
 @query("j2_diff_trees", """select coalesce(a.path, b.path) path, case when a.path is null then 'added'
@@ -112,7 +114,7 @@ def _(d):
  on a.path = b.path where a.blob_id is distinct from b.blob_id""")
 def _(d):
     pairs = d.spark.createDataFrame([("v1..v2", "root1", "root2")], "diffset_id string, tree_a string, tree_b string")
-    return S.diff_trees(d.tree_entries, pairs).select(
+    return S.diff_trees(tree_entries(d), pairs).select(
         "path", "status", F.coalesce("before", F.lit("")).alias("before"), F.coalesce("after", F.lit("")).alias("after")
     )
 

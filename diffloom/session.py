@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN_FOLDERS: dict[str, str] = {}
+
+
 def local_session(cores: str | int = "*", partitions: int = 8, app: str = "diffloom") -> SparkSession:
     """A session for tests and the bench; on a cluster the caller brings its own."""
     return (
@@ -30,8 +33,9 @@ def shared_folder(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-diffloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        folder = _OWN_FOLDERS.setdefault(app, "") or tempfile.mkdtemp(prefix="spark-diffloom-")
+        _OWN_FOLDERS[app] = folder
     return folder
 
 
