@@ -12,10 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 _OWN_FOLDERS: dict[str, str] = {}
 
 
-def local_session(cores: str | int = "*", partitions: int = 8, app: str = "diffloom") -> SparkSession:
+def local_session(
+    cores: str | int = "*", partitions: int = 8, app: str = "diffloom", extra: dict[str, str] | None = None
+) -> SparkSession:
     """A session for tests and the bench; on a cluster the caller brings its own."""
+    builder = SparkSession.builder.master(f"local[{cores}]")
+    for key, value in (extra or {}).items():
+        builder = builder.config(key, value)
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")

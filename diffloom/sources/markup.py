@@ -44,16 +44,18 @@ def _pair(tags: DataFrame, by: str) -> DataFrame:
 def _drop_crossing(elements: DataFrame, by: str) -> DataFrame:
     """Elements whose pair crosses another one become leaves: the depth at their close is not the one at
     their open. Crossing pairs only count against each other, so a few passes settle a text."""
-    events = elements.select(by, "start", F.explode(F.when(F.col("mate").isNotNull(), F.array(
-        F.struct(F.col("start").alias("at"), F.lit(1).alias("d")), F.struct(F.col("mate_start").alias("at"), F.lit(-1).alias("d"))
-    )).otherwise(F.array(F.struct(F.col("start").alias("at"), F.lit(0).alias("d"))))).alias("e")).select(by, "start", "e.at", "e.d")
-    order = Window.partitionBy(by).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    events = events.withColumn("_depth", F.sum("d").over(order))
-    level = F.when(F.col("d") == 1, F.col("_depth") - 1).when(F.col("d") == -1, F.col("_depth"))
-    same = events.groupBy(by, "start").agg((F.min(level) == F.max(level)).alias("_ok"))
-    rows = elements.join(same, [by, "start"])
+    paired = F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("d")), F.struct(F.col("mate_start").alias("at"), F.lit(-1).alias("d")))
+    alone = F.array(F.struct(F.col("start").alias("at"), F.lit(0).alias("d")))
+    columns = ["end", "kind", "label", "mate", "mate_start"]
+    events = elements.select(by, "start", *columns, F.explode(F.when(F.col("mate").isNotNull(), paired).otherwise(alone)).alias("e"))
+    order = Window.partitionBy(by).orderBy("e.at").rowsBetween(Window.unboundedPreceding, 0)
+    events = events.withColumn("_depth", F.sum("e.d").over(order))
+    level = F.when(F.col("e.d") == 1, F.col("_depth") - 1).when(F.col("e.d") == -1, F.col("_depth"))
+    rows = events.groupBy(by, "start").agg(F.any_value(F.struct(*columns)).alias("n"), (F.min(level) == F.max(level)).alias("_ok"))
     keep = F.coalesce("_ok", F.lit(True))
-    return rows.withColumns({"mate": F.when(keep, F.col("mate")), "mate_start": F.when(keep, F.col("mate_start"))}).drop("_ok")
+    return rows.select(
+        by, "start", "n.end", "n.kind", "n.label", F.when(keep, F.col("n.mate")).alias("mate"), F.when(keep, F.col("n.mate_start")).alias("mate_start")
+    )
 
 
 def markup_nodes(texts: DataFrame, by: str = "blob_id") -> DataFrame:
@@ -84,14 +86,15 @@ def markup_nodes(texts: DataFrame, by: str = "blob_id") -> DataFrame:
     for _ in range(PASSES):
         elements = _drop_crossing(elements, by)
     root = texts.select(by, F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.lit("document").alias("kind"), F.lit("").alias("label"),
-                        (F.length("text") + 1).alias("mate"), (F.length("text") + 1).alias("mate_start"))
+                        F.length("text").alias("mate"), (F.length("text") + 1).alias("mate_start"))
     nodes = root.unionByName(elements).unionByName(texts_)
     # Openings and closings in one order give preorder number, size and depth as running counts.
-    opens = nodes.select("*", F.col("start").alias("at"), F.lit(1).alias("o"))
-    closes = nodes.filter("mate is not null").select("*", F.col("mate_start").alias("at"), F.lit(0).alias("o"))
+    at = lambda c, o: F.struct(F.col(c).alias("at"), F.lit(o).alias("o"))
+    both = F.when(F.col("mate").isNotNull(), F.array(at("start", 1), at("mate_start", 0))).otherwise(F.array(at("start", 1)))
+    events = nodes.select("*", F.explode(both).alias("_e")).select(*nodes.columns, "_e.at", "_e.o")
     order = Window.partitionBy(by).orderBy("at", "o").rowsBetween(Window.unboundedPreceding, 0)
     step = F.when(F.col("mate").isNull(), 0).when(F.col("o") == 1, 1).otherwise(-1)
-    events = opens.unionByName(closes).withColumns({"_seen": F.sum("o").over(order), "_depth": F.sum(step).over(order)})
+    events = events.withColumns({"_seen": F.sum("o").over(order), "_depth": F.sum(step).over(order)})
     rows = events.groupBy(by, "start").agg(
         F.max(F.when(F.col("o") == 1, F.struct("kind", "label", "end", "mate", (F.col("_seen") - 1).alias("idx"),
                                                (F.col("_depth") - F.when(F.col("mate").isNull(), 0).otherwise(1)).alias("depth")))).alias("n"),
@@ -103,9 +106,9 @@ def markup_nodes(texts: DataFrame, by: str = "blob_id") -> DataFrame:
         F.greatest("start", F.lit(0)).alias("start"), F.coalesce(F.col("n.mate"), F.col("n.end")).alias("end"), F.col("n.mate").isNotNull().alias("_holds"),
     )
     # A node's parent is the last holder one level up.
-    levels = rows.filter("_holds").select(by, F.col("depth").alias("_l"), "idx", F.col("idx").alias("_holder"))
-    asks = rows.withColumn("_l", F.col("depth") - 1).withColumn("_holder", F.lit(None).cast("int")).withColumn("_ask", F.lit(True))
-    both = asks.unionByName(levels.withColumn("_ask", F.lit(False)), allowMissingColumns=True)
+    ask = F.struct((F.col("depth") - 1).alias("_l"), F.lit(None).cast("int").alias("_holder"), F.lit(True).alias("_ask"))
+    tell = F.struct(F.col("depth").alias("_l"), F.col("idx").alias("_holder"), F.lit(False).alias("_ask"))
+    both = rows.select("*", F.explode(F.when(F.col("_holds"), F.array(ask, tell)).otherwise(F.array(ask))).alias("_x")).select(*rows.columns, "_x.*")
     level = Window.partitionBy(by, "_l").orderBy("idx", "_ask").rowsBetween(Window.unboundedPreceding, 0)
     both = both.withColumn("parent", F.last("_holder", ignorenulls=True).over(level)).filter("_ask")
     return both.select(by, "idx", F.coalesce("parent", F.lit(-1)).alias("parent"), "size", "depth", "kind", "label", "start", "end")

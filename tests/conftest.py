@@ -11,7 +11,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 def spark():
     from diffloom.session import local_session
 
-    session = local_session(8)
+    # Tiny inputs: interpreting a plan is quicker than compiling it.
+    quick = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"}
+    session = local_session(8, partitions=2, extra=quick)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
