@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from diffloom.functions.scan import ranked
 from diffloom.functions.text import is_scaffold
 from diffloom.operators.hunks import merge_ranges
+from diffloom.session import cut
 
 MIN_ATOMS = 4  # fixed value: content atoms each half of a claim needs
 ANCHOR_ATOMS = 2  # fixed value: content atoms of an anchor
@@ -91,7 +92,8 @@ def without_rivals(claims: DataFrame, bags: DataFrame) -> DataFrame:
     """
     key = ["diffset_id", "kind"]
     # The i-th occurrence of an atom is an element of its own, which makes multisets sets.
-    elements = bags.select(
+    asked = claims.select(*key).distinct()
+    elements = bags.join(asked, key, "left_semi").select(
         *key, "side", "owner", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("_i"), "atom"
     ).select(*key, "side", "owner", F.concat_ws("\u0001", F.col("_i").cast("string"), "atom").alias("element"))
     frequency = elements.groupBy(*key, "element").agg(F.count(F.lit(1)).alias("_f"))
@@ -103,6 +105,7 @@ def without_rivals(claims: DataFrame, bags: DataFrame) -> DataFrame:
         .select(*key, "side", "owner", F.transform("_e", lambda e: e["element"]).alias("elements"))
         .withColumns({"size": F.size("elements"), "bag": F.md5(F.array_join("elements", "\u0002"))})
     )
+    sets = cut(sets)  # read from both sides below
     mine = claims.join(
         sets.filter("side = 'a'").select(*key, F.col("owner").alias("own"), "elements", "size"), [*key, "own"]
     )

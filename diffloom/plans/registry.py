@@ -115,8 +115,10 @@ class Data:
         parts = {n: getattr(self, n) for n in names}
         # Braces of the text itself (JSON) are doubled, then table and fragment names become parameters.
         text = re.sub(r"\{(%s)\}" % "|".join(TABLES), "\x01\\1\x02", text)
+        pieces = re.split(r"('(?:[^']|'')*')", text)  # literals keep their words
         for n in names:
-            text = re.sub(rf"\b{n}\b", f"\x01{n}\x02", text)
+            pieces[::2] = [re.sub(rf"\b{n}\b", f"\x01{n}\x02", p) for p in pieces[::2]]
+        text = "".join(pieces)
         text = text.replace("{", "{{").replace("}", "}}").replace("\x01", "{").replace("\x02", "}")
         return self.spark.sql(_dialect(text, spark=True), **tables, **parts)
 
