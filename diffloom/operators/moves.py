@@ -196,7 +196,6 @@ def side_moves(moves: DataFrame, hunk_lines: DataFrame, by: list[str]) -> DataFr
     """Moved line spans of each side of a hunk: spans cut to the hunk, overlapping ones joined; when only
     blank and bracket lines are left out, the side moves as one. ``moves`` has ``first, last``;
     ``hunk_lines`` one row per line with ``hunk, line_no, text``; ``by`` names the file and the side."""
-    order = Window.partitionBy(*by).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     joined = merge_ranges(moves.select(*by, F.col("first").alias("start"), (F.col("last") + 1).alias("end")), by)
     # Lines and range starts in one order: a line is covered while the furthest end so far lies past it.
     rows = hunk_lines.select(*by, "line_no", "hunk", "text", F.lit(None).cast("bigint").alias("_end"), F.lit(None).cast("bigint").alias("_run"))
@@ -214,7 +213,6 @@ def side_moves(moves: DataFrame, hunk_lines: DataFrame, by: list[str]) -> DataFr
     spans = lines.filter("_covered").groupBy(*by, "hunk", "_run").agg(F.min("line_no").alias("first"), F.max("line_no").alias("last"))
     whole = sides.filter("_whole").select(*by, "hunk", F.col("_first").alias("first"), F.col("_last").alias("last"))
     parts = spans.join(sides.filter("not _whole").select(*by, "hunk"), [*by, "hunk"]).select(*by, "hunk", "first", "last")
-    del order
     return whole.unionByName(parts)
 
 

@@ -20,10 +20,8 @@ def read_blobs(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
 
 def decode_blobs(blobs: DataFrame) -> DataFrame:
     """Adds ``is_binary`` (a NUL byte early on, or not UTF-8) and ``text`` (null when binary)."""
-    head = F.substring(F.col("content"), 1, BINARY_HEAD)
     nul = F.coalesce(F.expr(f"locate(x'00', substring(content, 1, {BINARY_HEAD}))"), F.lit(0)) > 0
     binary = nul | ~F.expr("is_valid_utf8(cast(content as string))")
-    del head
     return blobs.withColumn("is_binary", binary).withColumn(
         "text", F.when(~F.col("is_binary"), F.col("content").cast("string"))
     )
