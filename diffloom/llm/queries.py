@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diffloom.llm import decontaminate, language, line_dedup, packing, simhash
+from diffloom.llm import decontaminate, language, line_dedup, packing, privacy, simhash, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,10 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(F.col("_id").alias("doc_id"), simhash.hex_of().alias("fingerprint"), "component_id")
 
 
+def op4_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"), F.pmod(F.col("id"), F.lit(20)) == 0)
+
+
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     out = decontaminate.decontaminate(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
     return out.select(
@@ -50,16 +54,33 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_privacy(spark: SparkSession, folder: str) -> DataFrame:
+    out = privacy.find_personal_data(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+    counts = [F.col(f"_n_{k}").alias(f"n_{k}") for k in privacy.KINDS]
+    return out.select("doc_id", *counts, F.sha2("_base", 256).alias("base_sha256"), F.col("_spans").alias("spans"))
+
+
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = F.coalesce(remainder(3) == 1, F.lit(False))
+    index = toxicity.fit(docs, table(spark, folder, "labels"), ~held_out)
+    out = toxicity.score(docs.select("doc_id", "text"), index)
+    return out.select("doc_id", held_out.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language": op2_language,
     "op3_simhash": op3_simhash,
+    "op4_top_k": op4_top_k,
     "op5_decontamination": op5_decontamination,
+    "op6_privacy": op6_privacy,
     "op7_packing": op7_packing,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
@@ -105,3 +126,16 @@ select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(n_hit, 0) as n_hi
   sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(d.w) as contaminated
 from words d left join hits using (doc_id) left join listed using (doc_id)
 """
+
+ORACLES["op4_top_k"] = """
+with v as (
+  select vec_id, [floor(64 * cast(x as double)) for x in embedding] as e from embeddings
+  where vec_id is not null and embedding is not null and len([1 for x in embedding if x is null or not isfinite(x)]) = 0
+), scored as (
+  select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score
+  from v q join v c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id and len(c.e) = len(q.e)
+), ranked as (
+  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from scored
+)
+select query_id, rank, vec_id, score from ranked where rank <= 20
+"""
