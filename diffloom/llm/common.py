@@ -29,8 +29,7 @@ NOT_SPACE[list(SPACE)] = False
 ALNUM = np.zeros(256, dtype=bool)  # digits, a-z and every byte of a non-ASCII character
 ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
-_BASE = 0x9E3779B97F4A7C15  # any odd number; its inverse below undoes it modulo 2**64
-_UNBASE = pow(_BASE, -1, 1 << 64)
+_BASE, OTHER_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # any two odd numbers
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -114,11 +113,12 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> t
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of data[start:end] for each span."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
+    """A 64-bit hash of data[start:end] for each span, from one running sum. Another odd ``base``, another hash."""
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data), _BASE), out=sums[1:], dtype=np.uint64)
-    return mix((sums[ends] - sums[starts]) * powers(len(data) + 1, _UNBASE)[starts] + (ends - starts).astype(np.uint64))
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data), base), out=sums[1:], dtype=np.uint64)
+    undo = powers(len(data) + 1, pow(base, -1, 1 << 64))
+    return mix((sums[ends] - sums[starts]) * undo[starts] + (ends - starts).astype(np.uint64))
 
 
 def gram_hashes(tokens: np.ndarray, k: int) -> np.ndarray:
@@ -160,3 +160,44 @@ def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
+
+
+def anchors(grams: np.ndarray, doc: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Window dedup's common ground. Every window of ``window`` tokens inside a document picks its smallest gram;
+    equal windows pick it at the same place. Returns the picked positions and the first and last window start that
+    pick each: neighbouring windows that share their pick are one context."""
+    chosen = winnow(grams, window - gram + 1)
+    starts = np.flatnonzero(doc[: len(chosen)] == doc[window - 1 :]) if len(chosen) else np.zeros(0, np.int64)
+    if not len(starts):
+        return starts, starts, starts
+    at = chosen[starts]
+    new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1))))
+    return at[new], starts[new], starts[np.concatenate((new[1:] - 1, [len(starts) - 1]))]
+
+
+def later_than(first: Column) -> Column:
+    """The row's place (_id, _th, lo) comes after ``first``."""
+    return F.struct("_id", "_th", "lo") > first
+
+
+def later_windows(windows: DataFrame, keys: list[str]) -> DataFrame:
+    """(_id, _th, lo) of the windows that do not start first among those with equal ``keys``."""
+    firsts = windows.groupBy(*keys).agg(F.min(F.struct("_id", "_th", "lo")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return windows.join(firsts.drop("n"), keys).filter(later_than(F.col("first"))).select("_id", "_th", "lo")
+
+
+def union_of(spans: list, width: int, length: int) -> np.ndarray:
+    """Marks the tokens that windows starting in any of the (lo, hi) spans cover."""
+    steps = np.zeros(length + 1, dtype=np.int64)
+    if spans:
+        lo, hi = np.array([s["lo"] for s in spans]), np.array([s["hi"] for s in spans])
+        np.add.at(steps, lo, 1), np.add.at(steps, np.minimum(hi + width, length), -1)
+    return np.cumsum(steps[:-1]) > 0
+
+
+def with_spans(docs: DataFrame, spans: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """``docs``, ``_text`` and ``_covered``: the (lo, hi) spans of window starts found for each row."""
+    found = spans.groupBy("_id", "_th").agg(F.collect_list(F.struct("lo", "hi")).alias("_covered"))
+    known = docs.withColumns({"_i": F.col(doc_id).cast("long"), "_t": F.xxhash64(F.col(text)), "_text": F.col(text)})
+    joined = known.join(found, known["_i"].eqNullSafe(found["_id"]) & (known["_t"] == found["_th"]), "left")
+    return joined.select(*[known[c] for c in docs.columns], "_text", "_covered")

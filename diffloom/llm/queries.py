@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diffloom.llm import decontaminate, language, line_dedup, packing, privacy, simhash, topk, toxicity
+from diffloom.llm import decontaminate, language, line_dedup, packing, phrase_dedup, privacy, simhash, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +64,11 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
+def op8_phrase_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = phrase_dedup.drop_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2("_kept", 256).alias("kept_sha256"))
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     held_out = F.coalesce(remainder(3) == 1, F.lit(False))
@@ -80,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op5_decontamination": op5_decontamination,
     "op6_privacy": op6_privacy,
     "op7_packing": op7_packing,
+    "op8_phrase_dedup": op8_phrase_dedup,
     "op9_toxicity": op9_toxicity,
 }
 
