@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diffloom.llm import decontaminate, language, line_dedup, packing, phrase_dedup, privacy, simhash, topk, toxicity
+from diffloom.llm import decontaminate, language, line_dedup, packing, phrase_dedup, privacy, simhash, suffix_dedup, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,6 +77,13 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = suffix_dedup.drop_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.size("_spans").cast("long").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256")
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language": op2_language,
@@ -87,6 +94,7 @@ QUERIES: dict[str, Query] = {
     "op7_packing": op7_packing,
     "op8_phrase_dedup": op8_phrase_dedup,
     "op9_toxicity": op9_toxicity,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLES: dict[str, str] = {}
