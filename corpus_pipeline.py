@@ -12,29 +12,36 @@ from diffloom.llm.common import settle
 LEAST_LANGUAGE_SHARE = 0.5
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """What the stages read, and the whole row beside it: no name in it can meet a name of the operators."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Drops documents without a letter, and those that no language fills by half. Learns from the rows with a
     language, except the quarter held out for judging the operator."""
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
     model = language.fit(docs, ~held_out & F.col("doc_id").isNotNull())
-    judged = language.identify(docs, model)
-    return judged.filter((F.col("_lang") != "und") & (F.col("_score") >= LEAST_LANGUAGE_SHARE)).select(*docs.columns)
+    judged = language.identify(packed(docs), model)
+    return judged.filter((F.col("_lang") != "und") & (F.col("_score") >= LEAST_LANGUAGE_SHARE)).select("row.*")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Takes lines found in ten documents or more out of all of them."""
-    out = line_dedup.dedup_lines(docs)
-    return out.select(*[F.col("_kept").alias("text") if c == "text" else F.length("_kept").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
+    out = line_dedup.dedup_lines(packed(docs))
+    new = {"text": F.col("_kept"), "n_chars": F.length("_kept").cast("long")}
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Of each group of near-duplicates the row with the smallest (doc_id, text hash) stays."""
-    return simhash.keep_one(docs)
+    return simhash.keep_one(packed(docs)).select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Drops documents of which a twentieth or more is benchmark text."""
     benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
-    return decontaminate.decontaminate(docs, benchmark).filter(~F.col("_contaminated")).select(*docs.columns)
+    return decontaminate.decontaminate(packed(docs), benchmark).filter(~F.col("_contaminated")).select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from diffloom.session import cut
 
@@ -29,6 +30,11 @@ NOT_SPACE[list(SPACE)] = False
 ALNUM = np.zeros(256, dtype=bool)  # digits, a-z and every byte of a non-ASCII character
 ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
+_OWN = set(
+    "_id _th _i _t _n _no _text _all _hit _cuts _lines _dropped _kept _met _covered _batch _lang _score _evidence _base _spans _items _contaminated "
+    "_n_words _n_hit _n_removed _n_bytes _n_email _n_ip _n_card _n_phone".split()
+)
+
 _BASE, OTHER_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # any two odd numbers
 
 
@@ -42,6 +48,17 @@ def settle(df: DataFrame) -> DataFrame:
     return out
 
 
+def own_names(docs: DataFrame) -> DataFrame:
+    """``docs`` without the columns whose names the operators use for themselves: all begin with an underscore. A
+    caller that must keep such a column packs its row into one struct first, as the pipeline does."""
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in _OWN])
+
+
+def extended(docs: DataFrame, ddl: str) -> StructType:
+    """The schema of ``docs`` followed by the columns of ``ddl``."""
+    return StructType(docs.schema.fields + StructType.fromDDL(ddl).fields)
+
+
 def fold_ascii(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)

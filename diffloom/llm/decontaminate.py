@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from diffloom.llm.common import ALNUM, fold_ascii, fold_bytes, gram_hashes, lists, row_id, settle, signed, slices, span_hashes, text_or_empty, winnow, word_bounds
+from diffloom.llm.common import ALNUM, extended, fold_ascii, fold_bytes, gram_hashes, lists, own_names, row_id, settle, signed, slices, span_hashes, text_or_empty, winnow, word_bounds
 
 WINDOW, GRAM = 13, 5
 
@@ -115,8 +115,7 @@ def _judge(df: DataFrame, window: int) -> DataFrame:
             made = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, span)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *made], names=[*kept, "_n_words", "_n_hit", "_items", "_spans"])
 
-    fields = ", ".join(f"`{c}` {t}" for c, t in df.dtypes if c in kept)
-    return df.mapInArrow(work, f"{fields}, {extra}")
+    return df.mapInArrow(work, extended(df.select(*kept), extra))
 
 
 def decontaminate(
@@ -124,6 +123,7 @@ def decontaminate(
 ) -> DataFrame:
     """All columns of ``docs``, and ``_n_words``, ``_n_hit``, ``_items`` (ids as sorted strings), ``_spans`` (hit word
     ranges), ``_contaminated`` (at least a twentieth of the words are hit)."""
+    docs = own_names(docs)
     given = benchmark.filter(F.col(item_id).isNotNull()).select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("_text"))
     items = settle(given.distinct())
     # Items may share an id but not a text, so a text has a number of its own.

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from diffloom.llm.common import mix, slices, span_hashes, word_bounds
+from diffloom.llm.common import extended, mix, own_names, slices, span_hashes, word_bounds
 
 PER_LABEL, MAX_LABELS, SAMPLE_CHARS = 400, 64, 2000
 BUCKETS = 1 << 16
@@ -259,6 +259,7 @@ def fit(docs: DataFrame, trainable: Column, text: str = "text", lang: str = "lan
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """All columns of ``docs``, and ``_lang`` and ``_score``."""
+    docs = own_names(docs)
     kept = docs.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,5 +284,4 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
                 scores += np.where(lettered, share.clip(0, 1), 0.0).tolist()
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "_lang", "_score"])
 
-    fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return docs.withColumn("_text", F.col(text)).mapInArrow(work, f"{fields}, _lang string, _score double")
+    return docs.withColumn("_text", F.col(text)).mapInArrow(work, extended(docs, "_lang string, _score double"))

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from diffloom.llm.common import fold_ascii, row_id, settle, text_or_empty
+from diffloom.llm.common import fold_ascii, own_names, row_id, settle, text_or_empty
 
 KEY = ["h1", "h2"]
 
@@ -97,5 +97,6 @@ def drop_lines(docs: DataFrame, frequent: DataFrame, text: str = "text", doc_id:
 
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = 10, batches: int = 4, fan_in: int = 2) -> DataFrame:
     """``docs`` and what line dedup makes of each row: ``_lines``, ``_dropped``, ``_kept``."""
+    docs = own_names(docs)
     runs = build_runs(docs, text, min_docs, batches, fan_in)
     return drop_lines(docs, frequent_lines(runs, min_docs), text, doc_id)

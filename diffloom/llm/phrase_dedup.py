@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from diffloom.llm.common import (
-    NOT_SPACE, OTHER_BASE, anchors, gram_hashes, later_than, later_windows, lists, settle, signed, slices, span_hashes, union_of, with_spans, word_bounds,
+    NOT_SPACE, OTHER_BASE, anchors, extended, gram_hashes, later_than, later_windows, lists, own_names, settle, signed, slices, span_hashes, union_of, with_spans, word_bounds,
 )
 
 WINDOW, GRAM = 20, 8
@@ -146,6 +146,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 def drop_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, gram: int = GRAM, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """All columns of ``docs``, ``_n_words``, ``_n_removed`` and ``_kept``: the words that stay, joined by one blank."""
+    docs = own_names(docs)
     spans = repeated_spans(docs, text, doc_id, window, gram, batch_bytes)
     joined = with_spans(docs, spans, text, doc_id)
     kept = docs.columns
@@ -161,5 +162,4 @@ def drop_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
             made = [pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *made], names=[*kept, "_n_words", "_n_removed", "_kept"])
 
-    fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return joined.mapInArrow(work, f"{fields}, _n_words long, _n_removed long, _kept string")
+    return joined.mapInArrow(work, extended(docs, "_n_words long, _n_removed long, _kept string"))

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from diffloom.llm.common import extended, own_names
+
 KINDS = ("email", "ip", "card", "phone")
 
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]")
@@ -239,6 +241,7 @@ def written(spans: dict[str, list[Span]]) -> str:
 
 def find_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns of ``docs``; ``_base`` and ``_spans`` (kind:start:end, comma-joined), and counts of base spans."""
+    docs = own_names(docs)
     kept = docs.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,6 +253,5 @@ def find_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
             numbers = [pa.array([c[i] for c in counts], pa.int64()) for i in range(len(KINDS))]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(base, pa.string()), pa.array(every, pa.string()), *numbers], names=[*kept, "_base", "_spans", *[f"_n_{k}" for k in KINDS]])
 
-    fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
     counts = ", ".join(f"_n_{k} long" for k in KINDS)
-    return docs.withColumn("_text", F.col(text)).mapInArrow(work, f"{fields}, _base string, _spans string, {counts}")
+    return docs.withColumn("_text", F.col(text)).mapInArrow(work, extended(docs, f"_base string, _spans string, {counts}"))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from diffloom.llm.common import settle
+from diffloom.llm.common import own_names, settle
 
 #: Fingerprints of a bucket that are compared in one group.
 BUCKET = 4096
@@ -201,6 +201,7 @@ def hex_of(fp: str = "fp"):
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
     """The rows of ``docs``, one of each component: the smallest by doc_id, then by hash of the text. Copies with the
     same id and text count as one row."""
+    docs = own_names(docs)
     names = docs.columns
     near = near_duplicates(docs, text, doc_id, shingle, radius, bucket)
     best = near.groupBy("root").agg(F.min(F.struct("_id", "_th")).alias("best"))

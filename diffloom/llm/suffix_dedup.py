@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from diffloom.llm.common import OTHER_BASE, anchors, later_windows, lists, settle, signed, slices, span_hashes, union_of, with_spans
+from diffloom.llm.common import OTHER_BASE, anchors, extended, later_windows, lists, own_names, settle, signed, slices, span_hashes, union_of, with_spans
 
 WINDOW, GRAM = 100, 32
 #: Bytes of contexts that a task sorts into one run, and contexts of a range, about.
@@ -272,7 +272,7 @@ def _splitters(named: DataFrame, ranges: int, window: int, gram: int) -> list[by
     """Suffixes that part the contexts into about even ranges, from a sample of ``OVERSAMPLE`` for each range."""
     rows = named.agg(F.sum(F.octet_length("_text")).alias("n")).first()["n"] or 0
     share = min(1.0, ranges * OVERSAMPLE * gram * 2 / max(1, rows))  # of the anchors: one in about gram bytes
-    limit = np.uint64(int(share * ((1 << 64) - 1)))
+    limit = np.uint64(min((1 << 64) - 1, int(share * (1 << 64))))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -306,6 +306,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def drop_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, gram: int = GRAM, range_rows: int = RANGE_ROWS) -> DataFrame:
     """All columns of ``docs``; ``_n_bytes``, ``_n_removed``, ``_spans`` (removed byte ranges, end exclusive) and
     ``_kept`` (the remaining bytes)."""
+    docs = own_names(docs)
     spans = repeated_spans(docs, text, doc_id, window, gram, range_rows)
     joined = with_spans(docs, spans, text, doc_id)
     kept = docs.columns
@@ -323,5 +324,4 @@ def drop_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
             made = [pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, span), pa.array(texts, pa.binary())]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *made], names=[*kept, "_n_bytes", "_n_removed", "_spans", "_kept"])
 
-    fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return joined.mapInArrow(work, f"{fields}, _n_bytes long, _n_removed long, _spans array<struct<start:int,end:int>>, _kept binary")
+    return joined.mapInArrow(work, extended(docs, "_n_bytes long, _n_removed long, _spans array<struct<start:int,end:int>>, _kept binary"))

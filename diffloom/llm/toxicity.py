@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from diffloom.llm.common import lists, mix, signed, slices, span_hashes, word_bounds
+from diffloom.llm.common import extended, lists, mix, own_names, signed, slices, span_hashes, word_bounds
 
 PER_CLASS, MIN_EXAMPLES, ASSOCIATION = 1000, 4, 10.8
 BLOCK, NEIGHBOURS = 64, 15
@@ -242,6 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, trainable: Column, per_class: int =
 
 def score(docs: DataFrame, index: Index, text: str = "text", k: int = NEIGHBOURS) -> DataFrame:
     """All columns of ``docs``, ``_score`` and ``_evidence`` (the neighbours: id, cosine, toxic)."""
+    docs = own_names(docs)
     kept = docs.columns
     evidence = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
 
@@ -258,5 +259,4 @@ def score(docs: DataFrame, index: Index, text: str = "text", k: int = NEIGHBOURS
                     seen.append([{"id": int(index.ids[i]), "cosine": float(c), "toxic": int(index.toxic[i])} for i, c in zip(best, cosine, strict=True)])
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(scores, pa.float64()), pa.array(seen, evidence)], names=[*kept, "_score", "_evidence"])
 
-    fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return docs.withColumn("_text", F.col(text)).mapInArrow(work, f"{fields}, _score double, _evidence array<struct<id:bigint,cosine:double,toxic:int>>")
+    return docs.withColumn("_text", F.col(text)).mapInArrow(work, extended(docs, "_score double, _evidence array<struct<id:bigint,cosine:double,toxic:int>>"))
