@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\x0B\p{Z}\x{FEFF}]"
 SPACES = SPACE + "+"
 
-# A token is a quoted string kept whole, a word run, or any other single character that is
-# not a space; a quote right after a word character is an apostrophe.
+# What one token of a line is. In order: text between quotes of one kind, with escapes; letters, digits
+# and underscores in a row; one other visible character. After a word character a quotation mark opens nothing.
+# Runs and escapes alternate in a loop, so a long quotation costs the matcher no stack.
+_QUOTED = "|".join(rf"{q}[^{q}\\]*(?:\\.[^{q}\\]*)*{q}" for q in "\"'`")
 TOKEN = (
-    r"(?<![\p{L}\p{N}_])(?:\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`)"
+    rf"(?<![\p{{L}}\p{{N}}_])(?:{_QUOTED})"
     r"|[\p{L}\p{N}_]+|[^\s\x0B\p{Z}\x{FEFF}\p{L}\p{N}_]"
 )
 WORD = r"[\p{L}_$][\p{L}\p{N}_$]*"
@@ -46,6 +48,11 @@ def line_key(text: Column) -> Column:
     return F.to_json(F.transform(tokens(text), lambda t: F.regexp_replace(t, SPACES, "")))
 
 
+def compare_key(text: Column) -> Column:
+    """``line_key`` as plain text: two lines are equal when their keys are; a blank line's is empty."""
+    return F.array_join(F.transform(tokens(text), lambda t: F.regexp_replace(t, SPACES, "")), "\u0001")
+
+
 def text_hash(text: Column) -> Column:
     """A whitespace-insensitive content hash of a line or a node."""
     return F.md5(F.array_join(tokens(text), "\u0001"))

@@ -1,14 +1,14 @@
 """Line alignment: pairs of equal lines of two versions, one to one and in order.
 
-All rounds are windows over one table that is shuffled once by the file pair; every window partition is a
-part of one file pair, whose texts already were one row each, so no partition outgrows a row of the input.
-
-Per round, lines still open are matched inside their gap (the run between two kept pairs) when their key
-occurs once on both sides, in later rounds when ``(key, occurrence)`` does. The matches of a gap, ranked
-on both sides, form a permutation. It splits into components: runs that hold the same ranks on both sides.
-Inside a component the heaviest block of consecutive matches (the earliest among equals) is kept; blocks
-of different components never cross, so what is kept is increasing. Kept pairs split the gap, and the
-next round looks inside.
+Lines are matched inside their gap (the run between two kept pairs) when their key occurs once on both sides, in
+later rounds when ``(key, occurrence)`` does. The matches of a gap, ranked on both sides, form a permutation. It
+splits into components: runs that hold the same ranks on both sides. Inside a component the heaviest block of
+consecutive matches (the earliest among equals) is kept; blocks of different components never cross, so what is kept
+is increasing. Kept pairs split the gap, and the next round looks inside, until no gap holds a key of both sides.
+
+What a round works on shrinks: texts are not in it (two hashes stand for a key), common heads and tails and the lines
+of one-sided files never enter, and lines that are paired, or whose key is gone from the other side of their gap,
+leave. Every window partition is a part of one file pair, whose texts already were one row each.
 """
 
 from __future__ import annotations
@@ -16,84 +16,101 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from diffloom.session import cut
+
 UNIQUE_ROUNDS = 2
+KEY = ["_k1", "_k2"]
 
 
-def align_lines(lines: DataFrame, by: list[str], rounds: int = 5) -> DataFrame:
-    """``lines`` has ``by``, ``side`` ('a' or 'b'), ``line_no`` from 1 and ``key``. Adds ``mate`` (the line
-    it pairs with on the other side, or null) and ``gap`` (kept pairs up to and including the line)."""
+def _ends(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``mate`` for the lines of the common head and of the common tail below it."""
     in_a, in_b = F.col("side") == "a", F.col("side") == "b"
-    open_ = F.col("mate").isNull()
-    carried = lines.columns
 
     def side_values(window, value):
-        return (
-            F.max(F.when(in_a, value)).over(window),
-            F.max(F.when(in_b, value)).over(window),
-        )
+        return F.max(F.when(in_a, value)).over(window), F.max(F.when(in_b, value)).over(window)
 
-    # Common head: equal keys at equal line numbers from the top.
     at_line = Window.partitionBy(*by, "line_no")
-    key_a, key_b = side_values(at_line, F.col("key"))
-    rows = lines.repartition(*by).withColumn("_eq", F.coalesce((key_a == key_b).cast("int"), F.lit(0)))
+    key_a, key_b = side_values(at_line, F.struct(*KEY))
+    rows = rows.withColumn("_eq", F.coalesce((key_a == key_b).cast("int"), F.lit(0)))
     down = Window.partitionBy(*by, "side").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     whole_side = Window.partitionBy(*by, "side")
     rows = rows.withColumn("_head", F.min("_eq").over(down) == 1).withColumn(
         "_rev", F.max("line_no").over(whole_side) - F.col("line_no")
     )
-    # Common tail: the same from the bottom, over lines outside the head.
     from_end = Window.partitionBy(*by, "_rev", "_head")
-    key_a, key_b = side_values(from_end, F.col("key"))
+    key_a, key_b = side_values(from_end, F.struct(*KEY))
     line_a, line_b = side_values(from_end, F.col("line_no"))
-    rows = (
-        rows.withColumn("_eq", F.coalesce((key_a == key_b).cast("int"), F.lit(0)))
-        .withColumn("_other", F.when(in_a, line_b).otherwise(line_a))
-    )
+    rows = rows.withColumns({"_eq": F.coalesce((key_a == key_b).cast("int"), F.lit(0)), "_other": F.when(in_a, line_b).otherwise(line_a)})
     up = Window.partitionBy(*by, "side", "_head").orderBy("_rev").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_tail", ~F.col("_head") & (F.min("_eq").over(up) == 1)).withColumn(
-        "mate", F.when(F.col("_head"), F.col("line_no")).when(F.col("_tail"), F.col("_other"))
+    tail = ~F.col("_head") & (F.min("_eq").over(up) == 1)
+    return rows.withColumn("_tail", tail).select(
+        *by, "side", "line_no", *KEY, F.when(F.col("_head"), F.col("line_no")).when(F.col("_tail"), F.col("_other")).alias("mate")
     )
-    rows = rows.withColumn("gap", F.count("mate").over(down)).select(*carried, "mate", "gap")
-
-    for round_no in range(rounds):
-        group = [*by, "gap", "key", "_open"]
-        rows = rows.withColumn("_open", open_)
-        if round_no >= UNIQUE_ROUNDS:
-            nth = Window.partitionBy(*by, "gap", "key", "_open", "side").orderBy("line_no")
-            rows = rows.withColumn("_nth", F.row_number().over(nth))
-            group = [*group, "_nth"]
-        same_key = Window.partitionBy(*group)
-        line_a, line_b = side_values(same_key, F.col("line_no"))
-        one_each = (F.count(F.when(in_a, 1)).over(same_key) == 1) & (F.count(F.when(in_b, 1)).over(same_key) == 1)
-        rows = rows.withColumns({"_a": line_a, "_b": line_b, "_cand": F.col("_open") & one_each})
-        # Both sides see the same matches and compute the same blocks.
-        gap = [*by, "gap", "side", "_cand"]
-        by_b = Window.partitionBy(*gap).orderBy("_b", "line_no")
-        by_a = Window.partitionBy(*gap).orderBy("_a", "line_no")
-        upto = by_a.rowsBetween(Window.unboundedPreceding, 0)
-        rows = rows.withColumns({"_rb": F.row_number().over(by_b), "_ra": F.row_number().over(by_a)})
-        top = F.max("_rb").over(by_a.rowsBetween(Window.unboundedPreceding, -1))
-        rows = rows.withColumns(
-            {"_shift": F.col("_rb") - F.col("_ra"), "_new_part": (F.coalesce(top, F.lit(0)) == F.col("_ra") - 1).cast("int")}
-        ).withColumn("_new_block", (F.lag("_shift").over(by_a) != F.col("_shift")).cast("int"))
-        rows = rows.withColumns(
-            {
-                "_block": F.coalesce(F.sum("_new_block").over(upto), F.lit(0)),
-                "_part": F.sum("_new_part").over(upto),
-            }
-        )
-        block = Window.partitionBy(*gap, "_part", "_block")
-        part = Window.partitionBy(*gap, "_part")
-        rows = rows.withColumn("_weight", F.struct(F.count(F.lit(1)).over(block), -F.col("_block")))
-        best = F.max("_weight").over(part) == F.col("_weight")
-        rows = rows.withColumn(
-            "mate",
-            F.when(F.col("_cand") & best, F.when(in_a, F.col("_b")).otherwise(F.col("_a"))).otherwise(
-                F.col("mate")
-            ),
-        ).withColumn("gap", F.count("mate").over(down))
-        rows = rows.select(*carried, "mate", "gap")
-    return rows
+
+
+def _kept(pairs: DataFrame, group: list[str]) -> DataFrame:
+    """Of candidate pairs ``_a``, ``_b`` per gap, the heaviest block of each component."""
+    by_a = Window.partitionBy(*group).orderBy("_a")
+    upto = by_a.rowsBetween(Window.unboundedPreceding, 0)
+    rows = pairs.withColumn("_rb", F.row_number().over(Window.partitionBy(*group).orderBy("_b"))).withColumn("_ra", F.row_number().over(by_a))
+    top = F.max("_rb").over(by_a.rowsBetween(Window.unboundedPreceding, -1))
+    shift = F.col("_rb") - F.col("_ra")
+    rows = rows.withColumns({"_new_part": (F.coalesce(top, F.lit(0)) == F.col("_ra") - 1).cast("int"), "_new_block": (F.lag(shift).over(by_a) != shift).cast("int")})
+    rows = rows.withColumns({"_block": F.coalesce(F.sum("_new_block").over(upto), F.lit(0)), "_part": F.sum("_new_part").over(upto)})
+    rows = rows.withColumn("_weight", F.struct(F.count(F.lit(1)).over(Window.partitionBy(*group, "_part", "_block")), -F.col("_block")))
+    best = F.max("_weight").over(Window.partitionBy(*group, "_part"))
+    return rows.withColumn("_best", best).filter("_weight = _best").select(*group, "_a", "_b")
+
+
+def _round(open_: DataFrame, by: list[str], unique: bool) -> DataFrame:
+    """``open_`` (by, side, line_no, keys, _gap) with the mates this round finds."""
+    group = [*by, "_gap"]
+    in_a, in_b = F.col("side") == "a", F.col("side") == "b"
+    nth = F.lit(1) if unique else F.row_number().over(Window.partitionBy(*group, *KEY, "side").orderBy("line_no"))
+    n_a, n_b = F.count(F.when(in_a, 1)), F.count(F.when(in_b, 1))
+    sides = open_.withColumn("_nth", nth).groupBy(*group, *KEY, "_nth").agg(
+        n_a.alias("_n_a"), n_b.alias("_n_b"), F.max(F.when(in_a, F.col("line_no"))).alias("_a"), F.max(F.when(in_b, F.col("line_no"))).alias("_b")
+    )
+    kept = _kept(sides.filter("_n_a = 1 and _n_b = 1").select(*group, "_a", "_b"), group)
+    ends = F.array(*[F.struct(F.lit(s).alias("side"), F.col(own).alias("line_no"), F.col(other).alias("mate")) for s, own, other in (("a", "_a", "_b"), ("b", "_b", "_a"))])
+    mates = kept.select(*group, F.explode(ends).alias("_e")).select(*group, "_e.*")
+    upto = Window.partitionBy(*group, "side").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    found = open_.join(mates, [*group, "side", "line_no"], "left")
+    # A gap's name is the way to it: the parts it lies in, round by round, alike on both sides.
+    return found.withColumn("_gap", F.concat_ws(".", "_gap", F.count("mate").over(upto).cast("string")))
+
+
+def _still_open(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Unpaired lines whose key both sides of their gap hold; no others can be paired any more."""
+    rows = rows.filter("mate is null").drop("mate")
+    same = Window.partitionBy(*by, "_gap", *KEY)
+    both = F.min("side").over(same) < F.max("side").over(same)
+    return rows.withColumn("_both", both).filter("_both").drop("_both")
+
+
+def align_lines(lines: DataFrame, by: list[str], rounds: int | None = None) -> DataFrame:
+    """``lines`` has ``by``, ``side`` ('a' or 'b'), ``line_no`` from 1 and ``key``. Adds ``mate`` (the line
+    it pairs with on the other side, or null) and ``gap`` (kept pairs up to and including the line).
+    ``rounds`` None goes on until nothing more pairs; 0 keeps the common head and tail alone."""
+    keyed = lines.select(*by, "side", "line_no", F.xxhash64("key").alias("_k1"), F.xxhash64(F.lit(1), "key").alias("_k2"))
+    two_sided = keyed.groupBy(*by).agg(F.min("side").alias("_s"), F.max("side").alias("_t")).filter("_s < _t").select(*by)
+    ended = _ends(keyed.join(two_sided, by, "left_semi"), by)
+    state = cut(ended.withColumn("_gap", F.lit("0")))
+    found = [state.filter("mate is not null")]
+    number = 0
+    while rounds is None or number < rounds:
+        open_ = _still_open(state, by)
+        if number >= UNIQUE_ROUNDS and open_.isEmpty():
+            break
+        state = cut(_round(open_, by, number < UNIQUE_ROUNDS))
+        found.append(state.filter("mate is not null"))
+        number += 1
+    mates = found[0].select(*by, "side", "line_no", "mate")
+    for part in found[1:]:
+        mates = mates.unionByName(part.select(*by, "side", "line_no", "mate"))
+    down = Window.partitionBy(*by, "side").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = lines.join(mates, [*by, "side", "line_no"], "left").withColumn("gap", F.count("mate").over(down))
+    return rows.select(*lines.columns, "mate", "gap")
 
 
 def line_map(aligned: DataFrame, by: list[str]) -> DataFrame:

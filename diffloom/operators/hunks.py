@@ -51,7 +51,7 @@ def rescue_lines(rows: DataFrame, by: list[str]) -> DataFrame:
     )
     nth = Window.partitionBy(*by, "gap", "side").orderBy("_line")
     lines = lines.withColumn("line_no", F.row_number().over(nth)).withColumnRenamed("gap", "hunk")
-    mated = align_lines(lines, [*by, "hunk"], rounds=3)
+    mated = align_lines(lines, [*by, "hunk"])
     a = mated.filter("side = 'a' and mate is not null").select(*by, "hunk", F.col("_line").alias("line_a"), F.col("mate").alias("_m"))
     b = mated.filter("side = 'b'").select(*by, "hunk", F.col("_line").alias("line_b"), F.col("line_no").alias("_m"))
     return a.join(b, [*by, "hunk", "_m"]).select(*by, "hunk", "line_a", "line_b")

@@ -7,8 +7,8 @@ from diffloom.operators import hunks as H
 from diffloom.operators import interdiff as I
 from diffloom.operators import snapshots as S
 from diffloom.functions import text as T
-from diffloom.functions.text import solid
-from diffloom.plans.line_queries import BY, align_sql, duck_lines
+from diffloom.functions.text import compare_key
+from diffloom.plans.line_queries import BY, align_sql, duck_key, duck_lines
 from diffloom.plans.registry import Data, oracle_fragment, query
 from diffloom.sources.blobs import explode_lines
 
@@ -53,7 +53,7 @@ def _(d):
 oracle_fragment("all_texts", "select blob_id, any_value(text) text from (select blob_id, text from snap_before union all select blob_id, text from snap_after union all select blob_id, text from snap_later) t group by 1")
 oracle_fragment("three_pairs", """select 'first' kind, diffset_id, path, "before", "after" from first_changes where "before" is distinct from "after" union all
  select 'later', diffset_id, path, "before", "after" from later_changes where "before" is distinct from "after" union all select 'between', diffset_id, path, "before", "after" from iteration_pairs""")
-oracle_fragment("three_lines", f"""select kind, diffset_id, path, side, i line_no, l text, regexp_replace(l, '{T.SPACES}', '', 'g') key from (
+oracle_fragment("three_lines", f"""select kind, diffset_id, path, side, i line_no, l text, {duck_key('l')} key from (
  select kind, diffset_id, path, side, unnest(ls) l, generate_subscripts(ls, 1) i from (
  select kind, diffset_id, path, side, {duck_lines('text')} ls from (
    select p.*, 'a' side, coalesce(t.text, '') text from three_pairs p left join all_texts t on t.blob_id = p."before"
@@ -73,7 +73,7 @@ def three_aligned(d: Data):
         blobs = blobs.groupBy("blob_id").agg(F.any_value("text").alias("text"))
         sides = pairs.select(*KEY, F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("before").alias("blob_id")), F.struct(F.lit("b").alias("side"), F.col("after").alias("blob_id")))).alias("s"))
         sides = sides.select(*KEY, "s.side", "s.blob_id").join(blobs, "blob_id").select(*KEY, "side", "text")
-        return A.align_lines(explode_lines(sides).withColumn("key", solid(F.col("text"))), KEY)
+        return A.align_lines(explode_lines(sides).withColumn("key", compare_key(F.col("text"))), KEY)
 
     return d.shared("three_aligned", build)
 

@@ -250,7 +250,7 @@ def _(d):
 # Hunks before any line inside them was matched: the common head and tail stripped, the rest one hunk.
 oracle_fragment("rescue_lines", r"""select *, row_number() over (partition by diffset_id, path, hunk, side order by line) line_no from (
  select diffset_id, path, gap hunk, side, line_no line, key from aligned_tail where mate is null and (regexp_matches(text, '[\p{L}\p{N}_]') or key = '')) x""")
-align_sql("rescued", "rescue_lines", "diffset_id, path, hunk", rounds=3)
+align_sql("rescued", "rescue_lines", "diffset_id, path, hunk")
 
 
 @query("w13_rescue_lines", "select a.diffset_id, a.path, a.hunk, a.line line_a, b.line line_b from rescued a join rescued b on b.side = 'b' and b.diffset_id = a.diffset_id and b.path = a.path and b.hunk = a.hunk and b.line_no = a.mate where a.side = 'a'")
