@@ -2,27 +2,25 @@
 
 ``Window.partitionBy(keys)`` sends a group to one task. That is fine where a group is the lines of one
 file (its text already is one row of the input), but not where a group is a change set, a reviewer or a
-device that may hold a third of all rows. ``running`` looks at the size of the largest group first, and
-spreads groups past ``ONE_TASK_ROWS`` over range partitions:
+device that may hold a third of all rows. ``running`` spreads groups of any size, on one path:
 
 1. range-partition by ``(keys, order)``, so a group's rows lie on neighbouring partitions in order;
 2. a window per (partition, keys) gives the running value inside the partition;
 3. per-partition totals of the groups that span partitions give each partition's starting value.
 
 Only the first group of a partition can continue from the partition before it, so step 3 is at most one
-row per partition, and that table may be broadcast whatever the data's size.
+row per partition, and that table may be broadcast whatever the data's size. A null key is a key like any other.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from diffloom.session import cut
 
-# A group up to this many rows is ordered by a plain window in one task; a larger one is spread.
-ONE_TASK_ROWS = 1_000_000
-
 _FOLD = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}
 
 
@@ -33,34 +31,19 @@ def _join_values(op: str, offset: Column, local: Column) -> Column:
     return F.when(offset.isNull(), local).when(local.isNull(), offset).otherwise(pick(offset, local))
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the largest group: an aggregate over the key columns alone, combined before its shuffle."""
-    counts = df.groupBy(*keys).count()
-    return counts.agg(F.max("count")).first()[0] or 0
-
-
 def running(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str | Column],
-    aggs: dict[str, tuple[str, Column]],
-    largest: int | None = None,
+    df: DataFrame, keys: list[str], order: list[str | Column], aggs: dict[str, tuple[str, Column]], partitions: int | None = None
 ) -> DataFrame:
     """Adds inclusive running aggregates ``{name: (op, column)}`` per ``keys`` in ``order``.
 
-    ``order`` must be a total order inside a group for the result to be deterministic. ``largest`` spares
-    the size check where the caller knows a bound on every group.
+    ``order`` must be a total order inside a group for the result to be deterministic. ``partitions`` fixes how many
+    tasks share the rows; by default the session does.
     """
     order = [F.col(o) if isinstance(o, str) else o for o in order]
-    if (largest_group(df, keys) if largest is None else largest) <= ONE_TASK_ROWS:
-        within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[_FOLD[op](c).over(within).alias(name) for name, (op, c) in aggs.items()])
-    return _spread(df, keys, order, aggs)
-
-
-def _spread(df: DataFrame, keys: list[str], order: list[Column], aggs: dict[str, tuple[str, Column]]) -> DataFrame:
     inputs = [c.alias(f"_in_{name}") for name, (_, c) in aggs.items()]
-    spread = df.select("*", *inputs).repartitionByRange(*[F.col(k) for k in keys], *order)
+    by = [*[F.col(k) for k in keys], *order]
+    spread = df.select("*", *inputs)
+    spread = spread.repartitionByRange(partitions, *by) if partitions else spread.repartitionByRange(*by)
     # The partition number is data from here on, so it is fixed once in shared storage.
     spread = cut(spread.withColumn("_part", F.spark_partition_id()))
     upto = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -78,7 +61,9 @@ def _spread(df: DataFrame, keys: list[str], order: list[Column], aggs: dict[str,
         F.count(F.lit(1)).over(before).alias("_earlier"),
         *[fold_totals[op](f"_tot_{n}").over(before).alias(f"_off_{n}") for n, (op, _) in aggs.items()],
     ).filter("_earlier > 0")
-    joined = local.join(F.broadcast(starts), ["_part", *keys], "left")
+    starts = starts.select(*[F.col(c).alias(f"_at_{c}") for c in ["_part", *keys]], *[f"_off_{n}" for n in aggs])
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in keys], F.col("_part") == F.col("_at__part"))
+    joined = local.join(F.broadcast(starts), same, "left")
     return joined.select(
         *[joined[c] for c in df.columns],
         *[
@@ -88,27 +73,9 @@ def _spread(df: DataFrame, keys: list[str], order: list[Column], aggs: dict[str,
     )
 
 
-def ranked(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str | Column],
-    name: str = "rank",
-    largest: int | None = None,
-) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: list[str | Column], name: str = "rank", partitions: int | None = None) -> DataFrame:
     """``row_number()`` per ``keys`` for groups of any size."""
-    return running(df, keys, order, {name: ("sum", F.lit(1).cast("bigint"))}, largest)
-
-
-def unique_rows(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose ``keys`` occur once. An aggregate with map-side combine, so a key that a third of
-    the rows share costs one partial row per task rather than a window over all of them."""
-    rest = [c for c in df.columns if c not in keys]
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), *[F.any_value(c).alias(c) for c in rest])
-        .filter("_n = 1")
-        .select(*df.columns)
-    )
+    return running(df, keys, order, {name: ("sum", F.lit(1).cast("bigint"))}, partitions)
 
 
 def spans(first: Column, last: Column, width: int = 64) -> Column:

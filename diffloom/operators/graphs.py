@@ -12,7 +12,7 @@ from diffloom.operators.snapshots import changed_ids
 from diffloom.session import cut
 
 
-def object_paths(objects: DataFrame, edges: DataFrame, max_depth: int = 10_000) -> DataFrame:
+def object_paths(objects: DataFrame, edges: DataFrame) -> DataFrame:
     """Each object's full path: its own part and its parents' up to the top, parts that are null or
     ``<group>`` left out. ``objects``: ``graph, object_id, part``; ``edges``: ``graph, parent, child``.
     A cycle ends the climb at the first object met twice. One join per level of the deepest path."""
@@ -22,7 +22,7 @@ def object_paths(objects: DataFrame, edges: DataFrame, max_depth: int = 10_000)
     step = own.join(up, ["graph", "_at"], "left")
     level = cut(step.select("graph", F.col("_at").alias("object_id"), F.array(F.col("_part")).alias("parts"), F.array("_at").alias("seen"), "_up"))
     done = None
-    for _ in range(max_depth):
+    while True:
         ended = F.col("_up").isNull() | F.array_contains("seen", F.col("_up"))
         out = level.filter(ended).select("graph", "object_id", "parts")
         done = out if done is None else done.unionByName(out)

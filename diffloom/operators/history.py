@@ -112,7 +112,7 @@ def resolve_specs(commits: DataFrame, names: DataFrame, specs: DataFrame) -> Dat
     return rows.select("repo_id", "spec", "sha")
 
 
-def merge_base(commits: DataFrame, pairs: DataFrame, max_depth: int = 1_000_000) -> DataFrame:
+def merge_base(commits: DataFrame, pairs: DataFrame) -> DataFrame:
     """The best common ancestor of each pair ``(pair_id, a, b)``: a common ancestor that is no ancestor of
     another one; the newest of several, null of none.
 
@@ -131,7 +131,7 @@ def merge_base(commits: DataFrame, pairs: DataFrame, max_depth: int = 1_000_000)
     )
     start = pairs.select("pair_id", F.explode(ends).alias("s")).select("pair_id", "s.*")
     seen = cut(start.groupBy("pair_id", "sha").agg(F.bit_or("bits").alias("bits"), F.lit(0).alias("old")))
-    for _ in range(max_depth):
+    while True:
         frontier = seen.filter("bits <> 3 and bits <> old")
         grown = frontier.join(near, "sha").select(
             "pair_id", F.col("above").alias("sha"), "bits", F.lit(0).alias("old")
@@ -157,14 +157,17 @@ def merge_base(commits: DataFrame, pairs: DataFrame, max_depth: int = 1_000_000)
     return pairs.join(newest, "pair_id", "left").select("pair_id", "a", "b", "merge_base")
 
 
-def expand_ids(prefixes: DataFrame, ids: DataFrame, fan: int = 4) -> DataFrame:
-    """Abbreviated ids (``fan`` characters at least) to full ones: ``id`` when one id begins so, ``matches``
-    counts them up to two. Prefixes are counted once however many rows ask for them."""
-    asked = prefixes.select(F.lower("prefix").alias("prefix")).distinct().filter(F.length("prefix") >= fan)
-    a = asked.select("prefix", F.substring("prefix", 1, fan).alias("_fan"))
-    b = ids.select("id", F.substring("id", 1, fan).alias("_fan")).distinct()
-    hits = a.join(b, "_fan").filter(F.col("id").startswith(F.col("prefix")))
-    found = hits.groupBy("prefix").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("_id"))
+def expand_ids(prefixes: DataFrame, ids: DataFrame) -> DataFrame:
+    """Abbreviated ids to full ones: ``id`` when one id begins so, ``matches`` counts them up to two. Prefixes are
+    counted once however many rows ask for them; each length asked for is an equi-join on so many characters."""
+    asked = prefixes.select(F.lower("prefix").alias("prefix")).filter("prefix <> ''").distinct()
+    lengths = sorted(r["n"] for r in asked.select(F.length("prefix").alias("n")).distinct().collect())  # at most an id's length
+    if not lengths:
+        return asked.select("prefix", F.lit(None).cast("string").alias("id"), F.lit(0).alias("matches"))
+    heads = F.array(*[F.substring("id", 1, n) for n in lengths])
+    known = ids.select("id").distinct().select("id", F.explode(F.array_distinct(heads)).alias("prefix"))
+    # A short prefix may fit a large share of all ids: counted before the shuffle, never listed.
+    found = known.join(asked, "prefix", "left_semi").groupBy("prefix").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("_id"))
     return asked.join(found, "prefix", "left").select(
         "prefix",
         F.when(F.col("_n") == 1, F.col("_id")).alias("id"),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from diffloom.functions.paths import base_name
-from diffloom.functions.scan import largest_group, ranked
+from diffloom.functions.scan import ranked
 from diffloom.session import cut
 
 # File modes and the id of the empty blob.
@@ -74,10 +74,8 @@ def pair_renames(changed: DataFrame) -> DataFrame:
     sides = gone.withColumn("side", F.lit("a")).unionByName(new.withColumn("side", F.lit("b")))
     sides = sides.withColumn("name", base_name(F.col("path")))
 
-    largest = largest_group(sides, ["diffset_id", "blob", "side"])
-
     def pair(rows: DataFrame, by: list[str]) -> DataFrame:
-        at = ranked(rows, ["diffset_id", "blob", *by, "side"], ["path"], "rank", largest)
+        at = ranked(rows, ["diffset_id", "blob", *by, "side"], ["path"], "rank")
         pick = lambda side, col: F.max(F.when(F.col("side") == side, F.col(col)))
         return (
             at.groupBy("diffset_id", "blob", *by, "rank")
@@ -114,32 +112,33 @@ def pair_renames(changed: DataFrame) -> DataFrame:
     return rest.select(*renamed.columns).unionByName(renamed)
 
 
-def flatten_trees(entries: DataFrame, roots: DataFrame, max_depth: int = 256) -> DataFrame:
+def flatten_trees(entries: DataFrame, roots: DataFrame) -> DataFrame:
     """Every file under each root, keyed by its path. ``roots`` has ``(snapshot_id, tree_id)``; level by
-    level, one join per level of the deepest tree."""
-    level = roots.select("snapshot_id", "tree_id", F.lit("").alias("prefix"))
+    level, one join per level of the deepest tree. A broken table in which a tree holds itself ends that way
+    down where its id comes round again."""
+    level = roots.select("snapshot_id", "tree_id", F.lit("").alias("prefix"), F.array("tree_id").alias("seen"))
     files = None
-    for _ in range(max_depth):
+    while True:
         step = cut(
             level.join(entries, "tree_id").select(
                 "snapshot_id",
                 F.concat("prefix", "name").alias("path"),
                 "mode",
                 F.col("child_id").alias("blob_id"),
+                "seen",
             )
         )
-        found = step.filter(F.col("mode") != TREE)
+        found = step.filter(F.col("mode") != TREE).drop("seen")
         files = found if files is None else files.unionByName(found)
-        trees = step.filter(F.col("mode") == TREE)
+        trees = step.filter((F.col("mode") == TREE) & ~F.array_contains("seen", F.col("blob_id")))
         if trees.isEmpty():
             return files
         level = trees.select(
-            "snapshot_id", F.col("blob_id").alias("tree_id"), F.concat("path", F.lit("/")).alias("prefix")
+            "snapshot_id", F.col("blob_id").alias("tree_id"), F.concat("path", F.lit("/")).alias("prefix"), F.concat("seen", F.array("blob_id")).alias("seen")
         )
-    raise ValueError(f"a tree is deeper than {max_depth} levels")
 
 
-def diff_trees(entries: DataFrame, pairs: DataFrame, max_depth: int = 256) -> DataFrame:
+def diff_trees(entries: DataFrame, pairs: DataFrame) -> DataFrame:
     """``diff_snapshots`` of two trees that never descends below equal subtree ids. ``pairs`` has
     ``(diffset_id, tree_a, tree_b)``, either side null for the empty tree. A level's work is the changed
     part of the trees at that level."""
@@ -149,15 +148,17 @@ def diff_trees(entries: DataFrame, pairs: DataFrame, max_depth: int = 256) -> Da
     b = entries.select(
         F.col("tree_id").alias("tree_b"), "name", F.col("mode").alias("mode_b"), F.col("child_id").alias("id_b")
     )
-    level = pairs.select("diffset_id", F.lit("").alias("prefix"), "tree_a", "tree_b")
+    # ``seen`` holds the pairs of trees on the way down; one that comes round again ends it.
+    both = lambda x, y: F.array(F.struct(F.coalesce(x, F.lit("")).alias("a"), F.coalesce(y, F.lit("")).alias("b")))
+    level = pairs.select("diffset_id", F.lit("").alias("prefix"), "tree_a", "tree_b", both(F.col("tree_a"), F.col("tree_b")).alias("seen"))
     out = None
-    for _ in range(max_depth):
-        left = level.join(a, "tree_a").select("diffset_id", "prefix", "name", "mode_a", "id_a")
-        right = level.join(b, "tree_b").select("diffset_id", "prefix", "name", "mode_b", "id_b")
+    while True:
+        left = level.join(a, "tree_a").select("diffset_id", "prefix", "name", "mode_a", "id_a", F.col("seen").alias("seen_a"))
+        right = level.join(b, "tree_b").select("diffset_id", "prefix", "name", "mode_b", "id_b", F.col("seen").alias("seen_b"))
         step = left.join(right, ["diffset_id", "prefix", "name"], "full_outer").filter(
             ~(F.col("id_a").eqNullSafe(F.col("id_b")) & F.col("mode_a").eqNullSafe(F.col("mode_b")))
         )
-        step = cut(step.withColumn("path", F.concat("prefix", "name")))
+        step = cut(step.withColumn("path", F.concat("prefix", "name")).withColumn("seen", F.coalesce("seen_a", "seen_b")).drop("seen_a", "seen_b"))
         tree_a, tree_b = (F.coalesce(F.col(m) == TREE, F.lit(False)) for m in ("mode_a", "mode_b"))
         found = step.select(
             "diffset_id",
@@ -168,17 +169,17 @@ def diff_trees(entries: DataFrame, pairs: DataFrame, max_depth: int = 256) -> Da
             F.when(~tree_b, F.col("id_b")).alias("id_b"),
         ).filter("id_a is not null or id_b is not null")
         out = found if out is None else out.unionByName(found)
-        deeper = step.filter(tree_a | tree_b)
+        down_a, down_b = F.when(tree_a, F.col("id_a")), F.when(tree_b, F.col("id_b"))
+        deeper = step.filter((tree_a | tree_b) & ~F.arrays_overlap("seen", both(down_a, down_b)))
         if deeper.isEmpty():
             break
         level = deeper.select(
             "diffset_id",
             F.concat("path", F.lit("/")).alias("prefix"),
-            F.when(tree_a, F.col("id_a")).alias("tree_a"),
-            F.when(tree_b, F.col("id_b")).alias("tree_b"),
+            down_a.alias("tree_a"),
+            down_b.alias("tree_b"),
+            F.concat("seen", both(down_a, down_b)).alias("seen"),
         )
-    else:
-        raise ValueError(f"a tree is deeper than {max_depth} levels")
     before = out.filter("id_a is not null").select("diffset_id", "path", F.col("mode_a").alias("mode"), F.col("id_a").alias("blob_id"))
     after = out.filter("id_b is not null").select("diffset_id", "path", F.col("mode_b").alias("mode"), F.col("id_b").alias("blob_id"))
     changed = diff_snapshots(before, after)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -32,18 +33,23 @@ def local_session(
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; only a session that names none (a test)
-    gets one of its own."""
+    """The folder the cluster names in ``spark.checkpoint.dir``. A local session that names none (a test) gets one of
+    its own; on a cluster that would be a different disk on every machine, so there it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
     if not folder:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         folder = _OWN_FOLDERS.setdefault(app, "") or tempfile.mkdtemp(prefix="spark-diffloom-")
         _OWN_FOLDERS[app] = folder
     return folder
 
 
+_CUTS: list[tuple[str, str]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a table in shared storage, so that later steps neither recompute nor re-plan it
     and a lost executor costs nothing. Against ``checkpoint()`` a written table is computed once, not twice,
@@ -51,4 +57,17 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/diffloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _CUTS.append((spark.sparkContext.applicationId, path))
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_cuts(spark: SparkSession) -> int:
+    """Deletes the tables that ``cut`` has written for this application, and returns how many. For the caller to use
+    once results are stored: a DataFrame that still reads one of them fails afterwards."""
+    app, jvm = spark.sparkContext.applicationId, spark.sparkContext._jvm
+    mine = [path for owner, path in _CUTS if owner == app]
+    for path in mine:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _CUTS[:] = [x for x in _CUTS if x[0] != app]
+    return len(mine)

@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from diffloom.functions import text as T
+from diffloom.session import cut
 
 # What holds raw text, and what a tag looks like.
 RAW_TEXT = r"(?is)<!--.*?-->|<!doctype[^>]*>|<(script|style|textarea|title)\b[^>]*>.*?</\1\s*>"
 TAG = r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>"
-PASSES = 3
 
 
 def _blanked(text):
@@ -43,7 +43,7 @@ def _pair(tags: DataFrame, by: str) -> DataFrame:
 
 def _drop_crossing(elements: DataFrame, by: str) -> DataFrame:
     """Elements whose pair crosses another one become leaves: the depth at their close is not the one at
-    their open. Crossing pairs only count against each other, so a few passes settle a text."""
+    their open. Crossing pairs only count against each other, so passes go on until none is left."""
     paired = F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("d")), F.struct(F.col("mate_start").alias("at"), F.lit(-1).alias("d")))
     alone = F.array(F.struct(F.col("start").alias("at"), F.lit(0).alias("d")))
     columns = ["end", "kind", "label", "mate", "mate_start"]
@@ -83,8 +83,14 @@ def markup_nodes(texts: DataFrame, by: str = "blob_id") -> DataFrame:
         F.lit(None).cast("int").alias("mate"), F.lit(None).cast("int").alias("mate_start"),
     )
     elements = _pair(tags, by).filter("not closes").select(by, "start", "end", F.col("name").alias("kind"), "label", "mate", "mate_start")
-    for _ in range(PASSES):
-        elements = _drop_crossing(elements, by)
+    elements = cut(elements)
+    paired = elements.agg(F.count("mate")).first()[0]
+    while True:  # until no element changes
+        elements = cut(_drop_crossing(elements, by))
+        left = elements.agg(F.count("mate")).first()[0]
+        if left == paired:
+            break
+        paired = left
     root = texts.select(by, F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.lit("document").alias("kind"), F.lit("").alias("label"),
                         F.length("text").alias("mate"), (F.length("text") + 1).alias("mate_start"))
     nodes = root.unionByName(elements).unionByName(texts_)

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FILES_PER_BUCKET = 8
-
 
 def diffset_digests(changes: DataFrame) -> DataFrame:
     """An id per change set made from its changes alone: the same changes give the same id. The digest adds
@@ -20,12 +18,12 @@ def diffset_digests(changes: DataFrame) -> DataFrame:
 
 
 def write_tables(tables: dict[str, DataFrame], path: str, buckets: int = 64) -> None:
-    """Writes tables partitioned by a bucket of ``diffset_id``. A bucket's rows spread over several tasks, so
-    a change set that holds a large share of a table is no single writer's."""
+    """Writes tables partitioned by a bucket of ``diffset_id``. Rows are range-partitioned by bucket and row hash, so
+    a bucket spreads over as many tasks as its share of the table asks for, and a change set that holds a large share
+    is no single writer's."""
     for name, df in tables.items():
         rows = df.withColumn("bucket", F.pmod(F.xxhash64("diffset_id"), F.lit(buckets)).cast("int"))
-        salt = F.pmod(F.xxhash64(*df.columns), F.lit(FILES_PER_BUCKET))
-        rows.repartition("bucket", salt).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
+        rows.repartitionByRange("bucket", F.xxhash64(*df.columns)).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
 
 
 def read_table(spark: SparkSession, path: str, name: str, diffset_ids: list[str] | None = None, buckets: int = 64) -> DataFrame:
