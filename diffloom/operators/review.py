@@ -245,12 +245,13 @@ def place_comments(anchors: DataFrame, hunks: DataFrame, width: int = 64) -> Dat
 
 def restore_anchors(threads: DataFrame, changes: DataFrame) -> DataFrame:
     """The anchor of a thread read back: its hidden key while path and both blobs still match, else its
-    lines while the change set holds the file, else the file's root. ``threads`` carry ``key_path, key_side,
+    lines while the change set holds the file, else the file's root. Of several changes under one name the one with
+    the largest blob ids counts. ``threads`` carry ``key_path, key_side,
     key_before, key_after, key_nodes`` (null without a key), ``side, path, start``."""
     files = changes.select("diffset_id", F.col("path").alias("_path"), F.coalesce("old_path", "path").alias("_old"), F.col("before").alias("_before"), F.col("after").alias("_after"))
     names = files.select("diffset_id", F.explode(F.array(F.struct(F.lit("before").alias("s"), F.col("_old").alias("p")), F.struct(F.lit("after").alias("s"), F.col("_path").alias("p")))).alias("_n"), "_path", "_before", "_after")
     names = names.select("diffset_id", F.col("_n.s").alias("_side"), F.col("_n.p").alias("_name"), "_path", "_before", "_after")
-    names = names.groupBy("diffset_id", "_side", "_name").agg(F.any_value(F.struct("_path", "_before", "_after")).alias("_f"))
+    names = names.groupBy("diffset_id", "_side", "_name").agg(F.max(F.struct(F.coalesce("_before", F.lit("")), F.coalesce("_after", F.lit("")), "_path", "_before", "_after")).alias("_f"))
     by_key = names.select("diffset_id", F.col("_side").alias("key_side"), F.col("_name").alias("key_path"), F.col("_f").alias("_k"))
     rows = threads.join(by_key, ["diffset_id", "key_side", "key_path"], "left")
     listed = names.select("diffset_id", F.col("_side").alias("side"), F.col("_name").alias("path"), F.lit(True).alias("_listed"))

@@ -27,13 +27,16 @@ def duck_lines(text: str) -> str:
 
 # Tokens without look-behind: a mark that follows a word is taken with it, and parted from it afterwards.
 _QUOTED = "|".join(rf"{q}[^{q}\\]*(?:\\.[^{q}\\]*)*{q}" for q in ("\"", "''", "`"))
-_TOKEN = rf"[\p{{L}}\p{{N}}_]+[\"''`]?|{_QUOTED}|[^\s\x0B\p{{Z}}\x{{FEFF}}\p{{L}}\p{{N}}_]"
+TOKEN = rf"[\p{{L}}\p{{N}}_]+[\"''`]?|{_QUOTED}|[^\s\x0B\p{{Z}}\x{{FEFF}}\p{{L}}\p{{N}}_]"
+
+
+MERGED = r"[\p{L}\p{N}_]+[\"''`]"
 
 
 def duck_key(line: str) -> str:
     """The key lines compare by, in DuckDB."""
     parted = rf"regexp_replace(t, '^([\p{{L}}\p{{N}}_]+)([\"''`])$', '\1' || chr(1) || '\2')"
-    return rf"array_to_string([regexp_replace({parted}, '{T.SPACES}', '', 'g') for t in regexp_extract_all({line}, '{_TOKEN}')], chr(1))"
+    return rf"array_to_string([regexp_replace({parted}, '{T.SPACES}', '', 'g') for t in regexp_extract_all({line}, '{TOKEN}')], chr(1))"
 
 
 oracle_fragment("pair_lines", f"""select diffset_id, path, 'a' side, i line_no, l text, {duck_key('l')} key

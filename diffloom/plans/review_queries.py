@@ -248,15 +248,13 @@ oracle_fragment("thread_keys", """select row_number() over (order by diffset_id,
 
 
 @query("j21_restore_anchors", """select t.diffset_id, t.path, case when k.path is not null then 'key' when l.path is not null and t."start" is not null then 'lines' else 'file' end anchored_by from thread_keys t
- left join (select diffset_id, path, any_value("before") "before", any_value("after") "after" from changes group by 1, 2) k on k.diffset_id = t.diffset_id and k.path = t.key_path and k."before" is not distinct from t.key_before and k."after" is not distinct from t.key_after
- left join (select distinct diffset_id, path from changes) l on l.diffset_id = t.diffset_id and l.path = t.path
- where t.path in (select path from changes group by path having count(*) = 1)""")
+ left join (select diffset_id, path, f."before" "before", f."after" "after" from (select diffset_id, path, max(struct_pack(b := coalesce("before", ''), a := coalesce("after", ''), "before" := "before", "after" := "after")) f from changes group by 1, 2) y) k on k.diffset_id = t.diffset_id and k.path = t.key_path and k."before" is not distinct from t.key_before and k."after" is not distinct from t.key_after
+ left join (select distinct diffset_id, path from changes) l on l.diffset_id = t.diffset_id and l.path = t.path""")
 def _(d):
-    once = changes(d).groupBy("path").count().filter("count = 1").select("path")
-    c = changes(d).join(once, "path", "left_semi")
+    c = changes(d)
     n = F.length("path")
     even = n % 2 == 0
-    threads = c.select(F.md5(F.concat("diffset_id", "path")).alias("thread_id"), "diffset_id", "path", F.lit("after").alias("side"), F.when(n % 3 != 0, 5).alias("start"),
+    threads = c.select(F.md5(F.concat("diffset_id", "path", "status")).alias("thread_id"), "diffset_id", "path", F.lit("after").alias("side"), F.when(n % 3 != 0, 5).alias("start"),
                        F.when(even, F.col("path")).alias("key_path"), F.when(even, "after").alias("key_side"), F.when(n % 4 == 0, "stale").otherwise(F.col("before")).alias("key_before"),
                        F.col("after").alias("key_after"), F.when(even, F.lit("0.1")).alias("key_nodes"))
     return R.restore_anchors(threads, changes(d)).select("diffset_id", "path", "anchored_by")

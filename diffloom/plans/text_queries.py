@@ -7,36 +7,39 @@ from diffloom.functions import paths as P
 from diffloom.functions import text as T
 from diffloom.operators import align as A
 from diffloom.operators import hunks as H
-from diffloom.plans.line_queries import BY, align_sql, aligned, diff_rows, duck_lines, fragments, pair_lines, with_texts
+from diffloom.plans.line_queries import BY, MERGED, TOKEN, align_sql, aligned, diff_rows, duck_lines, fragments, pair_lines, with_texts
 from diffloom.plans.registry import Data, fragment, oracle_fragment, query
 from diffloom.plans.snapshot_queries import changes
 from diffloom.sources import blobs as B
 
-# Texts without quotation marks: their tokens need no look-behind, so the oracle can state them.
-fragment("unquoted", "select doc_id, translate(text, '\"''`', '___') text from {documents}")
-_TOKENS = r"regexp_extract_all({}, '[\p{{L}}\p{{N}}_]+|[^\s\x0B\p{{Z}}\x{{FEFF}}\p{{L}}\p{{N}}_]')"
-oracle_fragment("unquoted_lines", f"select doc_id, i line_no, l text from (select doc_id, unnest(ls) l, generate_subscripts(ls, 1) i from (select doc_id, {duck_lines('text')} ls from unquoted) p) q")
+oracle_fragment("doc_lines", f"select doc_id, i line_no, l text from (select doc_id, unnest(ls) l, generate_subscripts(ls, 1) i from (select doc_id, {duck_lines('text')} ls from documents) p) q")
+# Matches of the pattern without look-behind with their places; one that took a mark along is two tokens.
+oracle_fragment("line_tokens", f"""select doc_id, line_no, row_number() over (partition by doc_id, line_no order by "start") tok_no, token, "start" from (
+ select doc_id, line_no, unnest(case when two then [t[:-2], t[-1:]] else [t] end) token, unnest(case when two then [s, s + length(t) - 1] else [s] end) "start" from (
+ select *, regexp_matches(t, '^{MERGED}$') two, sum(length(t) + length(g)) over (partition by doc_id, line_no order by i rows between unbounded preceding and current row) - length(t) s from (
+ select doc_id, line_no, unnest(ts) t, generate_subscripts(ts, 1) i, unnest(gs[:len(ts)]) g from (
+ select doc_id, line_no, regexp_extract_all(text, '{TOKEN}') ts, regexp_split_to_array(text, '{TOKEN}') gs from doc_lines) x) y) z) w""")
 
 
-def unquoted_lines(d: Data):
-    return B.explode_lines(d.unquoted)
+def doc_lines(d: Data):
+    return B.explode_lines(d.documents.select("doc_id", "text"))
 
 
-@query("s5_explode_tokens", f"""select doc_id, line_no, i tok_no, t token, sum(length(t) + length(g)) over (partition by doc_id, line_no order by i rows between unbounded preceding and current row) - length(t) "start" from (
- select doc_id, line_no, unnest(ts) t, generate_subscripts(ts, 1) i, unnest(gs[:len(ts)]) g from (select doc_id, line_no, {_TOKENS.format('text')} ts, regexp_split_to_array(text, '[\\p{{L}}\\p{{N}}_]+|[^\\s\\x0B\\p{{Z}}\\x{{FEFF}}\\p{{L}}\\p{{N}}_]') gs from unquoted_lines) x) y""")
+@query("s5_explode_tokens", "select * from line_tokens")
 def _(d):
-    return B.explode_tokens(unquoted_lines(d))
+    return B.explode_tokens(doc_lines(d))
 
 
-@query("f2_line_key", f"select key_md5, count(*) n from (select md5('['||array_to_string(list_transform({_TOKENS.format('text')}, lambda t: '\"'||replace(t, chr(92), chr(92)||chr(92))||'\"'), ',')||']') key_md5 from unquoted_lines where not regexp_matches(text, '[\\x00-\\x08\\x0b-\\x1f\\x7f]')) x group by 1")
+@query("f2_line_key", f"""select key_md5, count(*) n from (select md5(cast(to_json(coalesce(ts, cast([] as varchar[]))) as varchar)) key_md5 from doc_lines left join (
+ select doc_id, line_no, list(regexp_replace(token, '{T.SPACES}', '', 'g') order by tok_no) ts from line_tokens group by 1, 2) x using (doc_id, line_no)) y group by 1""")
 def _(d):
-    lines = unquoted_lines(d).filter(~F.col("text").rlike(r"[\x00-\x08\x0b-\x1f\x7f]"))
-    return lines.groupBy(F.md5(T.line_key(F.col("text"))).alias("key_md5")).agg(F.count("*").alias("n"))
+    return doc_lines(d).groupBy(F.md5(T.line_key(F.col("text"))).alias("key_md5")).agg(F.count("*").alias("n"))
 
 
-@query("f3_text_hash", f"select hash, count(*) n from (select md5(array_to_string({_TOKENS.format('text')}, chr(1))) hash from unquoted_lines) x group by 1")
+@query("f3_text_hash", """select hash, count(*) n from (select md5(coalesce(ts, '')) hash from doc_lines left join (
+ select doc_id, line_no, string_agg(token, chr(1) order by tok_no) ts from line_tokens group by 1, 2) x using (doc_id, line_no)) y group by 1""")
 def _(d):
-    return unquoted_lines(d).groupBy(T.text_hash(F.col("text")).alias("hash")).agg(F.count("*").alias("n"))
+    return doc_lines(d).groupBy(T.text_hash(F.col("text")).alias("hash")).agg(F.count("*").alias("n"))
 
 
 @query("f4_atom_keys", """select doc_id, md5(source||chr(0)||lang||chr(1)||'x'||chr(0)||case when doc_id % 2 = 0 then '='||md5(text) else '' end||chr(0)||case when doc_id % 3 = 0 then '' else '='||md5(lang) end) atom from documents""")
@@ -56,26 +59,26 @@ def _(d):
 
 @query("f6_line_of", """select doc_id, off, least(length(substr(text, 1, off)) - length(replace(substr(text, 1, off), chr(10), '')), greatest(length(text) - length(replace(text, chr(10), '')) - case when ends_with(text, chr(10)) then 1 else 0 end, 0)) line,
  case when instr(substr(text, off + 1), chr(10)) = 0 then length(text) else off + instr(substr(text, off + 1), chr(10)) end line_end
- from documents, (select unnest([0, 7, 100, 1000]) off) o where off <= length(text)""")
+ from (select doc_id, text, unnest(range(0, length(text) + 1, 50)) off from documents) o""")
 def _(d):
-    rows = d.documents.select("doc_id", "text", F.explode(F.array(*[F.lit(n) for n in (0, 7, 100, 1000)])).alias("off")).filter("off <= length(text)")
+    rows = d.documents.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.length("text"), F.lit(50))).alias("off"))
     return rows.select("doc_id", "off", T.line_of(F.col("text"), F.col("off")).alias("line"), T.line_end(F.col("text"), F.col("off")).alias("line_end"))
 
 
-@query("f8_chars_of", f"""select doc_id, length(regexp_replace(substr(text, 1, 5), '{T.SPACES}', '', 'g')) "start", length(regexp_replace(substr(text, 1, 40), '{T.SPACES}', '', 'g')) "end" from documents""")
+@query("f8_chars_of", f"""select doc_id, length(regexp_replace(substr(text, 1, length(text) // 3), '{T.SPACES}', '', 'g')) "start", length(regexp_replace(text, '{T.SPACES}', '', 'g')) "end" from documents""")
 def _(d):
-    c = T.chars_of(F.col("text"), F.lit(5), F.lit(40))
+    c = T.chars_of(F.col("text"), F.floor(F.length("text") / 3).cast("int"), F.length("text"))
     return d.documents.select("doc_id", c["start"].alias("start"), c["end"].alias("end"))
 
 
 oracle_fragment("display_words", f"""select doc_id, line_no, i, w, brk from (select doc_id, line_no, unnest(ws) w, generate_subscripts(ws, 1) i, unnest(bs[:len(ws)]) brk from (
- select doc_id, line_no, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_$]+') ws, regexp_split_to_array(text, '[\\p{{L}}\\p{{N}}_$]+') bs from unquoted_lines) x) y""")
+ select doc_id, line_no, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_$]+') ws, regexp_split_to_array(text, '[\\p{{L}}\\p{{N}}_$]+') bs from doc_lines) x) y""")
 
 
 @query("f8_words_of", f"""select doc_id, line_no, i place, sum(n) over w - length(w) "start", sum(n) over w "end" from (
  select *, length(w) + length(regexp_replace(brk, '{T.SPACES}', '', 'g')) n from display_words) x window w as (partition by doc_id, line_no order by i rows between unbounded preceding and current row)""")
 def _(d):
-    return B.explode_words(unquoted_lines(d)).select("doc_id", "line_no", "place", "start", "end")
+    return B.explode_words(doc_lines(d)).select("doc_id", "line_no", "place", "start", "end")
 
 
 @query("f13_words", r"select w word, count(*) n from (select unnest(regexp_extract_all(text, '[\p{L}_$][\p{L}\p{N}_$]*')) w from documents) x group by 1")
@@ -83,10 +86,10 @@ def _(d):
     return d.documents.select(F.explode(T.words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-fragment("commented", "select doc_id, case doc_id % 4 when 0 then '// ' when 1 then '  # ' when 2 then ' * ' else '' end||replace(text, chr(10), chr(10)||case when doc_id % 3 = 0 then '//' else ' *' end) text from {documents} where instr(text, '/') = 0 and instr(text, '#') = 0 and instr(text, '*') = 0")
+fragment("commented", "select doc_id, case doc_id % 4 when 0 then '// ' when 1 then '  # ' when 2 then ' * ' else '' end||replace(text, chr(10), chr(10)||case when doc_id % 3 = 0 then '//' else ' *' end) text from {documents}")
 
 
-@query("f14_marker_free", r"select doc_id, md5(regexp_replace(text, '(?m)^[ \t]*(?:\*|//+|#)[ \t]*', '', 'g')) plain from commented")
+@query("f14_marker_free", r"select doc_id, md5(replace(regexp_replace(regexp_replace(text, '(?m)^([ \t]*)\*/', '\1' || chr(1) || '/', 'g'), '(?m)^[ \t]*(?:\*|//+|#)[ \t]*', '', 'g'), chr(1), '*')) plain from commented")
 def _(d):
     return d.commented.select("doc_id", F.md5(T.marker_free(F.col("text"))).alias("plain"))
 
@@ -177,9 +180,9 @@ def _(d):
 
 # --- context -----------------------------------------------------------------------------------------
 @query("w5_funcnames", r"""select doc_id, line_no, coalesce(last_value(name ignore nulls) over (partition by doc_id order by line_no rows between unbounded preceding and current row), '') scope from (
- select *, case when regexp_matches(text, '^[\p{L}\p{Nl}_$]') then substr(trim(regexp_replace(text, '\r$', '')), 1, 80) end name from unquoted_lines) x""")
+ select *, case when regexp_matches(text, '^[\p{L}\p{Nl}_$]') then substr(trim(regexp_replace(text, '\r$', '')), 1, 80) end name from doc_lines) x""")
 def _(d):
-    return H.funcnames(unquoted_lines(d), ["doc_id"]).select("doc_id", "line_no", F.coalesce("scope", F.lit("")).alias("scope"))
+    return H.funcnames(doc_lines(d), ["doc_id"]).select("doc_id", "line_no", F.coalesce("scope", F.lit("")).alias("scope"))
 
 
 oracle_fragment("gap_rows", """select diffset_id, path, frag_no, before_start + top before_line, after_start + top after_line, greatest(coalesce(nxt, after_start + after_n) - after_start - top - bottom, 0) hidden, before_start = 1 and after_start = 1 at_start, nxt is null at_end, top > 0 or bottom > 0 revealed
