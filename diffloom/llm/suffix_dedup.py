@@ -15,7 +15,8 @@ moves it a hundred times over, so the suffix array is sparse, in a way that lose
    there on. The merge gives a sorted suffix array with its common-prefix lengths.
 4. Equal neighbours: all but the earliest are covered whole. Of the rest, a window can only repeat if the suffix
    shares what the window needs of the right side with one of its neighbours in the array; these few windows meet by
-   128-bit hash, and all but the earliest of each are covered.
+   128-bit hash, and all but the earliest of each are covered. Their equals are neighbours too, so they meet inside
+   the range, but for those whose neighbourhood reaches its end: these are exchanged once more.
 
 Defined results: null texts are empty; order is by doc_id (null first), then by hash of the text, then by position;
 repeated rows, alike in id and text, do not cover each other and share one answer. A window may cut a character.
@@ -39,6 +40,8 @@ RUN_BYTES, RANGE_ROWS = 16 << 20, 1 << 17
 #: Sampled suffixes for each range.
 OVERSAMPLE = 16
 
+#: Longer than any key: what lies beyond a range is not known.
+_BEYOND = 1 << 30
 _FOUND = "_id long, _th long, lo int, hi int, w1 long, w2 long"
 _PIECE = "range int, piece binary, _id long, _th long, lo int, hi int"
 
@@ -233,27 +236,47 @@ def _merge(rows: pa.Table, window: int) -> pa.Table:
             firsts.append((key, right, *members[0], depth[i] if len(same) == 1 else len(key)))
         i = j
     ends = np.array([len(f[0]) for f in firsts], dtype=np.int64)
-    before = np.array([f[7] for f in firsts], dtype=np.int64)
-    if len(before):
-        after = np.concatenate((before[1:], [1 << 30]))  # what lies beyond the range is not known
-        before[0] = 1 << 30
-        before = np.maximum(before, after)
+    above = np.array([f[7] for f in firsts], dtype=np.int64)
+    if len(above):
+        above[0] = _BEYOND
+    below = np.append(above[1:], _BEYOND)
     base = np.cumsum(ends) - ends
     # Each key as it stands in its text: left side, then right side.
     data = np.frombuffer(b"".join(f[0][f[1] :] + f[0][: f[1]] for f in firsts), dtype=np.uint8)
-    right, lo, hi = (np.array([f[i] for f in firsts], dtype=np.int64) for i in (1, 5, 6))
+    right, known, ids, ths, lo, hi = (np.array([f[i] for f in firsts], dtype=np.int64) for i in (1, 2, 3, 4, 5, 6))
     left = ends - right
     # Window number w of a context starts at lo + w, w bytes into the key, and needs window - (left - w) of the right.
-    count = np.clip(before - window + left, -1, hi - lo) + 1
+    count = np.clip(np.maximum(above, below) - window + left, -1, hi - lo) + 1
     owner = np.repeat(np.arange(len(firsts)), count)
     w = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     begin = base[owner] + w
     w1, w2 = span_hashes(data, begin, begin + window), span_hashes(data, begin, begin + window, OTHER_BASE)
-    own = [[firsts[o][i] for o in range(len(firsts))] for i in (2, 3, 4)]
-    ids = pa.array([v if k else None for k, v in zip(own[0], own[1], strict=True)], pa.int64())
-    ths, at = pa.array(own[2], pa.int64()), pa.array(owner)
-    place = pa.array((lo[owner] + w).astype(np.int32))
-    opened = pa.table({"_id": ids.take(at), "_th": ths.take(at), "lo": place, "hi": place, "w1": pa.array(signed(w1)), "w2": pa.array(signed(w2))})
+    # All that share what a window needs are neighbours in the array. Unless they reach an end of the range, the
+    # window's equals are all here; else they meet those of the next range later.
+    reach = np.maximum(np.minimum.accumulate(above), np.minimum.accumulate(below[::-1])[::-1])
+    open_ = window - (left[owner] - w) <= reach[owner]
+    own = np.flatnonzero(~open_)
+    order = own[np.lexsort((lo[owner[own]] + w[own], ths[owner[own]], ids[owner[own]], known[owner[own]], w2[own], w1[own]))]
+    fresh = np.ones(len(order), dtype=bool)
+    fresh[1:] = (w1[order[1:]] != w1[order[:-1]]) | (w2[order[1:]] != w2[order[:-1]])
+    first_of = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]
+    place = [known[owner], ids[owner], ths[owner], lo[owner] + w]
+    alike = np.logical_and.reduce([x[order] == x[first_of] for x in place])  # repeated rows are one place
+    again = np.sort(order[~alike])
+    # Neighbouring windows of one context make one span.
+    new = np.ones(len(again), dtype=bool)
+    new[1:] = (owner[again[1:]] != owner[again[:-1]]) | (w[again[1:]] != w[again[:-1]] + 1)
+    heads = again[new]
+    tails = again[np.append(np.flatnonzero(new)[1:] - 1, len(again) - 1)] if len(again) else heads
+
+    def table(at: np.ndarray, first: np.ndarray, last: np.ndarray, hashes: tuple | None) -> pa.Table:
+        pair = [pa.nulls(len(at), pa.int64())] * 2 if hashes is None else [pa.array(signed(h)) for h in hashes]
+        places = [pa.array(ids[at], mask=known[at] == 0), pa.array(ths[at]), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))]
+        return pa.table(dict(zip(("_id", "_th", "lo", "hi", "w1", "w2"), [*places, *pair], strict=True)))
+
+    local = table(owner[heads], lo[owner[heads]] + w[heads], lo[owner[heads]] + w[tails], None)
+    far = np.flatnonzero(open_)
+    opened = table(owner[far], lo[owner[far]] + w[far], lo[owner[far]] + w[far], (w1[far], w2[far]))
     whole = pa.table(
         {
             "_id": pa.array([x[1] if x[0] else None for x in covered], pa.int64()),
@@ -265,7 +288,7 @@ def _merge(rows: pa.Table, window: int) -> pa.Table:
     through = passed.select(["_id", "_th", "lo", "hi"])
     for c in ("w1", "w2"):
         through = through.append_column(c, pa.nulls(through.num_rows, pa.int64()))
-    return pa.concat_tables([opened, whole, through])
+    return pa.concat_tables([opened, local, whole, through])
 
 
 def _splitters(named: DataFrame, ranges: int, window: int, gram: int) -> list[bytes]:
