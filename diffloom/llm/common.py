@@ -43,11 +43,19 @@ def settle(df: DataFrame) -> DataFrame:
     a hint to the driver's collector lets Spark's cleaner remove them now rather than at some later time."""
     out = cut(df)
     del df
-    df_spark = out.sparkSession
-    df_spark.sparkContext._jvm.System.gc()
+    out.sparkSession.sparkContext._jvm.System.gc()
     return out
 
 
+def discard(*settled: DataFrame) -> None:
+    """Deletes tables that ``settle`` wrote. Only for those that nothing unsettled is built on any more."""
+    for df in settled:
+        context = df.sparkSession.sparkContext
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def own_names(docs: DataFrame) -> DataFrame:
     """``docs`` without the columns whose names the operators use for themselves: all begin with an underscore. A
     caller that must keep such a column packs its row into one struct first, as the pipeline does."""

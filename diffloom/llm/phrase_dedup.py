@@ -9,8 +9,8 @@ A word goes when a window of ``WINDOW`` words covers it whose words also start e
    occurrence exactly. So automata are sharded with the texts: one is as large as a batch, however many phrases the
    corpus repeats, and no text meets another shard's automaton.
 3. Neighbouring windows that pick the same occurrence form a context. Equal contexts are collapsed by 128-bit hash:
-   all but the earliest are covered. Only phrases with different contexts left are opened into windows, of which all
-   but the earliest of each hash are covered.
+   all but the earliest are covered. Only phrases with several contexts are opened into windows, of which all but the
+   earliest of each hash are covered.
 
 A group of copies of any size is an aggregate with partial sums, never a list.
 
@@ -29,15 +29,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from diffloom.llm.common import (
-    NOT_SPACE, OTHER_BASE, anchors, extended, gram_hashes, later_than, later_windows, lists, own_names, settle, signed, slices, span_hashes, union_of, with_spans, word_bounds,
+    NOT_SPACE, OTHER_BASE, anchors, discard, extended, gram_hashes, later_than, later_windows, lists, own_names, settle, signed, slices, span_hashes, union_of, with_spans, word_bounds,
 )
 
 WINDOW, GRAM = 20, 8
 BATCH_BYTES = 4 << 20
 
 
-def _phrases(docs: DataFrame, by: list[str], window: int, gram: int) -> DataFrame:
-    """``by``, h, n: phrase hashes picked in ``_text`` and how often, pre-counted per slice."""
+def _phrases(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """h, low, high, n: phrase hashes picked in ``_text``, the extremes of their contexts' hashes, and how often they
+    occur, pre-counted per slice."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in slices(batch, "_text"):
+                starts, ends, doc = word_bounds(data, offsets, NOT_SPACE)
+                tokens = span_hashes(data, starts, ends)
+                grams = gram_hashes(tokens, gram)
+                at, lo, hi = anchors(grams, doc, window, gram)
+                order = np.argsort(grams[at], kind="stable")
+                h, first, n = np.unique(grams[at[order]], return_index=True, return_counts=True)
+                around = signed(span_hashes(tokens, lo, hi + window))[order]
+                low, high = (f.reduceat(around, first) if len(first) else around for f in (np.minimum, np.maximum))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(low), pa.array(high), pa.array(n)], names=["h", "low", "high", "n"])
+
+    return docs.select("_text").mapInArrow(work, "h long, low long, high long, n long")
+
+
+def _told(docs: DataFrame, window: int, gram: int) -> DataFrame:
+    """_batch, h: which phrases the documents of a batch pick; once per slice."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -45,15 +65,11 @@ def _phrases(docs: DataFrame, by: list[str], window: int, gram: int) -> DataFram
                 starts, ends, doc = word_bounds(data, offsets, NOT_SPACE)
                 grams = gram_hashes(span_hashes(data, starts, ends), gram)
                 at, _, _ = anchors(grams, doc, window, gram)
-                if not by:
-                    h, n = np.unique(grams[at], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(n)], names=["h", "n"])
-                    continue
-                group = batch.column(by[0]).slice(row, end - row).to_numpy()[doc[at]]
+                group = batch.column("_batch").slice(row, end - row).to_numpy()[doc[at]]
                 pairs = np.unique(np.stack((signed(grams[at]), group.astype(np.int64))), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[1], pa.int64()), pa.array(pairs[0]), pa.array(np.ones(pairs.shape[1], np.int64))], names=[*by, "h", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[1], pa.int64()), pa.array(pairs[0])], names=["_batch", "h"])
 
-    return docs.select(*by, "_text").mapInArrow(work, ", ".join([*(f"{c} long" for c in by), "h long", "n long"]))
+    return docs.select("_batch", "_text").mapInArrow(work, "_batch long, h long")
 
 
 def _automaton(texts: list[list[bytes]], doc: np.ndarray, at: np.ndarray, base: np.ndarray, gram: int) -> ahocorasick.Automaton:
@@ -82,11 +98,13 @@ def _located(texts: list[list[bytes]], machine: ahocorasick.Automaton) -> np.nda
 
 
 def _contexts(docs: DataFrame, recurring: DataFrame, window: int, gram: int) -> DataFrame:
-    """h, c1, c2, _id, _th, lo, ws: contexts of located phrases; ws are the hashes of their windows."""
+    """h, c, _id, _th, lo, n, ws: contexts of located phrases: their hash, place, windows and, where a phrase has
+    several contexts, the hashes of these windows."""
 
     def work(rows: pa.Table, told: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
         wanted = np.unique(told["h"].to_numpy()).view(np.uint64)
+        several = np.unique(told.filter(told["several"])["h"].to_numpy()).view(np.uint64)
         made = [[] for _ in range(7)]
         for batch in rows.to_batches():
             for row, end, data, offsets in slices(batch, "_text"):
@@ -103,27 +121,22 @@ def _contexts(docs: DataFrame, recurring: DataFrame, window: int, gram: int) ->
                 found = _located(texts, _automaton(texts, doc, at[known[once]], base, gram))
                 keep = np.isin(at, found)
                 at, lo, hi = at[keep], lo[keep], hi[keep]
-                c1, c2 = (token_spans(tokens, lo, hi + window, b) for b in (None, OTHER_BASE))
-                counts = hi - lo + 1
-                starts_of = np.repeat(lo - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
-                ws = token_spans(tokens, starts_of, starts_of + window, OTHER_BASE)
+                c = span_hashes(tokens, lo, hi + window)
+                counts = np.where(np.isin(grams[at], several), hi - lo + 1, 0)
+                starts_of = np.repeat(lo - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+                ws = span_hashes(tokens, starts_of, starts_of + window, OTHER_BASE)
                 ids, ths = (batch.column(c).slice(row, end - row).take(pa.array(doc[lo])) for c in ("_id", "_th"))
-                for column, values in zip(made, (pa.array(signed(grams[at])), pa.array(signed(c1)), pa.array(signed(c2)), ids, ths, pa.array((lo - base[doc[lo]]).astype(np.int32)), lists(signed(ws), counts, pa.int64())), strict=True):
+                for column, values in zip(made, (pa.array(signed(grams[at])), pa.array(signed(c)), ids, ths, pa.array((lo - base[doc[lo]]).astype(np.int32)), pa.array((hi - lo + 1).astype(np.int32)), lists(signed(ws), counts, pa.int64())), strict=True):
                     column.append(values)
-        kinds = (pa.int64(),) * 5 + (pa.int32(), pa.list_(pa.int64()))
-        return pa.table({n: pa.chunked_array(c, type=k) for n, c, k in zip(("h", "c1", "c2", "_id", "_th", "lo", "ws"), made, kinds, strict=True)})
+        kinds = (pa.int64(),) * 4 + (pa.int32(), pa.int32(), pa.list_(pa.int64()))
+        return pa.table({n: pa.chunked_array(c, type=k) for n, c, k in zip(("h", "c", "_id", "_th", "lo", "n", "ws"), made, kinds, strict=True)})
 
-    told = _phrases(docs, ["_batch"], window, gram).join(recurring, "h", "left_semi").select(F.col("_batch").alias("_batch"), F.col("h").alias("h"))
+    told = _told(docs, window, gram).join(recurring, "h").select(*[F.col(c).alias(c) for c in ("_batch", "h", "several")])
     own = docs.select(F.col("_batch").alias("_batch"), "_id", "_th", "_text")
-    schema = "h long, c1 long, c2 long, _id long, _th long, lo int, ws array<bigint>"
+    schema = "h long, c long, _id long, _th long, lo int, n int, ws array<bigint>"
     return own.groupBy("_batch").cogroup(told.groupBy("_batch")).applyInArrow(work, schema)
 
 
-def token_spans(tokens: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int | None) -> np.ndarray:
-    """A hash of tokens[start:end] for each span."""
-    return span_hashes(tokens, starts, ends) if base is None else span_hashes(tokens, starts, ends, base)
-
-
 def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, gram: int = GRAM, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """(_id, _th, lo, hi): windows starting at words lo to hi also start earlier."""
     spark = docs.sparkSession
@@ -131,17 +144,20 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     size = named.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     batches = max(-(-size // batch_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
     named = named.withColumn("_batch", F.pmod(F.xxhash64("_id", "_th"), F.lit(batches)))
-    recurring = settle(_phrases(named, [], window, gram).groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"))
+    counted = _phrases(named, window, gram).groupBy("h").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    recurring = settle(counted.filter("n > 1").select("h", (F.col("low") < F.col("high")).alias("several")))
     contexts = settle(_contexts(named, recurring, window, gram))
-    distinct = settle(
-        contexts.groupBy("h", "c1", "c2").agg(F.min(F.struct("_id", "_th", "lo")).alias("first"), F.count(F.lit(1)).alias("n"), F.any_value("ws").alias("ws"))
-    )
-    copies = contexts.join(distinct.filter("n > 1").select("h", "c1", "c2", "first"), ["h", "c1", "c2"]).filter(later_than(F.col("first")))
-    covered = copies.select("_id", "_th", "lo", (F.col("lo") + F.size("ws") - 1).alias("hi"))
-    several = distinct.groupBy("h").count().filter("count > 1").select("h")
-    opened = distinct.join(several, "h", "left_semi").select("h", "first", F.posexplode("ws").alias("i", "w"))
+    # Phrase and context hash together have 128 bits.
+    key = ["h", "c"]
+    distinct = settle(contexts.groupBy(*key).agg(F.min(F.struct("_id", "_th", "lo")).alias("first"), F.count(F.lit(1)).alias("copies"), F.any_value("ws").alias("ws")))
+    copies = contexts.select(*key, "_id", "_th", "lo", "n").join(distinct.filter("copies > 1").select(*key, "first"), key).filter(later_than(F.col("first")))
+    covered = settle(copies.select("_id", "_th", "lo", (F.col("lo") + F.col("n") - 1).alias("hi")))
+    opened = distinct.select("h", "first", F.posexplode("ws").alias("i", "w"))
     windows = settle(opened.select("h", "w", F.col("first._id").alias("_id"), F.col("first._th").alias("_th"), (F.col("first.lo") + F.col("i")).alias("lo")))
-    return covered.unionByName(later_windows(windows, ["h", "w"]).withColumn("hi", F.col("lo")))
+    discard(recurring, contexts, distinct)
+    later = settle(later_windows(windows, ["h", "w"]).withColumn("hi", F.col("lo")))
+    discard(windows)
+    return covered.unionByName(later)
 
 
 def drop_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, gram: int = GRAM, batch_bytes: int = BATCH_BYTES) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from diffloom.llm.common import OTHER_BASE, anchors, extended, later_windows, lists, own_names, settle, signed, slices, span_hashes, union_of, with_spans
+from diffloom.llm.common import OTHER_BASE, anchors, discard, extended, later_windows, lists, own_names, settle, signed, slices, span_hashes, union_of, with_spans
 
 WINDOW, GRAM = 100, 32
 #: Bytes of contexts that a task sorts into one run, and contexts of a range, about.
@@ -314,7 +314,9 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """(_id, _th, lo, hi): windows starting at bytes lo to hi also start earlier."""
     spark = docs.sparkSession
     named = docs.select(F.col(doc_id).cast("long").alias("_id"), F.xxhash64(F.col(text)).alias("_th"), F.col(text).alias("_text"))
-    places = recurring_places(named, recurring_grams(named, window, gram), window, gram)
+    recurring = recurring_grams(named, window, gram)
+    places = recurring_places(named, recurring, window, gram)
+    discard(recurring)
     total = places.agg(F.sum(F.size("_at"))).first()[0] or 0
     ranges = max(-(-total // range_rows), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     splitters = _splitters(named, ranges, window, gram)
@@ -323,7 +325,10 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     found = settle(pieces.groupBy("range").applyInArrow(lambda rows: _merge(rows, window), _FOUND))
     windows = found.filter("w1 is not null").select("_id", "_th", "lo", "w1", "w2")
     covered = found.filter("w1 is null").select("_id", "_th", "lo", "hi")
-    return covered.unionByName(later_windows(windows, ["w1", "w2"]).withColumn("hi", F.col("lo")))
+    later = later_windows(windows, ["w1", "w2"]).withColumn("hi", F.col("lo"))
+    spans = settle(covered.unionByName(later))
+    discard(places, found)
+    return spans
 
 
 def drop_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, gram: int = GRAM, range_rows: int = RANGE_ROWS) -> DataFrame:
