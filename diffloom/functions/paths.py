@@ -196,8 +196,3 @@ def is_inflated(display_changed: Column, source_changed: Column) -> Column:
 
 def path_contains(path: Column, query: Column) -> Column:
     return F.contains(F.lower(path), F.lower(query))
-
-
-def tree_order_key(path: Column) -> Column:
-    """Sorts files as a folder tree draws them: siblings by full path, a folder as ``path/``."""
-    return path

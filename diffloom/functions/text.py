@@ -96,11 +96,8 @@ def chars_of(text: Column, first: Column, end: Column) -> Column:
 
 def display_range(text: Column, start: Column, end: Column) -> Column:
     """Whitespace-skipped offsets back to display offsets, ``end`` exclusive."""
-    chars = F.split(text, "", -1)
-    offsets = F.filter(
-        F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0))),
-        lambda i: (F.length(text) > 0) & ~F.get(chars, i).rlike(f"^{SPACE}$"),
-    )
+    numbered = F.transform(F.split(text, "", -1), lambda c, i: F.struct(c.alias("c"), i.alias("i")))
+    offsets = F.transform(F.filter(numbered, lambda x: (x["c"] != "") & ~x["c"].rlike(f"^{SPACE}$")), lambda x: x["i"])
     last = F.get(offsets, end - 1)
     first = F.coalesce(F.get(offsets, start), F.length(text))
     return F.struct(first.alias("start"), F.coalesce(last + 1, first).alias("end"))

@@ -64,8 +64,8 @@ def _wider(widths, limit: int):
 
 
 def style_profile(texts: DataFrame, by: str = "doc_id") -> DataFrame:
-    """How a file is written: tabs or spaces, the step, semicolons, quotes, and the narrowest common width
-    nearly every line fits. Higher-order functions over one file's lines; nothing is exploded."""
+    """Formatting habits of a file: what indents it and by how much, whether statements end in semicolons, which
+    quotes it takes, and its line width, rounded up to one of the usual limits. Higher-order functions over one file's lines; nothing is exploded."""
     lines = F.split("text", r"\r\n?|\n", -1)
     code = lambda l: F.regexp_replace(F.regexp_replace(l, r"\s+//.*$", ""), r"^\s+|\s+$", "")
     solid = F.filter(F.col("_lines"), lambda l: (code(l) != "") & ~code(l).rlike(r"^(?://|/\*|\*)"))

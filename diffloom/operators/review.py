@@ -55,13 +55,14 @@ def viewed_rollup(outline: DataFrame, viewed: DataFrame, level: list[str]) -> Da
 
 def node_atoms(outline: DataFrame) -> DataFrame:
     """``(node, atom)`` for every node and each atom at or beneath it. Ancestors are climbed level by level,
-    one join per level of the deepest outline."""
+    one join per level of the deepest outline. Nodes are numbered in document order, parents first; a parent
+    that is not below its node's number belongs to a broken outline and ends the climb."""
     where = ["diffset_id", "path", "frag_no", "side"]
     links = outline.select(*where, F.col("node_no").alias("_up"), F.col("parent").alias("_next"))
     level = cut(outline.filter("atom is not null").select(*where, "node_no", "parent", "atom"))
     out = level.select(*where, "node_no", "atom")
     while True:
-        up = level.filter("parent >= 0").withColumnRenamed("parent", "_up").drop("node_no")
+        up = level.filter("parent >= 0 and parent < node_no").withColumnRenamed("parent", "_up").drop("node_no")
         level = cut(up.join(links, [*where, "_up"]).select(*where, F.col("_up").alias("node_no"), F.col("_next").alias("parent"), "atom").distinct())
         if level.isEmpty():
             return out.distinct()

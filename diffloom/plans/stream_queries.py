@@ -115,6 +115,10 @@ def _(d):
     return S17.read_table(d.spark, folder, "changes", ["src3", "src7"]).select("diffset_id", "path", "status")
 
 
-@query("s17_diffset_digests")
+_WORDS = "||':'||".join(f"cast(sum(cast('0x'||substr(m, {1 + 8 * i}, 8) as hugeint)) as varchar)" for i in range(4))
+
+
+@query("s17_diffset_digests", f"""select diffset_id, md5(cast(count(*) as varchar)||':'||{_WORDS}) digest
+ from (select diffset_id, md5(path||chr(1)||coalesce(old_path, '')||chr(1)||coalesce("before", '')||chr(1)||coalesce("after", '')) m from changes) r group by 1""")
 def _(d):
     return S17.diffset_digests(changes(d))

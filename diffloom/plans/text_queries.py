@@ -71,6 +71,14 @@ def _(d):
     return d.documents.select("doc_id", c["start"].alias("start"), c["end"].alias("end"))
 
 
+@query("f8_display_range", f"""select doc_id, line_no, coalesce(offs[n // 3 + 1], length(text)) "start", coalesce(offs[n] + 1, offs[n // 3 + 1], length(text)) "end" from (
+ select *, len(offs) n from (select *, [i for i in range(0, length(text)) if not regexp_full_match(text[i + 1], '{T.SPACE}')] offs from doc_lines) x) y""")
+def _(d):
+    n = F.length(T.solid(F.col("text")))
+    r = T.display_range(F.col("text"), F.floor(n / 3).cast("int"), n)
+    return doc_lines(d).select("doc_id", "line_no", r["start"].alias("start"), r["end"].alias("end"))
+
+
 oracle_fragment("display_words", f"""select doc_id, line_no, i, w, brk from (select doc_id, line_no, unnest(ws) w, generate_subscripts(ws, 1) i, unnest(bs[:len(ws)]) brk from (
  select doc_id, line_no, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_$]+') ws, regexp_split_to_array(text, '[\\p{{L}}\\p{{N}}_$]+') bs from doc_lines) x) y""")
 
