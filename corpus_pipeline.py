@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from diffloom.llm import decontaminate, language, line_dedup, packing, simhash
 from diffloom.llm.common import settle
 
-#: A document whose words agree less than this on one language is rejected.
-LEAST_LANGUAGE_SHARE = 0.5
+#: A document in which no language has this share of the words is rejected.
+LEAST_LANGUAGE_SHARE = 0.4
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -18,7 +18,7 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Drops documents without a letter, and those that no language fills by half. Learns from the rows with a
+    """Drops documents without a letter, and those in which no language stands out. Learns from the rows with a
     language, except the quarter held out for judging the operator."""
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
     model = language.fit(docs, ~held_out & F.col("doc_id").isNotNull())

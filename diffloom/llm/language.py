@@ -1,6 +1,6 @@
 """Language of code-switched text by a linear-chain conditional random field.
 
-Every word (a run of letters) gets one label per language. Emissions add learned weights of its prefixes, suffixes,
+Every word (a run of letters that touches no digit) gets one label per language. Emissions add learned weights of its prefixes, suffixes,
 byte trigrams, of the word itself and of the lexicons it stands in; transitions between neighbouring words are
 learned with them. Forward-backward gives each word's label probabilities; a document's language has the largest
 share of them, and the share is its score.
@@ -53,6 +53,21 @@ class Model:
     start: np.ndarray
 
 
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end byte and document of the words to label. Letters that touch a digit are pieces of keys and
+    numbers, not words; only a document without other letters is read by them."""
+    starts, ends, doc = word_bounds(data, offsets, _LETTER)
+    if not len(starts):
+        return starts, ends, doc
+    digit = np.zeros(len(data) + 2, dtype=bool)
+    digit[1:-1] = (data >= 0x30) & (data <= 0x39)
+    begins, stops = offsets[doc], offsets[doc + 1]
+    plain = ~(digit[starts] & (starts > begins)) & ~(digit[ends + 1] & (ends < stops))
+    none = np.bincount(doc[plain], minlength=len(offsets))[doc] == 0
+    keep = plain | none
+    return starts[keep], ends[keep], doc[keep]
+
+
 def _word_slots(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Feature buckets of each word: the word, its prefixes and suffixes."""
     slots = [span_hashes(data, starts, ends)]
@@ -166,7 +181,7 @@ def train(texts: list[str], langs: list[str], steps: int = 300, batch: int = 64,
     counts: dict[int, Counter] = {}
     base = 0
     for row, end, data, offsets in slices(table, "t"):
-        starts, ends, doc = word_bounds(data, offsets, _LETTER)
+        starts, ends, doc = _words(data, offsets)
         if not len(starts):
             continue
         words, tri = _word_slots(data, starts, ends), _trigram_slots(np.concatenate((data, np.zeros(2, np.uint8))))
@@ -267,7 +282,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
             langs, scores = [], []
             lowered = pa.RecordBatch.from_arrays([pc.utf8_lower(batch.column("_text"))], names=["t"])
             for row, end, data, offsets in slices(lowered, "t"):
-                starts, ends, doc = word_bounds(data, offsets, _LETTER)
+                starts, ends, doc = _words(data, offsets)
                 n = end - row
                 ascii_at = np.flatnonzero((data >= 0x61) & (data <= 0x7A))
                 lettered = np.bincount(np.searchsorted(offsets, ascii_at, "right") - 1, minlength=n)[:n] > 0
