@@ -20,7 +20,7 @@ select source diffset_id, source||'/'||{_NAME} path, case when doc_id % 23 = 7 t
 from {{documents}} where doc_id % 10 <> 0""")
 
 # One edit per residue: append two lines (one of them another file's first line), drop the first line,
-# move the first line to the end, reword; the rest keep their text. Some files move or change mode.
+# move the first line to the end, reword, break lines after sentences; the rest keep their text. Some files move or change mode.
 fragment("first_iteration", """
 select d.doc_id, d.source, d.lang,
        case d.doc_id % 7
@@ -29,6 +29,7 @@ select d.doc_id, d.source, d.lang,
          when 1 then substr(d.text, instr(d.text, chr(10)) + 1)
          when 2 then substr(d.text, instr(d.text, chr(10)) + 1)||chr(10)||split_part(d.text, chr(10), 1)
          when 3 then replace(d.text, 'the ', 'teh ')
+         when 4 then replace(d.text, '. ', '.'||chr(10))
          else d.text end text
 from {documents} d left join {documents} p on p.doc_id = d.doc_id - 20 and p.doc_id % 7 = 1""")
 

@@ -142,6 +142,12 @@ def fragments(d: Data):
     return H.fragments(diff_rows(d), BY)
 
 
+def solid_edits(rows):
+    """The gaps of diff rows whose two sides differ in more than blanks. A gap is a part of one file."""
+    side = lambda op: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("op") == op, F.struct("row_no", T.solid(F.col("text")).alias("s"))))), lambda r: r["s"]), "")
+    return rows.filter("op <> ' '").groupBy(*BY, "gap").agg(side("-").alias("_o"), side("+").alias("_n")).filter("_o <> _n").select(*BY, "gap")
+
+
 def change_report(d: Data):
     """Per changed file: status, line counts, whether it folds, and why."""
     changed = changes(d)
@@ -151,14 +157,17 @@ def change_report(d: Data):
     shown = F.coalesce("text_b", "text_a")
     facts = pairs.select(*BY, "status", P.produced_by(F.col("path"), shown).alias("produced"),
                          F.greatest(F.length(F.coalesce("text_a", F.lit(""))), F.length(F.coalesce("text_b", F.lit("")))).alias("chars"))
-    rows = changed.select(*BY, "status", "mode").join(facts, [*BY, "status"], "left").join(
+    rows = changed.select(*BY, "status", "mode", "before", "after").join(facts, [*BY, "status"], "left").join(
         stats.join(facts.select(*BY, "status"), BY), [*BY, "status"], "left"
     )
-    rows = rows.na.fill(0, ["added", "removed"])
+    # A file whose old and new lines hold the same characters, blanks aside, was only formatted.
+    edited = solid_edits(diff_rows(d)).select(*BY).distinct().withColumn("edited", F.lit(True))
+    rows = rows.join(edited, BY, "left").na.fill(0, ["added", "removed"]).na.fill(False, ["edited"])
+    formatted = F.col("chars").isNotNull() & F.col("before").isNotNull() & F.col("after").isNotNull() & ~F.col("edited")
     reason = P.collapse_reason(
         F.col("produced"), F.col("status") == "deleted",
         P.fallback_class(F.col("chars"), F.lit(0), F.lit(0)), F.col("added") + F.col("removed"),
-        F.lit(False), F.lit(False),
+        F.lit(False), formatted,
     )
     return rows.select(
         *BY, "status", F.coalesce(P.language_for_path(F.col("path")), F.lit("")).alias("language"),
@@ -174,11 +183,13 @@ _LANGUAGE = f"""coalesce(case {_NAMES.format(_BASE)} when {_BASE} like 'Dockerfi
 oracle_fragment("stats", """select diffset_id, path, count(case when op = '+' then 1 end) added, count(case when op = '-' then 1 end) removed from merged_rows group by 1, 2""")
 oracle_fragment("report", f"""select diffset_id, path, status, {_LANGUAGE} "language", {_TEST} is_test, added, removed, coalesce(
  case when not (produced = 'lockfile' and added + removed <= 10) then produced end, case when status = 'deleted' then 'deleted' end,
- case when chars > 500000 and added + removed > 400 then 'too-large' end, '') collapsed
- from (select c.diffset_id, c.path, c.status, coalesce(s.added, 0) added, coalesce(s.removed, 0) removed, f.produced, f.chars
+ case when chars > 500000 and added + removed > 400 then 'too-large' end, case when chars is not null and "before" is not null and "after" is not null and not edited then 'format-only' end, '') collapsed
+ from (select c."before", c."after", e.diffset_id is not null edited, c.diffset_id, c.path, c.status, coalesce(s.added, 0) added, coalesce(s.removed, 0) removed, f.produced, f.chars
  from changes c left join (select s.*, p.status from stats s join pair_texts p using (diffset_id, path)) s using (diffset_id, path, status)
  left join (select diffset_id, path, status, {_PRODUCED} produced, greatest(length(text_a), length(text_b)) chars
-   from (select *, case when status = 'deleted' then text_a else text_b end text from pair_texts) p) f using (diffset_id, path, status)) r""")
+   from (select *, case when status = 'deleted' then text_a else text_b end text from pair_texts) p) f using (diffset_id, path, status)
+ left join (select distinct diffset_id, path from (select diffset_id, path, gap, string_agg(case when op = '-' then text end, '' order by row_no) o, string_agg(case when op = '+' then text end, '' order by row_no) n from merged_rows where op <> ' ' group by 1, 2, 3) g
+   where regexp_replace(coalesce(o, ''), '{T.SPACES}', '', 'g') <> regexp_replace(coalesce(n, ''), '{T.SPACES}', '', 'g')) e on e.diffset_id = c.diffset_id and e.path = c.path) r""")
 
 
 @query("h1_change_report", "select * from report")
