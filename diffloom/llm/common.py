@@ -21,7 +21,7 @@ SPACE = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Bytes of text worked on at once; a single longer document is worked on alone.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32  # A-Z

@@ -36,7 +36,7 @@ from diffloom.llm.common import OTHER_BASE, anchors, discard, extended, later_wi
 
 WINDOW, GRAM = 100, 32
 #: Bytes of contexts that a task sorts into one run, and contexts of a range, about.
-RUN_BYTES, RANGE_ROWS = 16 << 20, 1 << 17
+RUN_BYTES, RANGE_ROWS = 8 << 20, 1 << 17
 #: Sampled suffixes for each range.
 OVERSAMPLE = 16
 
@@ -161,6 +161,18 @@ def merged(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int, int
             node //= 2
 
 
+def joined_spans(rows: np.ndarray) -> np.ndarray:
+    """Rows (id known, id, text hash, lo, hi) with touching and overlapping spans of one text made one."""
+    rows = rows[np.lexsort(rows.T[::-1])]
+    if len(rows) < 2:
+        return rows
+    same = (rows[1:, :3] == rows[:-1, :3]).all(axis=1) & (rows[1:, 3] <= rows[:-1, 4] + 1)
+    head = np.concatenate(([True], ~same))
+    out = rows[head]
+    out[:, 4] = np.maximum.reduceat(rows[:, 4], np.flatnonzero(head))
+    return out
+
+
 def _runs(batches: Iterator[pa.RecordBatch], splitters: list[bytes], window: int, gram: int) -> Iterator[pa.RecordBatch]:
     """Sorted, front-coded pieces of runs by range; contexts that repeat within a run come out as covered."""
     held: list[tuple[bytes, int, int, int, int, int, int]] = []  # key, right length, id is known, id, th, lo, hi
@@ -177,20 +189,22 @@ def _runs(batches: Iterator[pa.RecordBatch], splitters: list[bytes], window: int
             last = x
             keys.append(x[0]), meta.append(x[1:])
         numbers = np.array(meta, dtype=np.int64).reshape(-1, 6)
+        held.clear()
         cuts = [0, *(bisect_right(keys, s) for s in splitters), len(keys)]
         filled = [i for i in range(len(cuts) - 1) if cuts[i] < cuts[i + 1]]
         pieces = [front_coded(keys[cuts[i] : cuts[i + 1]], numbers[cuts[i] : cuts[i + 1]]) for i in filled]
-        none = [None] * len(filled)
+        whole = joined_spans(np.array([x[2:] for x in covered], dtype=np.int64).reshape(-1, 5))
+        nulls, n = [None] * len(filled), len(whole)
+        ids = pa.array(whole[:, 1], pa.int64(), mask=whole[:, 0] == 0)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([*filled, *(x[4] % (len(splitters) + 1) for x in covered)], pa.int32()),
-                pa.array([*pieces, *[None] * len(covered)], pa.binary()),
-                pa.array([*none, *(x[3] if x[2] else None for x in covered)], pa.int64()),
-                *[pa.array([*none, *(x[i] for x in covered)], t) for i, t in ((4, pa.int64()), (5, pa.int32()), (6, pa.int32()))],
+                pa.array(filled + (np.arange(n) % (len(splitters) + 1)).tolist(), pa.int32()),  # any range passes these on
+                pa.array([*pieces, *[None] * n], pa.binary()),
+                pa.concat_arrays([pa.array(nulls, pa.int64()), ids]),
+                *[pa.concat_arrays([pa.array(nulls, t), pa.array(whole[:, i].astype(k))]) for i, t, k in ((2, pa.int64(), np.int64), (3, pa.int32(), np.int32), (4, pa.int32(), np.int32))],
             ],
             names=["range", "piece", "_id", "_th", "lo", "hi"],
         )
-        held.clear()
 
     for batch in batches:
         for row, end, data, offsets in slices(batch, "_text"):
