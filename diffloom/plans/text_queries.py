@@ -128,7 +128,7 @@ def _(d):
 
 
 @query("f17_mostly_kept", f"""select diffset_id, path, cast(sum(case when op = ' ' then n else 0 end) as bigint) kept, cast(sum(n) as bigint) total, sum(case when op = ' ' then n else 0 end) * 2 >= sum(n) mostly_kept
- from (select *, length(key) n from merged_rows) x group by 1, 2""")
+ from (select *, length(regexp_replace(text, '{T.SPACES}', '', 'g')) n from merged_rows) x group by 1, 2""")
 def _(d):
     n = F.length(T.solid(F.col("text")))
     rows = diff_rows(d).groupBy(*BY).agg(F.sum(F.when(F.col("op") == " ", n).otherwise(0)).alias("kept"), F.sum(n).alias("total"))
