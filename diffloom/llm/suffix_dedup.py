@@ -306,7 +306,7 @@ def _merge(rows: pa.Table, window: int) -> pa.Table:
 
 
 def _splitters(named: DataFrame, ranges: int, window: int, gram: int) -> list[bytes]:
-    """Suffixes that part the contexts into about even ranges, from a sample of ``OVERSAMPLE`` for each range."""
+    """Keys that part the contexts into about even ranges, from a sample of ``OVERSAMPLE`` for each range."""
     rows = named.agg(F.sum(F.octet_length("_text")).alias("n")).first()["n"] or 0
     share = min(1.0, ranges * OVERSAMPLE * gram * 2 / max(1, rows))  # of the anchors: one in about gram bytes
     limit = np.uint64(min((1 << 64) - 1, int(share * (1 << 64))))
@@ -314,11 +314,12 @@ def _splitters(named: DataFrame, ranges: int, window: int, gram: int) -> list[by
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in slices(batch, "_text"):
-                grams, _, at, _, hi = _grams(data, offsets, window, gram)
-                # Not by the gram's own hash: copies would all be drawn or none.
-                chosen = np.flatnonzero(span_hashes(data, at, hi + window, OTHER_BASE) <= limit)
+                _, _, at, lo, hi = _grams(data, offsets, window, gram)
+                # Drawn by the whole context: many that share a right side are parted by their left sides.
+                chosen = np.flatnonzero(span_hashes(data, lo, hi + window, OTHER_BASE) <= limit)
                 raw = data.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([raw[a:b] for a, b in zip(at[chosen].tolist(), (hi[chosen] + window).tolist(), strict=True)], pa.binary())], names=["key"])
+                keys = [raw[a:b] + raw[c:a] for a, b, c in zip(at[chosen].tolist(), (hi[chosen] + window).tolist(), lo[chosen].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary())], names=["key"])
 
     drawn = sorted({bytes(r["key"]) for r in named.select("_text").mapInArrow(work, "key binary").limit(4 * ranges * OVERSAMPLE).collect()})
     return [drawn[len(drawn) * i // ranges] for i in range(1, ranges)] if len(drawn) >= ranges else drawn
