@@ -5,13 +5,14 @@ byte trigrams, of the word itself and of the lexicons it stands in; transitions
 learned with them. Forward-backward gives each word's label probabilities; a document's language has the largest
 share of them, and the share is its score.
 
-The model is fitted on a bounded sample: about ``per_label`` labelled documents of each of the ``max_labels`` most
-frequent languages, of each at most ``sample_chars`` neighbouring characters from a place that a hash chooses. Texts
-of several languages are spliced into training sequences, so that changes of language are seen. Prediction reads
-every word of every text.
+The model knows every language that a label names. It is fitted on a bounded sample: about ``per_label`` labelled
+documents of each language, fewer when they would pass ``sample_docs`` in all but one at least, of each at most
+``sample_chars`` neighbouring characters from a place that a hash chooses. Texts of several languages are spliced into
+training sequences, so that changes of language are seen. Prediction reads every word of every text.
 
 Long texts are exact and vectorised: words are cut into segments, each segment's product of transition and emission
-matrices carries the forward and backward messages across it, and then all segments run side by side.
+matrices carries the forward and backward messages across it, and then all segments run side by side. With more than
+``WIDE`` labels such products cost more than walking the segments of all documents in order, which is done then.
 
 Defined results: a null text, and one without a letter, is ``und`` with score 0; so is every text when nothing could
 be learned. Letters are those of Unicode. Ties go to the label that sorts first.
@@ -29,11 +30,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from diffloom.llm.common import extended, mix, own_names, slices, span_hashes, word_bounds
+from diffloom.llm.common import SLICE_BYTES, extended, mix, own_names, slices, span_hashes, word_bounds
 
-PER_LABEL, MAX_LABELS, SAMPLE_CHARS = 400, 64, 2000
+PER_LABEL, SAMPLE_DOCS, SAMPLE_CHARS = 400, 25600, 2000
 BUCKETS = 1 << 16
 SEGMENT = 64
+#: Labels from which on segments are walked in order, and up to which a slice of text has its full size.
+WIDE = 32
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[0x61:0x7B] = _LETTER[0x80:] = True
 _AFFIXES = (1, 2, 3, 4)
@@ -143,7 +146,22 @@ def document_mass(model: Model, emissions: np.ndarray, doc: np.ndarray, docs: in
     within = np.arange(n) - part_base[of]
     first, last = np.tile(start, (n, 1)), np.ones((n, k))
     many = np.flatnonzero(parts[of] > 1)
-    if len(many):
+    if len(many) and k > WIDE:
+        for j in range(int(parts.max()) - 1):
+            s = many[(within[many] == j) & (parts[of[many]] > j + 1)]
+            now = first[s]
+            for i in range(SEGMENT):
+                now = (now * e[s, i]) @ a
+                now /= now.sum(axis=1, keepdims=True)
+            first[s + 1] = now
+        for j in range(int(parts.max()) - 1, 0, -1):
+            s = many[within[many] == j]
+            now = last[s]
+            for i in range(SEGMENT - 1, -1, -1):
+                back = (now * e[s, i]) @ a.T
+                now = np.where(mask[s, i, None], back / back.sum(axis=1, keepdims=True), now)
+            last[s - 1] = now
+    elif len(many):
         # across[s]: from the message into segment s to the message into the next one.
         across = np.tile(np.eye(k), (len(many), 1, 1))
         for i in range(SEGMENT):
@@ -172,10 +190,12 @@ def _scatter(mass: np.ndarray, of: np.ndarray, docs: int) -> np.ndarray:
     return out
 
 
-def train(texts: list[str], langs: list[str], steps: int = 300, batch: int = 64, length: int = 32, rate: float = 0.3, seed: int = 7) -> Model:
-    """Fits weights, lexicon weights and transitions by stochastic gradient on the sequences' log-likelihood."""
+def train(texts: list[str], langs: list[str], steps: int | None = None, batch: int = 64, length: int = 32, rate: float = 0.3, seed: int = 7) -> Model:
+    """Fits weights, lexicon weights and transitions by stochastic gradient on the sequences' log-likelihood. With very many
+    labels there are more steps, so that each is still seen often."""
     labels = sorted(set(langs))
     k, rng = len(labels), np.random.default_rng(seed)
+    steps, number = steps or max(300, 5 * k), {x: i for i, x in enumerate(labels)}
     table = pa.RecordBatch.from_arrays([pc.utf8_lower(pa.array(texts, pa.string()))], names=["t"])
     pieces = []
     counts: dict[int, Counter] = {}
@@ -189,7 +209,7 @@ def train(texts: list[str], langs: list[str], steps: int = 300, batch: int = 64,
         at = starts[:, None] + np.arange(width)
         inside = at < np.maximum(ends - 2, starts)[:, None]
         grams = np.where(inside, tri[at.clip(max=len(tri) - 1)], BUCKETS)
-        y = np.array([labels.index(langs[row + d]) for d in doc])
+        y = np.array([number[langs[row + d]] for d in doc])
         hashes = span_hashes(data, starts, ends)
         for h, label in zip(hashes.tolist(), y.tolist(), strict=True):
             counts.setdefault(h, Counter())[label] += 1
@@ -224,7 +244,11 @@ def train(texts: list[str], langs: list[str], steps: int = 300, batch: int = 64,
                 at[s, filled : filled + len(part)] = part
                 filled += len(part)
         f, gold, lex = slots[at], y[at], in_lexicon[at]
-        em = w[f].sum(axis=2) + lw[lex] + bias
+        em = np.zeros((batch, length, k))
+        for j in range(f.shape[2]):
+            em += w[f[:, :, j]]
+        em += lw[lex]
+        em += bias
         e, a = np.exp(em - em.max(axis=2, keepdims=True)), np.exp(trans)
         # Pairwise marginals need the messages themselves.
         alpha, now, st = np.empty_like(e), np.tile(np.exp(start), (batch, 1)), None
@@ -236,21 +260,27 @@ def train(texts: list[str], langs: list[str], steps: int = 300, batch: int = 64,
         pair = np.zeros((k, k))
         for i in range(length - 1, 0, -1):
             right = e[:, i] * beta[:, i]
-            joint = alpha[:, i - 1, :, None] * a * right[:, None, :]
-            pair += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+            # alpha x a x right, of sum 1 in each sequence, summed over the sequences.
+            total = ((alpha[:, i - 1] @ a) * right).sum(axis=1, keepdims=True)
+            pair += a * ((alpha[:, i - 1] / total).T @ right)
             back = right @ a.T
             beta[:, i - 1] = back / back.sum(axis=1, keepdims=True)
         p = alpha * beta
         p /= p.sum(axis=2, keepdims=True)
         g = np.eye(k)[gold] - p
         flat = g.reshape(-1, k)
-        gw, gl = np.zeros_like(w), np.zeros_like(lw)
-        rows = f.reshape(len(flat), -1)
+        gl = np.zeros_like(lw)
+        # Only the buckets of this batch have a gradient.
+        met, rows = np.unique(f.reshape(len(flat), -1), return_inverse=True)
+        gw, rows = np.zeros((len(met), k)), rows.ravel()
         for c in range(k):
-            gw[:, c] = np.bincount(rows.ravel(), weights=np.repeat(flat[:, c], rows.shape[1]), minlength=len(w))
+            gw[:, c] = np.bincount(rows, weights=np.repeat(flat[:, c], f.shape[2]), minlength=len(met))
             gl[:, c] = np.bincount(lex.ravel(), weights=flat[:, c], minlength=k + 1)
-        gw[BUCKETS], gl[k] = 0, 0
-        move(0, w, gw / batch), move(1, lw, gl / batch), move(2, bias, flat.sum(axis=0) / batch)
+        gw[met == BUCKETS], gl[k] = 0, 0
+        gw /= batch
+        seen[0][met] += gw * gw
+        w[met] += rate * gw / np.sqrt(seen[0][met])
+        move(1, lw, gl / batch), move(2, bias, flat.sum(axis=0) / batch)
         seen_pairs = np.zeros((k, k))
         np.add.at(seen_pairs, (gold[:, :-1].ravel(), gold[:, 1:].ravel()), 1)
         move(3, trans, (seen_pairs - pair) / batch)
@@ -258,30 +288,36 @@ def train(texts: list[str], langs: list[str], steps: int = 300, batch: int = 64,
     return Model(labels, w[:BUCKETS].astype(np.float32), bias, lexicon, lexicon_of, lw[:k], trans, start)
 
 
-def fit(docs: DataFrame, trainable: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_label: int = PER_LABEL, max_labels: int = MAX_LABELS, sample_chars: int = SAMPLE_CHARS) -> Model | None:
-    """A model from a bounded sample of the rows where ``trainable`` holds and the language is known."""
-    rows = docs.filter(trainable & F.col(lang).isNotNull())
-    sizes = rows.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_labels).collect()
-    if not sizes:
-        return None
+def fit(docs: DataFrame, trainable: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_label: int = PER_LABEL, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model | None:
+    """A model of every language of the rows where ``trainable`` holds and the language is known, from a bounded
+    sample of these rows."""
     draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(doc_id)), F.lit(1 << 30)) / float(1 << 30)
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_label / r["count"]))])
     at = F.pmod(F.xxhash64(F.lit("place"), F.col(doc_id)), F.greatest(F.lit(1), F.length(text) - sample_chars)).cast("int") + 1
-    sample = rows.filter(draw < share[F.col(lang)]).select(F.col(lang).alias("lang"), F.substr(F.col(text), at, F.lit(sample_chars)).alias("text"))
-    drawn = sorted((r["lang"], r["text"] or "") for r in sample.limit(2 * per_label * len(sizes)).collect())
-    return train([t for _, t in drawn], [x for x, _ in drawn]) if drawn else None
+    rows = docs.filter(trainable & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(doc_id).alias("id"), draw.alias("draw"), at.alias("at"), F.col(text).alias("text"))
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("draw").alias("least")).collect()  # one row per label of the model
+    if not sizes:
+        return None
+    most = max(1.0, min(per_label, sample_docs / len(sizes)))
+    # The row drawn first is in the sample of its language, however small the share.
+    shares = docs.sparkSession.createDataFrame([(r["lang"], max(most / r["n"], r["least"])) for r in sizes], "lang string, share double")
+    drawn = rows.join(F.broadcast(shares), "lang").filter("draw <= share")
+    sample = drawn.groupBy("lang", "id").agg(F.max(F.substr("text", "at", F.lit(sample_chars))).alias("text"))
+    pieces = sorted((r["lang"], r["text"] or "") for r in sample.collect())
+    return train([t for _, t in pieces], [x for x, _ in pieces])
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """All columns of ``docs``, and ``_lang`` and ``_score``."""
     docs = own_names(docs)
     kept = docs.columns
+    # Words and bytes have one number per label: the more labels, the smaller the slices.
+    limit = SLICE_BYTES * WIDE // max(WIDE, len(model.labels) if model else 0)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores = [], []
             lowered = pa.RecordBatch.from_arrays([pc.utf8_lower(batch.column("_text"))], names=["t"])
-            for row, end, data, offsets in slices(lowered, "t"):
+            for row, end, data, offsets in slices(lowered, "t", limit):
                 starts, ends, doc = _words(data, offsets)
                 n = end - row
                 ascii_at = np.flatnonzero((data >= 0x61) & (data <= 0x7A))

@@ -67,6 +67,41 @@ def test_language_follows_code_switching_and_defined_cases(spark):
     assert {r["_lang"] for r in language.identify(frame, language.fit(frame, F.lit(False))).collect()} == {"und"}
 
 
+def test_every_language_can_be_named(spark):
+    """Seventy languages; the rarest have two documents to learn from, and the most frequent are no limit."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    pools = {f"l{i:02}": [word() for _ in range(8)] for i in range(70)}
+    rows = [(x, mixed(rng, pools[x], 80)) for i, x in enumerate(pools) for _ in range(2 if i >= 64 else 4)]
+    frame = documents(spark, [(i, t, x) for i, (x, t) in enumerate(rows)] + [(1000 + i, mixed(rng, p, 80), None) for i, p in enumerate(pools.values())])
+    model = language.fit(frame, F.col("doc_id") < 1000)
+    assert model.labels == list(pools)
+    out = {r["doc_id"]: r["_lang"] for r in language.identify(frame, model).collect()}
+    assert np.mean([out[1000 + i] == x for i, x in enumerate(pools)]) > 0.95
+    assert [out[1000 + i] for i in range(64, 70)] == list(pools)[64:]
+    # A total below the number of languages shrinks the samples, not the languages.
+    assert language.fit(frame, F.col("doc_id") < 1000, sample_docs=20).labels == list(pools)
+
+
+def test_many_labels_do_not_change_the_probabilities():
+    rng = np.random.default_rng(1)
+    k = language.WIDE + 8
+    model = language.Model([str(i) for i in range(k)], None, None, None, None, None, 2 * rng.normal(size=(k, k)), rng.normal(size=k))
+    counts = [65, 0, 130, 30, 128]
+    e, doc = 2 * rng.normal(size=(sum(counts), k)), np.repeat(np.arange(5), counts)
+    got, a = language.document_mass(model, e, doc, 5), np.exp(model.transitions)
+    for d in (0, 2, 3, 4):
+        own = np.exp(e[doc == d])
+        ahead, back = [np.exp(model.start) * own[0]], [np.ones(k)]
+        for x in own[1:]:
+            ahead.append((ahead[-1] / ahead[-1].sum()) @ a * x)
+        for x in own[:0:-1]:
+            back.append(a @ (x * back[-1] / back[-1].sum()))
+        p = np.array(ahead) * np.array(back[::-1])
+        assert np.allclose(got[d], (p / p.sum(axis=1, keepdims=True)).sum(axis=0))
+    assert (got[1] == 0).all()
+
+
 def test_segments_do_not_change_the_probabilities():
     rng = np.random.default_rng(0)
     k, n = 3, 500
