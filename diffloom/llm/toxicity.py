@@ -1,10 +1,9 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, found with block-max inverted indexes.
 
 Terms are lower-cased runs of letters and their first four bytes (which catches inflected forms). The index holds a
-bounded sample of labelled examples, about ``PER_CLASS`` of either label, and the terms found in at least
-``MIN_EXAMPLES`` of them whose presence goes with the label (chi-square of at least ``ASSOCIATION``); others only blur
-the cosine. Document frequencies, and with them the inverse frequencies, are
-counted over all documents. Examples are in blocks of ``BLOCK``; each term knows its largest weight in every block.
+bounded sample of labelled examples, about ``PER_CLASS`` of either label, with every term of theirs. Document
+frequencies, and with them the inverse frequencies, which damp common terms, are counted over all documents. Examples
+are in blocks of ``BLOCK``; each term knows its largest weight in every block that it stands in.
 For a text, the sum of these maxima bounds the cosine of every example of a block: blocks are read best bound first,
 and those whose bound is below the kth cosine found are skipped, so neighbours are exact.
 
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 
 from diffloom.llm.common import extended, lists, mix, own_names, signed, slices, span_hashes, word_bounds
 
-PER_CLASS, MIN_EXAMPLES, ASSOCIATION = 1000, 4, 10.8
+PER_CLASS = 1000
 BLOCK, NEIGHBOURS = 64, 15
 STEM = 4
 _LETTER = np.zeros(256, dtype=bool)
@@ -43,10 +42,12 @@ class Index:
     idf: np.ndarray
     ids: np.ndarray  # of the examples
     toxic: np.ndarray
-    start: np.ndarray  # term x (blocks + 1): where a term's postings of a block begin
+    start: np.ndarray  # where the cells of a term begin; a cell is a term and a block it stands in
     example: np.ndarray  # postings: example, by term, then example
     weight: np.ndarray
-    most: np.ndarray  # term x block: the largest weight
+    most: np.ndarray  # cell: the largest weight
+    block: np.ndarray | None = None  # cell: its block
+    begin: np.ndarray | None = None  # cell: where its postings begin
     curve: tuple[float, float, float] = (0.0, 0.0, 0.0)
     rate: float = 0.0
     vectors: list = field(default_factory=list)  # of the examples, for the curve only
@@ -83,11 +84,19 @@ def _vectors(d: np.ndarray, t: np.ndarray, n: np.ndarray, idf: np.ndarray, docs:
     return w / np.where(norm > 0, norm, 1)[d]
 
 
+def _ranges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers from each a to before its b, one range after the other, and the ranges' lengths."""
+    n = b - a
+    return np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum()), n
+
+
 def neighbours(index: Index, t: np.ndarray, w: np.ndarray, k: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
     """The k examples with the largest cosine (above 0) and these cosines; ``leave`` is left out."""
     if not len(t):
         return np.zeros(0, np.int64), np.zeros(0)
-    bound = w @ index.most[t]
+    cell, n = _ranges(index.start[t], index.start[t + 1])
+    of, block = np.repeat(w, n), index.block[cell]
+    bound = np.bincount(block, weights=of * index.most[cell], minlength=-(-len(index.ids) // BLOCK))
     order = np.argsort(-bound, kind="stable")
     scores = np.zeros(len(index.ids))
     kth, at, step = 0.0, 0, 4
@@ -96,10 +105,11 @@ def neighbours(index: Index, t: np.ndarray, w: np.ndarray, k: int, leave: int =
         blocks = blocks[bound[blocks] * (1 + 1e-9) >= kth]
         if not len(blocks):
             break
-        a, b = index.start[t][:, blocks].ravel(), index.start[t][:, blocks + 1].ravel()
-        n = b - a
-        cells = np.repeat(a - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        scores += np.bincount(index.example[cells], weights=np.repeat(np.repeat(w, len(blocks)), n) * index.weight[cells], minlength=len(scores))
+        read = np.zeros(len(bound), dtype=bool)
+        read[blocks] = True
+        read = read[block]
+        posting, n = _ranges(index.begin[cell[read]], index.begin[cell[read] + 1])
+        scores += np.bincount(index.example[posting], weights=np.repeat(of[read], n) * index.weight[posting], minlength=len(scores))
         if leave >= 0:
             scores[leave] = 0
         if len(scores) > k:
@@ -124,12 +134,7 @@ def _signs(index: Index, best: np.ndarray, cosine: np.ndarray) -> tuple[float, f
 def build_index(ids: np.ndarray, toxic: np.ndarray, hashes: np.ndarray, doc: np.ndarray) -> Index:
     """Terms, examples and their counts; weights wait for the document frequencies. ``hashes`` and ``doc`` are the
     examples' terms, repeats included."""
-    distinct = np.unique(np.stack((hashes, doc.astype(np.uint64))), axis=1) if len(hashes) else np.zeros((2, 0), np.uint64)
-    terms, place, found = np.unique(distinct[0], return_inverse=True, return_counts=True)
-    both = np.bincount(place, weights=toxic[distinct[1].astype(np.int64)], minlength=len(terms))
-    n, y = max(1, len(ids)), toxic.sum() / max(1, len(ids))
-    spread = found * (1 - found / n) * y * (1 - y)
-    terms = terms[(found >= MIN_EXAMPLES) & ((both - found * y) ** 2 >= ASSOCIATION * spread) & (spread > 0)]
+    terms = np.unique(hashes)
     index = Index(terms, np.ones(len(terms)), ids, toxic, *[np.zeros(0)] * 4)
     index.vectors = [_counts(hashes, doc, terms)]
     return index
@@ -145,13 +150,11 @@ def weigh(index: Index, frequency: np.ndarray, total: int, rate: float, k: int =
     order = np.lexsort((d, t))
     index.example, index.weight = d[order], w[order]
     blocks = max(1, -(-n_docs // BLOCK))
-    cell = t[order] * blocks + d[order] // BLOCK
-    counts = np.bincount(cell, minlength=n_terms * blocks)
-    ends = np.concatenate(([0], np.cumsum(counts)))
-    index.start = ends[np.arange(n_terms)[:, None] * blocks + np.arange(blocks + 1)] if n_terms else np.zeros((0, blocks + 1), np.int64)
-    index.most = np.zeros(n_terms * blocks)
-    np.maximum.at(index.most, cell, index.weight)
-    index.most = index.most.reshape(n_terms, blocks)
+    cells, first = np.unique(t[order] * blocks + d[order] // BLOCK, return_index=True)
+    index.block = (cells % blocks).astype(np.int32)
+    index.begin = np.append(first, len(order))
+    index.start = np.searchsorted(cells, np.arange(n_terms + 1) * blocks)
+    index.most = np.maximum.reduceat(index.weight, first) if len(first) else np.zeros(0)
     if len(set(index.toxic.tolist())) == 2:
         first = np.searchsorted(d, np.arange(n_docs + 1))
         x = np.array([_signs(index, *neighbours(index, t[first[i] : first[i + 1]], w[first[i] : first[i + 1]], k, i)) for i in range(n_docs)])

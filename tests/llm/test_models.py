@@ -152,6 +152,26 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), index).count() == 0
 
 
+def test_toxicity_of_rare_words(spark):
+    """Each toxic word is in at most three examples, none in a clean one; no word tells the label by its count."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    common, bad = [word() for _ in range(60)], [word() for _ in range(60)]
+    rows = []
+    for i in range(480):
+        words = [rng.choice(common) for _ in range(30)]
+        if i % 4 == 0:  # words 0 to 59, each in three texts of examples and one held out
+            words += [bad[i // 4 % 60], bad[(i // 4 + 7) % 60]]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+    held = {i for i in range(480) if (i // 4 // 60 == 1 and i // 4 % 2 == 0)}
+    docs, table = documents(spark, rows), spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    index = toxicity.fit(docs, table, ~F.col("doc_id").isin(*held))
+    out = {r["doc_id"]: r["_score"] >= 0.7 for r in toxicity.score(docs, index).collect()}
+    assert np.mean([out[i] for i in held if i % 4 == 0]) > 0.9
+    assert np.mean([out[i] for i in held if i % 4]) < 0.1
+
+
 def test_block_max_neighbours_are_exact():
     rng = np.random.default_rng(6)
     docs, terms = 300, 40
