@@ -34,6 +34,7 @@ BLOCK, NEIGHBOURS = 64, 15
 STEM = 4
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[0x61:0x7B] = _LETTER[0x80:] = True
+_EXAMPLE = pa.schema([("_id", pa.int64()), ("_y", pa.int32()), ("_terms", pa.list_(pa.int64())), ("_found", pa.list_(pa.int64()))])
 
 
 @dataclass
@@ -131,12 +132,12 @@ def _signs(index: Index, best: np.ndarray, cosine: np.ndarray) -> tuple[float, f
     return vote, float(cosine.mean()) if len(cosine) else 0.0
 
 
-def build_index(ids: np.ndarray, toxic: np.ndarray, hashes: np.ndarray, doc: np.ndarray) -> Index:
-    """Terms, examples and their counts; weights wait for the document frequencies. ``hashes`` and ``doc`` are the
-    examples' terms, repeats included."""
-    terms = np.unique(hashes)
+def build_index(ids: np.ndarray, toxic: np.ndarray, hashes: np.ndarray, doc: np.ndarray, n: np.ndarray) -> Index:
+    """Terms, examples and their counts; weights wait for the document frequencies. ``hashes``, ``doc`` (ascending)
+    and ``n`` are the examples' distinct terms and how often each occurs."""
+    terms, place = np.unique(hashes, return_inverse=True)
     index = Index(terms, np.ones(len(terms)), ids, toxic, *[np.zeros(0)] * 4)
-    index.vectors = [_counts(hashes, doc, terms)]
+    index.vectors = [(doc, place, n)]
     return index
 
 
@@ -185,29 +186,33 @@ def score_of(index: Index, best: np.ndarray, cosine: np.ndarray) -> float:
     return float(1 / (1 + np.exp(-np.clip(c[0] + c[1] * vote + c[2] * mean, -30, 30))))
 
 
-def _sample(docs: DataFrame, labels: DataFrame, trainable: Column, per_class: int, text: str, doc_id: str, label: str) -> tuple[list, float]:
-    """Examples as (id, toxic, term hashes), and the share of toxic labels among all trainable ones."""
+def _sample(docs: DataFrame, labels: DataFrame, trainable: Column, per_class: int, text: str, doc_id: str, label: str) -> tuple[pa.Table, float]:
+    """Examples as (_id, _y, _terms, _found: their counts), by id, one for each, and the share of toxic labels among all trainable ones."""
     known = labels.filter(trainable & F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("_id")).agg(F.max(F.col(label).cast("int")).alias("_y"))
     sizes = {r["_y"]: r["n"] for r in known.filter(F.col("_y").isin(0, 1)).groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
-        return [], 0.0
+        return pa.table({"_id": [], "_y": [], "_terms": [], "_found": []}, schema=_EXAMPLE), 0.0
     draw = F.pmod(F.xxhash64(F.lit("example"), F.col("_id")), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("_y") == 1, min(1.0, per_class / sizes.get(1, 1))).otherwise(min(1.0, per_class / sizes.get(0, 1)))
     # About per_class of each, so this side is small by the bound itself.
-    drawn = known.filter(F.col("_y").isin(0, 1) & (draw < share)).limit(4 * per_class)
+    drawn = known.filter(F.col("_y").isin(0, 1) & (draw < share))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, end, data, offsets in slices(lowered(batch.column("_text")), "t"):
                 h, d = terms_of(data, offsets)
-                order = np.argsort(d, kind="stable")
-                found = lists(signed(h[order]), np.bincount(d, minlength=end - row), pa.int64())
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(row, end - row) for c in ("_id", "_y")], found], names=["_id", "_y", "_terms"])
+                order = np.lexsort((h, d))
+                h, d = h[order], d[order]
+                first = np.flatnonzero(np.diff(h, prepend=0).astype(bool) | np.diff(d, prepend=-1).astype(bool))
+                per_doc = np.bincount(d[first], minlength=end - row)
+                made = [lists(x, per_doc, pa.int64()) for x in (signed(h[first]), np.diff(first, append=len(h)))]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(row, end - row) for c in ("_id", "_y")], *made], names=_EXAMPLE.names)
 
-    joined = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")).join(F.broadcast(drawn), "_id").select("_id", "_y", "_text")
-    rows = joined.mapInArrow(work, "_id long, _y int, _terms array<bigint>").limit(8 * per_class).collect()
-    rows.sort(key=lambda r: (r["_id"], r["_y"], r["_terms"]))
-    return rows, sizes.get(1, 0) / sum(sizes.values())
+    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")).join(F.broadcast(drawn), "_id")
+    # Of the texts of one id, a row drawn by hash; a null only if there is no other.
+    one = rows.groupBy("_id", "_y").agg(F.min_by("_text", F.struct(F.col("_text").isNull(), F.xxhash64("_text"))).alias("_text"))
+    found = one.mapInArrow(work, "_id long, _y int, _terms array<bigint>, _found array<bigint>").toArrow().cast(_EXAMPLE).sort_by("_id").combine_chunks()
+    return found, sizes.get(1, 0) / sum(sizes.values())
 
 
 def _frequencies(docs: DataFrame, index: Index, text: str) -> tuple[np.ndarray, int]:
@@ -237,9 +242,9 @@ def _frequencies(docs: DataFrame, index: Index, text: str) -> tuple[np.ndarray,
 def fit(docs: DataFrame, labels: DataFrame, trainable: Column, per_class: int = PER_CLASS, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", k: int = NEIGHBOURS) -> Index:
     """An index of about ``per_class`` examples of either label among the label rows where ``trainable`` holds."""
     rows, rate = _sample(docs, labels, trainable, per_class, text, doc_id, label)
-    hashes = np.array([h for r in rows for h in r["_terms"]], dtype=np.int64).view(np.uint64)
-    doc = np.repeat(np.arange(len(rows)), [len(r["_terms"]) for r in rows]).astype(np.int64)
-    index = build_index(np.array([r["_id"] for r in rows], dtype=np.int64), np.array([r["_y"] for r in rows], dtype=np.int64), hashes, doc)
+    hashes, n = (pc.list_flatten(rows[c]).to_numpy() for c in ("_terms", "_found"))
+    doc = np.repeat(np.arange(len(rows)), pc.list_value_length(rows["_terms"]).to_numpy())
+    index = build_index(rows["_id"].to_numpy(), rows["_y"].to_numpy(), hashes.view(np.uint64), doc, n)
     return weigh(index, *_frequencies(docs, index, text), rate, k)
 
 

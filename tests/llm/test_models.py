@@ -172,6 +172,18 @@ def test_toxicity_of_rare_words(spark):
     assert np.mean([out[i] for i in held if i % 4]) < 0.1
 
 
+def test_an_example_is_one_row_of_term_counts(spark):
+    """Sixty rows of one labelled id leave the other examples in; a repeated word is sent once, with its count."""
+    docs = documents(spark, [(0, f"vile {chr(97 + i % 26)}{chr(97 + i // 26)} " + "again " * 9) for i in range(60)] + [(i, "kind words") for i in range(1, 5)] + [(1, None)])
+    table = spark.createDataFrame([(i, int(i == 0)) for i in range(5)], "doc_id long, toxic int")
+    rows, rate = toxicity._sample(docs, table, F.lit(True), 4, "text", "doc_id", "toxic")
+    assert rows["_id"].to_pylist() == [0, 1, 2, 3, 4] and rate == 0.2
+    assert sorted(rows["_found"][0].as_py()) == [1, 1, 9, 9]  # vile, a name, again and its stem
+    assert all(r.as_py() for r in rows["_terms"])
+    index = toxicity.fit(docs, table, F.lit(True), per_class=4)
+    assert index.ids.tolist() == [0, 1, 2, 3, 4]
+
+
 def test_block_max_neighbours_are_exact():
     rng = np.random.default_rng(6)
     docs, terms = 300, 40
