@@ -4,10 +4,10 @@ A word goes when a window of ``WINDOW`` words covers it whose words also start e
 
 1. Every window picks its smallest hash of ``GRAM`` neighbouring words; equal windows pick the same phrase at the same
    place. Phrases are counted over the corpus; those seen once settle all windows that picked them.
-2. Documents are dealt into batches of about ``BATCH_BYTES``; each batch is told which of its phrases recur. It
-   compiles them into an Aho-Corasick automaton of its own and streams its documents through it, which locates every
-   occurrence exactly. So automata are sharded with the texts: one is as large as a batch, however many phrases the
-   corpus repeats, and no text meets another shard's automaton.
+2. Documents are dealt into batches of about ``BATCH_BYTES``; each batch is told which of its phrases recur
+   and finds their places among its own by hash. An Aho-Corasick automaton of the phrases at these places is streamed
+   over the same slice of text and only checks them again. It is as large as a slice, however many phrases the corpus
+   repeats.
 3. Neighbouring windows that pick the same occurrence form a context. Equal contexts are collapsed by 128-bit hash:
    all but the earliest are covered. Only phrases with several contexts are opened into windows, of which all but the
    earliest of each hash are covered.
