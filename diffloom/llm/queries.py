@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diffloom.llm import decontaminate, language, line_dedup, packing, phrase_dedup, privacy, simhash, suffix_dedup, topk, toxicity
+from diffloom.llm import decontaminate, jaccard_join, language, line_dedup, packing, periodic, phrase_dedup, privacy, simhash, suffix_dedup, tokenizers_align, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -84,6 +84,33 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    out = jaccard_join.join(table(spark, folder, "documents"))
+    return out.select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = periodic.planted(table(spark, folder, "documents").select("doc_id", "text"))
+    out = periodic.find_runs(docs).withColumn("best", F.array_max(F.transform("_runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("shorter")))))
+    listed = F.array_join(F.transform("_runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    length, period = F.col("best.length"), -F.col("best.shorter")
+    return out.select(
+        "doc_id",
+        F.size("_runs").cast("long").alias("n_runs"),
+        (-F.col("best.back")).alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("_kept", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    out = tokenizers_align.align_tokens(table(spark, folder, "documents"), digest=True)
+    return out.select(F.col("_id").alias("doc_id"), *tokenizers_align.MEASURES, "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language": op2_language,
@@ -95,6 +122,9 @@ QUERIES: dict[str, Query] = {
     "op8_phrase_dedup": op8_phrase_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_jaccard_join": op11_jaccard_join,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLES: dict[str, str] = {}
