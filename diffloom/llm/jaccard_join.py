@@ -13,9 +13,10 @@ chance under the first. A pair is verified only if it meets under all of them.
    in order: by rarity (common last), then by one of ``ORDERS`` hashes.
 3. Hubs: of the sets that begin alike the one with the fewest lone tokens; its links to the others, verified, make
    first components. Groups of near copies are connected here, by a star and not by all pairs.
-4. The join: only sets of different components meet, on every prefix token of every order. Pairs that sizes or the
-   positions of the token rule out are not formed; the rest is intersected over the orders and verified exactly by
-   shared tokens. A token with more than ``BUCKET`` sets is dealt into slots, every pair of slots a group of its own.
+4. The join: only sets of different components meet, on every prefix token of the first order, and bring their
+   prefixes by the others. A pair is formed at its first common token alone, if sizes and positions allow it and it
+   meets under every order, and verified exactly by its shared tokens. A token with more than ``BUCKET`` sets is dealt
+   into slots, every pair of slots a group of its own.
 5. Links of both steps give the components.
 
 Components are exact: a link left unverified joins sets already connected. Sets and tokens are known by 64-bit hashes.
@@ -245,49 +246,74 @@ def _stars(sets: DataFrame, ahead: int = 3) -> DataFrame:
     return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
+def _sharing(prefixes: list[np.ndarray], lo: int, hi: int) -> np.ndarray:
+    """Which of the sets lo..hi share a token of ``prefixes`` with which of all, as a matrix."""
+    sizes = [len(p) for p in prefixes]
+    distinct, inverse, found = np.unique(np.concatenate(prefixes), return_inverse=True, return_counts=True)
+    twice = found > 1
+    member, column = np.repeat(np.arange(len(sizes)), sizes)[twice[inverse]], (np.cumsum(twice) - 1)[inverse][twice[inverse]]
+    out = np.zeros((hi - lo, len(sizes)), dtype=bool)
+    for first in range(0, int(twice.sum()), 1024):
+        part = (column >= first) & (column < first + 1024)
+        has = np.zeros((len(sizes), 1024), dtype=np.float32)
+        has[member[part], column[part] - first] = 1
+        out |= has[lo:hi] @ has.T > 0
+    return out
+
+
+def _pairs(name: np.ndarray, root: np.ndarray, n: np.ndarray, place: np.ndarray, prefixes: list[list[np.ndarray]], percent: int) -> list[np.ndarray]:
+    """Candidates (u, v) among sets with one token in common. The first of ``prefixes`` ends before that token: a pair
+    is formed at its first common token only. The others are whole: the pair must meet in each of them."""
+    found = []
+    for lo in range(0, len(name), 256):
+        at = slice(lo, lo + 256)
+        hi = min(lo + 256, len(name))
+        left = np.minimum.outer((n - place)[at], n - place)  # the most that they can share from this token on
+        may = (root[at, None] != root) & ((100 + percent) * left >= percent * (n[at, None] + n)) & (name[at, None] < name)
+        for i, own in enumerate(prefixes):
+            if may.any():
+                may &= _sharing(own, lo, hi) == (i > 0)
+        x, y = np.nonzero(may)
+        found.append(np.stack((name[x + lo], name[y])))
+    return found
+
+
 def _crossing(sets: DataFrame, roots: DataFrame, percent: int, bucket: int) -> DataFrame:
-    """(u, v): sets of different components that share a prefix token under every order."""
+    """(u, v): sets of different components that share a prefix token under every order. The first order finds them,
+    the prefixes by the others come along, so that the filters are intersected before a pair is formed."""
     known = sets.join(roots.select(F.col("v").alias("name"), "root"), "name", "left").withColumn("root", F.coalesce("root", "name"))
-    each = F.flatten(F.transform("prefixes", lambda p, i: F.transform(p, lambda t, j: F.struct(i.alias("o"), t.alias("token"), j.alias("place")))))
-    rows = known.select("name", "root", "n", "lone", F.explode(each).alias("k")).select("name", "root", "n", (F.col("lone") + F.col("k.place")).alias("place"), "k.o", "k.token")
-    opened = rows.groupBy("o", "token").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("c")).filter("a <> b")
-    opened = opened.select("o", "token", F.ceil(F.col("c") / bucket).cast("int").alias("m"))
-    dealt = rows.join(opened, ["o", "token"]).withColumn("i", F.pmod(F.xxhash64("name"), F.col("m")))
-    dealt = dealt.select("name", "root", "n", "place", "o", "token", "i", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"))
-    group = F.xxhash64("o", "token", F.least("i", "j"), F.greatest("i", "j"))
-    grouped = dealt.select(group.alias("g"), "o", "name", "root", "n", "place").repartition("g").sortWithinPartitions("g")
-
-    def pairs(rows: np.ndarray) -> list[np.ndarray]:
-        order, name, root, n, place = rows
-        found = []
-        for lo in range(0, len(name), 256):
-            at = slice(lo, lo + 256)
-            left = np.minimum.outer((n - place)[at], n - place)  # the most that they can share from this token on
-            may = (root[at, None] != root) & (order[at, None] == order) & ((100 + percent) * left >= percent * (n[at, None] + n)) & (name[at, None] < name)
-            x, y = np.nonzero(may)
-            found.append(np.stack((name[x + lo], name[y], order[x + lo])))
-        return found
+    rows = known.select("name", "root", F.posexplode(F.col("prefixes")[0]).alias("j", "token"))
+    opened = rows.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("c")).filter("a <> b")
+    opened = opened.select("token", F.ceil(F.col("c") / bucket).cast("int").alias("m"))
+    open_rows = rows.join(opened, "token").withColumn("i", F.pmod(F.xxhash64("name"), F.col("m")))
+    dealt = open_rows.select("name", "token", "j", "i", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("k"))
+    group = F.xxhash64("token", F.least("i", "k"), F.greatest("i", "k"))  # a shared hash only mixes in pairs that verification drops
+    carried = F.concat(F.array(F.slice(F.col("prefixes")[0], 1, F.col("j"))), F.slice("prefixes", 2, ORDERS - 1))
+    joined = dealt.select("name", "j", group.alias("g")).join(known.select("name", "root", "n", "lone", "prefixes"), "name")
+    grouped = joined.select("g", "name", "root", "n", (F.col("lone") + F.col("j")).alias("place"), carried.alias("prefixes")).repartition("g").sortWithinPartitions("g")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def answer(g: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
-            starts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
-            found = [p for a, b in zip(starts, [*starts[1:], len(g)], strict=True) if b - a > 1 for p in pairs(rows[:, a:b])]
-            u, v, o = np.unique(np.concatenate([*found, np.zeros((3, 0), np.int64)], axis=1), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(1 << o)], names=["u", "v", "met"])
+        def answer(rows: np.ndarray, prefixes: list[list[np.ndarray]]) -> pa.RecordBatch:
+            starts = np.flatnonzero(np.concatenate(([True], rows[0, 1:] != rows[0, :-1]))).tolist()
+            found = [p for a, b in zip(starts, [*starts[1:], rows.shape[1]], strict=True) if b - a > 1 for p in _pairs(*rows[1:, a:b], [q[a:b] for q in prefixes], percent)]
+            u, v = np.concatenate([*found, np.zeros((2, 0), np.int64)], axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-        held_g, held = np.zeros(0, np.int64), np.zeros((5, 0), np.int64)
+        held, tokens = np.zeros((5, 0), np.int64), [[] for _ in range(ORDERS)]
         for batch in batches:
-            g = np.concatenate((held_g, np.asarray(batch.column("g"))))
-            rows = np.concatenate((held, np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("o", "name", "root", "n", "place")])), axis=1)
-            end = int(np.searchsorted(g, g[-1], "left")) if len(g) else 0  # the last group may go on in the next batch
+            held = np.concatenate((held, np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("g", "name", "root", "n", "place")])), axis=1)
+            inner = batch.column("prefixes").flatten()
+            cuts = np.split(np.asarray(inner.flatten()), np.cumsum(np.asarray(inner.value_lengths()))[:-1]) if len(inner) else []
+            for i in range(ORDERS):
+                tokens[i] += cuts[i::ORDERS]
+            end = int(np.searchsorted(held[0], held[0, -1], "left")) if held.size else 0  # the last group may go on in the next batch
             if end:
-                yield answer(g[:end], rows[:, :end])
-            held_g, held = g[end:], rows[:, end:]
-        if len(held_g):
-            yield answer(held_g, held)
+                yield answer(held[:, :end], [t[:end] for t in tokens])
+            held, tokens = held[:, end:], [t[end:] for t in tokens]
+        if held.size:
+            yield answer(held, tokens)
 
-    met = grouped.mapInArrow(work, "u long, v long, met long").groupBy("u", "v").agg(F.bit_or("met").alias("met"))
-    return met.filter(F.col("met") == (1 << ORDERS) - 1).select("u", "v")
+    return grouped.mapInArrow(work, "u long, v long").distinct()
 
 
 def linked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 4, percent: int = 85, bucket: int = BUCKET, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
