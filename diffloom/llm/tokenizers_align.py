@@ -43,7 +43,7 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 PIECE = 256
 
 #: Bytes of text that are aligned, and whose pairs are counted, together.
-SLICE = 1 << 22
+SLICE = 1 << 20
 
 #: Links of a group beyond which its distinct ids are paired instead of its tokens.
 WIDE_GROUP = 4096
