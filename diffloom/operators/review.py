@@ -25,14 +25,22 @@ def lww_state(marks: DataFrame, value: str, keys: list[str] = ["key"], rank: Col
     return marks.groupBy(*keys).agg(last.alias("_e")).select(*keys, "_e.*")
 
 
-def assign_hlc(writes: DataFrame, by: str = "device", order: str = "seq") -> DataFrame:
-    """A hybrid clock reading per local write of a device: the largest wall clock seen so far, and how many
-    writes have passed since it was reached. Devices may be of any size, so both are spread scans."""
+def assign_hlc(writes: DataFrame, by: str = "device", order: str = "seq", received: str | None = None, logical: str = "logical") -> DataFrame:
+    """A hybrid clock reading per row of a device: the largest wall clock seen so far, and how many writes have passed
+    since it was reached. With ``received``, rows that are true there are stamps of other devices (``wall``,
+    ``logical``), which move the clock past themselves: of one wall clock, the writes so far on top of the received
+    stamp that reaches furthest. Devices may be of any size, so all of it is spread scans."""
     from diffloom.functions.scan import running
 
     top = running(writes, [by], [order], {"hlc_wall": ("max", F.col("wall"))})
-    numbered = ranked(top, [by, "hlc_wall"], [order], "_n")
-    return numbered.withColumn("hlc_logical", (F.col("_n") - 1).cast("int")).drop("_n")
+    if received is None:
+        numbered = ranked(top, [by, "hlc_wall"], [order], "_n")
+        return numbered.withColumn("hlc_logical", (F.col("_n") - 1).cast("int")).drop("_n")
+    told = F.coalesce(F.col(received), F.lit(False))
+    ticks = running(top, [by, "hlc_wall"], [order], {"_n": ("sum", F.when(told, 0).otherwise(1).cast("bigint"))})
+    ahead = F.when(told & (F.col("wall") == F.col("hlc_wall")), F.coalesce(logical, F.lit(0)) - F.col("_n")).otherwise(-1)
+    reach = running(ticks, [by, "hlc_wall"], [order], {"_m": ("max", ahead.cast("bigint"))})
+    return reach.withColumn("hlc_logical", (F.col("_n") + F.greatest(F.col("_m"), F.lit(-1))).cast("int")).drop("_n", "_m")
 
 
 def atom_index(outline: DataFrame) -> DataFrame:

@@ -1,21 +1,34 @@
 """Streams of reviewer marks and notes.
 
-State never expires by default: a late write must still merge, so no watermark drops one. What a
-micro-batch holds of one key is bounded by the source's trigger limits.
+State that a key keeps goes through ``transformWithState``: processors read a micro-batch's rows of a key one by one
+and hold values, maps and no frames. A last write never expires: a late one must still merge, so no watermark drops
+one. Views over many keys (approval, moving snapshots) keep their tables as levelled runs; no batch reads history again.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import StructType
 
 from diffloom.functions.scan import running
 from diffloom.operators.review import approval, lww_state
+from diffloom.session import cut
+from diffloom.streaming.runs import LevelledRuns
+
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def keyed(rows: DataFrame, by: str, processor: StatefulProcessor, schema: str, mode: str) -> DataFrame:
+    """``processor`` over the rows of each key. Its maps and values need the RocksDB state store, which keeps state on
+    the executors' disks and its changes in the checkpoint."""
+    rows.sparkSession.conf.set(_PROVIDER, _ROCKS)
+    return rows.groupBy(by).transformWithState(processor, schema, mode, "None")
 
 
 def updates_to(stream: DataFrame, folder: str, mode: str = "update", transform: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
@@ -43,48 +56,73 @@ def lww_stream(marks: DataFrame, value: str, rank=None) -> DataFrame:
     return lww_state(marks, value, rank=rank)
 
 
-_CHANGES_OUT = "key string, value string, wall bigint, logical int, device string"
+class LastWrite(StatefulProcessor):
+    """Keeps a key's newest write (wall, logical, device, rank) and tells when the value read from it changed."""
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.newest = handle.getValueState("newest", "wall bigint, logical int, device string, rank int, value string")
 
-def lww_changes(marks: DataFrame, value: str) -> DataFrame:
-    """Emits a key only when the value read from its state changed. State per key: the newest write."""
-
-    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old = state.get if state.exists else None
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timers) -> Iterator[Row]:
+        old = tuple(self.newest.get()) if self.newest.exists() else None
+        place = lambda w: [(x is not None, x) for x in w[:4]]
         best = old
-        for chunk in chunks:
-            top = chunk.sort_values(["wall", "logical", "device", "rank"]).iloc[-1]
-            new = (int(top["wall"]), int(top["logical"]), str(top["device"]), int(top["rank"]), str(top["value"]))
-            best = new if best is None or new[:4] > tuple(best[:4]) else best
+        for r in rows:
+            write = (r["wall"], r["logical"], r["device"], r["rank"], r["value"])
+            if best is None or place(write) > place(best):
+                best = write
         if best is not None and best != old:
-            state.update(best)
+            self.newest.update(best)
         if best is not None and (old is None or old[4] != best[4]):
-            yield pd.DataFrame({"key": [key[0]], "value": [best[4]], "wall": [best[0]], "logical": [best[1]], "device": [best[2]]})
+            yield Row(key=key[0], value=best[4], wall=best[0], logical=best[1], device=best[2])
+
+    def close(self) -> None:
+        pass
 
-    rows = marks.select("key", F.col(value).cast("string").alias("value"), F.col("wall").cast("bigint").alias("wall"), F.col("logical").cast("int").alias("logical"),
-                        "device", F.coalesce(F.col(value).cast("int"), F.lit(0)).alias("rank")).na.fill("none", ["value"])
-    return rows.groupBy("key").applyInPandasWithState(
-        step, _CHANGES_OUT, "wall bigint, logical int, device string, rank int, value string", "update", GroupStateTimeout.NoTimeout
-    )
 
+def lww_changes(marks: DataFrame, value: str) -> DataFrame:
+    """Emits a key only when the value read from its state changed; a cleared value is null. Late and repeated writes
+    change nothing."""
+    rows = marks.select("key", F.col(value).cast("string").alias("value"), F.col("wall").cast("bigint").alias("wall"), F.col("logical").cast("int").alias("logical"),
+                        "device", F.coalesce(F.col(value).try_cast("int"), F.lit(0)).alias("rank"))
+    return keyed(rows, "key", LastWrite(), "key string, value string, wall bigint, logical int, device string", "Update")
+
+
+class HybridClock(StatefulProcessor):
+    """A device's clock: the last reading, and the place of the last write in the device's own order."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "wall bigint, logical bigint, at bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timers) -> Iterator[Row]:
+        wall, logical, at = self.last.get() if self.last.exists() else (None, -1, None)
+        for r in sorted(rows, key=lambda r: r["at"]):  # a device's writes of one micro-batch
+            if at is not None and r["at"] <= at:
+                continue
+            at = r["at"]
+            if r["received"]:
+                if wall is None or (r["wall"], r["remote"]) > (wall, logical):
+                    wall, logical = r["wall"], r["remote"]
+            elif wall is None or r["wall"] > wall:
+                wall, logical = r["wall"], 0
+            else:
+                logical += 1
+            yield Row(by=key[0], at=at, hlc_wall=wall, hlc_logical=logical)
+        if at is not None:
+            self.last.update((wall, logical, at))
 
-def hlc_stream(writes: DataFrame, by: str = "device", order: str = "seq", wall: str = "wall") -> DataFrame:
-    """A hybrid clock reading per write, per device across micro-batches: never behind one already given."""
+    def close(self) -> None:
+        pass
 
-    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        top, count = state.get if state.exists else (-1, -1)
-        # The rows of one micro-batch, in the device's own order.
-        batch = pd.concat(list(chunks)).sort_values(order)
-        walls = batch[wall].cummax().clip(lower=top)
-        logical = walls.groupby(walls).cumcount()
-        logical = logical.where(walls != top, logical + count + 1)
-        state.update((int(walls.iloc[-1]), int(logical.iloc[-1])))
-        yield pd.DataFrame({by: batch[by], order: batch[order], "hlc_wall": walls, "hlc_logical": logical.astype("int32")})
 
+def hlc_stream(writes: DataFrame, by: str = "device", order: str = "seq", wall: str = "wall", received: str | None = None, logical: str = "logical") -> DataFrame:
+    """A hybrid clock reading per row, per device across micro-batches: later than every one made or received before.
+    Rows with ``received`` are stamps (``wall``, ``logical``) of other devices, which move the clock past themselves. A
+    device's rows arrive in its own order; one that is not past the last is a redelivery and gives nothing."""
     kind = dict(writes.dtypes)
-    return writes.select(by, order, wall).groupBy(by).applyInPandasWithState(
-        step, f"{by} {kind[by]}, {order} {kind[order]}, hlc_wall bigint, hlc_logical int", "wall bigint, logical bigint", "append", GroupStateTimeout.NoTimeout
-    )
+    remote = (F.col(received), F.coalesce(F.col(logical).cast("bigint"), F.lit(0))) if received else (F.lit(False), F.lit(0).cast("bigint"))
+    rows = writes.select(F.col(by).alias("by"), F.col(order).cast("bigint").alias("at"), F.col(wall).cast("bigint").alias("wall"), remote[0].alias("received"), remote[1].alias("remote"))
+    out = keyed(rows, "by", HybridClock(), f"by {kind[by]}, at bigint, hlc_wall bigint, hlc_logical bigint", "Append")
+    return out.select(F.col("by").alias(by), F.col("at").cast(kind[order]).alias(order), "hlc_wall", F.col("hlc_logical").cast("int").alias("hlc_logical"))
 
 
 def review_lifecycle(events: DataFrame) -> DataFrame:
@@ -97,83 +135,141 @@ def review_lifecycle(events: DataFrame) -> DataFrame:
     return rows.filter("kind <> 'submit'").select("review_id", "note_id", published.alias("published"))
 
 
-def lifecycle_stream(events: DataFrame) -> DataFrame:
-    """The same over a stream: pending notes wait in their review's state until a submit flushes them."""
-
-    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pending = list(state.get[0]) if state.exists else []
-        out: list[tuple[int, int]] = []
-        for event in pd.concat(list(chunks)).sort_values("seq").itertuples():
-            if event.kind == "submit":
-                out += [(note, event.seq) for note in pending]
-                pending = []
-            elif event.kind == "single":
-                out.append((event.note_id, event.seq))
+class Lifecycle(StatefulProcessor):
+    """A review's notes that wait, or whose submit a late one may still precede, and its recent submits."""
+
+    def __init__(self, lateness: int | None) -> None:
+        self.lateness = lateness
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.notes = handle.getMapState("notes", "seq bigint, note_id bigint", "published bigint")
+        self.submits = handle.getMapState("submits", "seq bigint", "n int")
+        self.newest = handle.getValueState("newest", "seq bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timers) -> Iterator[Row]:
+        top = self.newest.get()[0] if self.newest.exists() else None
+        floor = top - self.lateness if top is not None and self.lateness is not None else None
+        known = {k[0] for k in self.submits.keys()}
+        fresh, came, newest = set(), {}, top
+        for r in rows:
+            if floor is not None and r["seq"] < floor:
+                continue
+            newest = r["seq"] if newest is None else max(newest, r["seq"])
+            if r["kind"] == "submit":
+                fresh.add(r["seq"])
+            elif r["kind"] == "single":
+                yield Row(review_id=key[0], note_id=r["note_id"], published=r["seq"])
             else:
-                pending.append(int(event.note_id))
-        state.update((pending,))
-        if out:
-            yield pd.DataFrame({"review_id": key[0], "note_id": [int(n) for n, _ in out], "published": [int(s) for _, s in out]})
-
-    rows = events.select("review_id", "seq", "kind", "note_id")
-    return rows.groupBy("review_id").applyInPandasWithState(
-        step, "review_id bigint, note_id bigint, published bigint", "pending array<bigint>", "append", GroupStateTimeout.NoTimeout
-    )
+                came[(r["seq"], r["note_id"])] = None
+        fresh -= known
+        for seq in fresh:
+            self.submits.updateValue((seq,), (1,))
+        order = sorted(known | fresh)
+        after = lambda seq: order[i] if (i := bisect_left(order, seq)) < len(order) else None
+        changed = [k for k in came if not self.notes.containsKey(k)]
+        if fresh:  # a submit may publish what waits, or precede the one that did
+            waits = ((tuple(k), v[0]) for k, v in self.notes.iterator())
+            changed += [k for k, old in waits if (s := after(k[0])) is not None and (old is None or s < old)]
+        for k in changed:
+            published = after(k[0])
+            self.notes.updateValue(k, (published,))
+            if published is not None:
+                yield Row(review_id=key[0], note_id=k[1], published=published)
+        if newest is not None and newest != top:
+            self.newest.update((newest,))
+            if self.lateness is not None:
+                floor = newest - self.lateness
+                for k in [tuple(k) for k, v in self.notes.iterator() if v[0] is not None and v[0] < floor]:
+                    self.notes.removeKey(k)
+                for seq in [s for s in order if s < floor]:
+                    self.submits.removeKey((seq,))
+
+    def close(self) -> None:
+        pass
+
+
+def lifecycle_stream(events: DataFrame, lateness: int | None = None) -> DataFrame:
+    """The same over a stream, in any order of arrival: a note is told with its submit once that is known, and again if
+    an earlier one comes late, so the newest row of a note holds. With ``lateness`` rows of a review more than so many
+    places behind its newest are dropped, and its state holds the notes that wait and what is within that reach;
+    without it every row is kept for good."""
+    rows = events.select("review_id", F.col("seq").cast("bigint").alias("seq"), "kind", F.col("note_id").cast("bigint").alias("note_id"))
+    return keyed(rows, "review_id", Lifecycle(lateness), "review_id bigint, note_id bigint, published bigint", "Update")
 
 
 def approval_stream(marks: DataFrame, outline: DataFrame, folder: str) -> StreamingQuery:
-    """Approvals recomputed whenever a mark changes, for the change sets it touches only. The marks' state
-    is the aggregate of ``lww_stream``; each micro-batch's updates are kept, and the sets they touch read
-    back the newest marks of their own keys."""
+    """Approvals recomputed whenever a mark changes, for the change sets it touches only. The marks' state is the
+    aggregate of ``lww_stream``; its updates go to a table of the newest mark per key in levelled runs, and the sets
+    they touch read back the buckets of their own keys."""
     spark = outline.sparkSession
     state = marks.groupBy("key").agg(
         F.max_by("viewed", F.struct("wall", "logical", "device", F.col("viewed").cast("int"))).alias("viewed"),
         F.max_by(F.struct("score"), F.struct("wall", "logical", "device", F.coalesce("score", F.lit(0)))).alias("_s"),
     ).select("key", "viewed", F.col("_s.score").alias("score"))
+    held = LevelledRuns(spark, f"{folder}/marks", state.schema, ["key"])
+    keys = outline.select("diffset_id", "key").union(outline.select("diffset_id", "atom")).filter("key is not null").distinct()
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/marks/batch={number}")
-        mine = spark.read.parquet(f"{folder}/marks/batch={number}").select("key")
-        keys = outline.select("diffset_id", "key").union(outline.select("diffset_id", "atom")).distinct()
-        touched = keys.join(mine, "key", "left_semi").select("diffset_id").distinct()
-        nodes = outline.join(touched, "diffset_id", "left_semi")
+        batch = cut(batch)
+        held.add(batch, number)
+        touched = cut(keys.join(batch, "key", "left_semi").select("diffset_id").distinct())
         wanted = keys.join(touched, "diffset_id", "left_semi").select("key").distinct()
-        seen = spark.read.parquet(f"{folder}/marks").filter(F.col("batch") <= number).join(wanted, "key", "left_semi")
-        now = seen.groupBy("key").agg(F.max_by(F.struct("viewed", "score"), "batch").alias("m")).select("key", "m.*")
+        now = cut(held.read(number + 1, like=wanted).join(wanted, "key", "left_semi"))
+        nodes = outline.join(touched, "diffset_id", "left_semi")
         out = approval(nodes, now.select("key", "score"), now.select(F.col("key").alias("atom"), "viewed"))
         out.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
     return state.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
 
 
+_FILE = "source string, path string, mode int, blob_id string, gone boolean"
+_ARRIVED = "source string, token bigint, path string, mode int, blob_id string, ended boolean"
+
+
 def watch_snapshots(rows: DataFrame, folder: str) -> StreamingQuery:
-    """Change sets of a moving source. ``rows`` are snapshot rows with a ``token`` that grows; each new token
-    is diffed against the one before, and a diff whose content-addressed id was already given is not
-    repeated. Several tokens of one micro-batch are diffed together: a snapshot's rows meet the rows of its
-    predecessor through a full outer join on (source, path, token)."""
+    """Change sets of a moving source, named ``source@token``. ``rows`` are a snapshot's files (source, token, path,
+    mode, blob_id) and, with ``ended`` true, the mark that all of them have been sent; the token of a source grows.
+
+    A snapshot counts once its mark is there; until then its rows wait, over as many micro-batches as it takes, and
+    emit nothing. It is compared with the newest complete one before it, whose files are kept as levelled runs of what
+    changed; a source's first snapshot is only remembered. Rows sent twice count once. A snapshot that ends after a
+    later one is passed over. A change set whose content was already given for its source is not repeated."""
     from diffloom.operators.snapshots import diff_snapshots
     from diffloom.sources.tables import diffset_digests
 
     spark = rows.sparkSession
+    files = LevelledRuns(spark, f"{folder}/files", StructType.fromDDL(_FILE), ["source", "path"], ["source"])
+    heads = LevelledRuns(spark, f"{folder}/heads", StructType.fromDDL("source string, token bigint"), ["source"])
+    given = LevelledRuns(spark, f"{folder}/given", StructType.fromDDL("source string, digest string"), ["source", "digest"], ["source"])
+    columns = [f.name for f in StructType.fromDDL(_ARRIVED)]
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/seen/batch={number}")
-        seen = spark.read.parquet(f"{folder}/seen").filter(F.col("batch") <= number)
-        tokens = seen.select("source", "token").distinct()
-        order = Window.partitionBy("source").orderBy("token")
-        steps = tokens.withColumn("previous", F.lag("token").over(order))
-        fresh = steps.join(spark.read.parquet(f"{folder}/seen/batch={number}").select("source", "token").distinct(), ["source", "token"], "left_semi")
-        name = F.concat_ws("@", "source", F.col("token").cast("string")).alias("diffset_id")
-        after = seen.join(fresh.filter("previous is not null"), ["source", "token"]).select(name, "path", "mode", "blob_id")
-        before = seen.withColumnRenamed("token", "previous").join(fresh, ["source", "previous"]).select(name, "path", "mode", "blob_id")
-        changes = diff_snapshots(before, after)
-        digests = diffset_digests(changes)
-        # The same change of a source, seen again under a new token, is the same change set.
-        sets = digests.select(F.substring_index("diffset_id", "@", 1).alias("source"), "digest", "diffset_id").groupBy("source", "digest").agg(F.min("diffset_id").alias("diffset_id"))
-        if number > 0:
-            known = spark.read.parquet(f"{folder}/out").filter(F.col("batch") < number).select("source", "digest").distinct()
-            sets = sets.join(known, ["source", "digest"], "left_anti")
-        out = changes.join(sets, "diffset_id")
-        out.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        arrived = batch.select(*[F.col(f.name).cast(f.dataType) for f in StructType.fromDDL(_ARRIVED)])
+        if number:
+            arrived = arrived.unionByName(spark.read.schema(_ARRIVED).parquet(f"{folder}/waiting/batch={number - 1}"))
+        arrived = cut(arrived.distinct())
+        sources = arrived.select("source").distinct()
+        head = cut(heads.read(number, like=sources).join(sources, "source", "left_semi"))
+        done = arrived.filter("ended").select("source", "token").distinct().join(head.withColumnRenamed("token", "head"), "source", "left").filter("head is null or token > head")
+        before_it = F.lag("token").over(Window.partitionBy("source").orderBy("token"))  # a source's snapshots of one batch
+        steps = cut(done.withColumn("previous", F.coalesce(before_it, "head")).withColumn("diffset_id", F.concat_ws("@", "source", F.col("token").cast("string"))))
+        last = steps.groupBy("source").agg(F.max("token").alias("token"))
+        rest = arrived.join(head.union(last).groupBy("source").agg(F.max("token").alias("head")), "source", "left").filter("head is null or token > head")
+        rest.select(*columns).write.mode("overwrite").parquet(f"{folder}/waiting/batch={number}")
+        whole = arrived.filter("not ended").join(steps.select("source", "token"), ["source", "token"], "left_semi")
+        kept = cut(files.read(number, like=last).filter("not gone").join(last.select("source"), "source", "left_semi"))
+        old = kept.join(head, "source").select("source", "token", "path", "mode", "blob_id").unionByName(whole.select("source", "token", "path", "mode", "blob_id"))
+        after = whole.join(steps.filter("previous is not null"), ["source", "token"]).select("diffset_id", "path", "mode", "blob_id")
+        before = old.withColumnRenamed("token", "previous").join(steps, ["source", "previous"]).select("diffset_id", "path", "mode", "blob_id")
+        changes = cut(diff_snapshots(before, after))
+        sets = diffset_digests(changes).join(steps.select("diffset_id", "source", "token"), "diffset_id")
+        sets = sets.groupBy("source", "digest").agg(F.min_by("diffset_id", "token").alias("diffset_id"))
+        sets = cut(sets.join(given.read(number, like=sets), ["source", "digest"], "left_anti"))
+        changes.join(sets, "diffset_id").write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        now = whole.join(last, ["source", "token"], "left_semi").select("source", "path", F.col("mode").alias("m"), F.col("blob_id").alias("b"), F.lit(True).alias("there"))
+        both = kept.join(now, ["source", "path"], "full_outer").filter(~(F.col("mode").eqNullSafe(F.col("m")) & F.col("blob_id").eqNullSafe(F.col("b")) & F.col("there").eqNullSafe(F.lit(True))))
+        files.add(both.select("source", "path", F.col("m").alias("mode"), F.col("b").alias("blob_id"), F.col("there").isNull().alias("gone")), number)
+        heads.add(last, number)
+        given.add(sets.select("source", "digest"), number)
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
