@@ -1,4 +1,4 @@
-"""Commit graphs: first-parent chains, n-th ancestors, merge bases, abbreviated ids.
+"""Commit graphs: first-parent chains, n-th ancestors, merge bases over a chain index, abbreviated ids.
 
 ``commits`` has ``sha``, ``parents`` (ordered array) and ``time``. Chains are walked by pointer doubling:
 a table of jumps of length 1, 2, 4, … each made by one self-join of the one before, so a walk of n commits
@@ -7,13 +7,15 @@ takes log n joins and no step follows one commit at a time.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from diffloom.session import cut
 
-HOP_DOUBLINGS = 3
-HOPS = 2**HOP_DOUBLINGS  # commits one round of a merge-base walk may climb
+HOPS = 4  # links of the round before that one round of pointer jumping follows
+CROSSING_BLOCK = 64  # places of a chain whose crossings are found together
 
 BRANCH_CAP = 50  # fixed value: commits listed per branch
 
@@ -112,47 +114,111 @@ def resolve_specs(commits: DataFrame, names: DataFrame, specs: DataFrame) -> Dat
     return rows.select("repo_id", "spec", "sha")
 
 
-def merge_base(commits: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The best common ancestor of each pair ``(pair_id, a, b)``: a common ancestor that is no ancestor of
-    another one; the newest of several, null of none.
-
-    Both sides walk up together, up to ``HOPS`` commits per round. A commit both sides reached is a candidate
-    and is not walked past: what lies above it is dominated by it. Candidates another candidate reaches
-    within a walk of ``HOPS`` drop out at once; only pairs that still have several (a criss-cross history)
-    walk on up from them.
-    """
-    near = commits.select("sha", F.explode("parents").alias("above")).distinct()
-    for _ in range(HOP_DOUBLINGS):
-        far = near.select(F.col("sha").alias("above"), F.col("above").alias("_to"))
-        near = cut(near.union(near.join(far, "above").select("sha", "_to")).distinct())
-    ends = F.array(
-        F.struct(F.col("a").alias("sha"), F.lit(1).alias("bits")),
-        F.struct(F.col("b").alias("sha"), F.lit(2).alias("bits")),
-    )
-    start = pairs.select("pair_id", F.explode(ends).alias("s")).select("pair_id", "s.*")
-    seen = cut(start.groupBy("pair_id", "sha").agg(F.bit_or("bits").alias("bits"), F.lit(0).alias("old")))
+def _to_ends(links: DataFrame) -> DataFrame:
+    """``(at, end, steps)``: where the path of ``links`` (at, to, steps) from each place ends, and the sum of its steps.
+    A round follows ``HOPS`` links of the round before, so a path of n links takes log n rounds. Links that go round for
+    ever meet no end and have none."""
+    now = cut(links.select("at", "to", F.col("steps").cast("bigint").alias("steps")))
+    left, was = -1, None
+    while left and left != was:
+        far, rows = now.select(F.col("at").alias("to"), F.col("to").alias("_to"), F.col("steps").alias("_more")), now
+        for _ in range(HOPS - 1):
+            rows = rows.join(far, "to", "left").select("at", F.coalesce("_to", "to").alias("to"), (F.col("steps") + F.coalesce("_more", F.lit(0))).alias("steps"), F.col("_to").isNotNull().alias("goes_on"))
+        seen = Observation()
+        now = cut(rows.observe(seen, F.count_if("goes_on").alias("left")))
+        left, was = seen.get["left"] or 0, left
+    ends = now.filter("not goes_on")
+    return ends.select("at", F.col("to").alias("end"), "steps")
+
+
+def _weights(parts: DataFrame) -> DataFrame:
+    """``(part, weight)``: commits in each part and all above it, of parts ``(part, up, length)`` that form a forest. After
+    k rounds a part has those less than 2**k parts above it."""
+    now = cut(parts.select("part", "up", F.col("length").cast("bigint").alias("weight")))
+    while not now.filter("up is not null").isEmpty():
+        more = now.filter("up is not null").groupBy(F.col("up").alias("part")).agg(F.sum("weight").alias("_more"))
+        far = now.select(F.col("part").alias("up"), F.col("up").alias("_up"))
+        now = cut(now.join(more, "part", "left").join(far, "up", "left").select("part", F.col("_up").alias("up"), (F.col("weight") + F.coalesce("_more", F.lit(0))).alias("weight")))
+    return now.select("part", "weight")
+
+
+def chains(commits: DataFrame) -> DataFrame:
+    """``(sha, chain, place)``: the first-parent forest cut into chains, ``place`` counted from a chain's oldest commit, so
+    that what a commit reaches of a chain is all up to one place. At a fork the chain goes on where most commits are, so a
+    way to the root changes its chain at most log n times.
+
+    Stretches without a fork are found by pointer jumping; only they, not the commits, are weighed and joined."""
+    first = cut(_jumps(commits).join(commits.select(F.col("sha").alias("to")), "to", "left_semi").select("at", "to"))
+    forks = cut(first.groupBy("to").count().filter("count > 1").select("to"))
+    straight = first.join(forks, "to", "left_anti").withColumn("steps", F.lit(1))
+    found = _to_ends(straight).groupBy("at").agg(F.first("end").alias("end"), F.first("steps").alias("steps"))
+    ids = commits.select("sha").distinct().join(found, F.col("sha") == F.col("at"), "left")
+    placed = cut(ids.select("sha", F.coalesce("end", "sha").alias("part"), F.coalesce("steps", F.lit(0)).cast("bigint").alias("place")))
+    over = first.join(forks, "to", "left_semi").join(placed.select(F.col("sha").alias("to"), F.col("part").alias("up")), "to")
+    parts = placed.groupBy("part").agg((F.max("place") + 1).alias("length")).join(over.select(F.col("at").alias("part"), "up"), "part", "left")
+    parts = cut(parts)
+    if parts.filter("up is not null").isEmpty():
+        return placed.withColumnRenamed("part", "chain")
+    heavy = parts.filter("up is not null").join(_weights(parts), "part").groupBy("up").agg(F.max_by("part", F.struct("weight", "part")).alias("part"))
+    lengths = parts.select(F.col("part").alias("to"), F.col("length").alias("steps"))
+    base = _to_ends(heavy.select(F.col("part").alias("at"), F.col("up").alias("to")).join(lengths, "to").select("at", "to", "steps"))
+    joined = placed.join(base.select(F.col("at").alias("part"), "end", "steps"), "part", "left")
+    return cut(joined.select("sha", F.coalesce("end", "part").alias("chain"), (F.col("place") + F.coalesce("steps", F.lit(0))).alias("place")))
+
+
+def _crossings(commits: DataFrame, index: DataFrame) -> DataFrame:
+    """``(chain, block, place, to_chain, to_place)``: the parents that lie on another chain."""
+    up = commits.select("sha", F.explode("parents").alias("parent")).join(index, "sha")
+    to = index.select(F.col("sha").alias("parent"), F.col("chain").alias("to_chain"), F.col("place").alias("to_place"))
+    rows = up.join(to, "parent").filter("chain <> to_chain")
+    return cut(rows.select("chain", F.floor(F.col("place") / CROSSING_BLOCK).alias("block"), "place", "to_chain", "to_place"))
+
+
+def _follow(reach: DataFrame, crossings: DataFrame, by: list[str], bounds: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """Grows ``reach`` (by, chain, top) along crossings until nothing is new: the highest place reached of every chain.
+    A chain is only followed down to ``bounds(reach)``, and no place of it twice."""
+    now = cut(reach.groupBy(*by, "chain").agg(F.max("top").alias("top")).withColumn("done", F.lit(-1).cast("bigint")))
     while True:
-        frontier = seen.filter("bits <> 3 and bits <> old")
-        grown = frontier.join(near, "sha").select(
-            "pair_id", F.col("above").alias("sha"), "bits", F.lit(0).alias("old")
-        )
-        known = seen.select("pair_id", "sha", "bits", F.col("bits").alias("old"))
-        seen = cut(
-            known.unionByName(grown).groupBy("pair_id", "sha").agg(F.bit_or("bits").alias("bits"), F.max("old").alias("old"))
-        )
-        if seen.filter("bits <> old").isEmpty():
-            break
-    common = seen.filter("bits = 3").select("pair_id", "sha")
-    above = common.join(near, "sha").select("pair_id", F.col("above").alias("sha"))
-    common = cut(common.join(above, ["pair_id", "sha"], "left_anti"))
-    several = common.groupBy("pair_id").count().filter("count > 1").select("pair_id")
-    walk = cut(common.join(several, "pair_id", "left_semi"))
-    reached = walk.limit(0)
-    while not walk.isEmpty():
-        up = walk.join(near, "sha").select("pair_id", F.col("above").alias("sha")).distinct()
-        walk = cut(up.join(reached, ["pair_id", "sha"], "left_anti"))
-        reached = cut(reached.unionByName(walk))
-    best = common.join(reached, ["pair_id", "sha"], "left_anti").join(commits.select("sha", "time"), "sha")
+        low = bounds(now) if bounds else now.withColumn("low", F.col("done"))
+        todo = low.withColumn("low", F.greatest("low", "done")).filter("top > low")
+        if todo.isEmpty():
+            return now.drop("done")
+        spread = F.sequence(F.floor((F.col("low") + 1) / CROSSING_BLOCK), F.floor(F.col("top") / CROSSING_BLOCK))
+        asks = todo.select(*by, "chain", "low", "top", F.explode(spread).alias("block"))
+        new = asks.join(crossings, ["chain", "block"]).filter("place > low and place <= top").select(*by, F.col("to_chain").alias("chain"), F.col("to_place").alias("top"), F.lit(-1).cast("bigint").alias("done"))
+        now = cut(now.withColumn("done", F.col("top")).unionByName(new).groupBy(*by, "chain").agg(F.max("top").alias("top"), F.max("done").alias("done")))
+
+
+def merge_base(commits: DataFrame, pairs: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """The best common ancestor of each pair ``(pair_id, a, b)``: a common ancestor that is no ancestor of another one;
+    the newest of several, null of none. ``index`` is ``chains(commits)``, which may be kept.
+
+    What a commit reaches is one place for each chain, so a pair holds chains, not commits. On a chain that both sides
+    reach, the lower of the two places is a common ancestor; what lies below is an ancestor of it and is not followed.
+    Only a pair with common ancestors on several chains (a criss-cross history) walks on, from each of them, to see
+    which of the others it reaches."""
+    index = chains(commits) if index is None else index
+    crossings = _crossings(commits, index)
+    ends = F.array(F.struct(F.col("a").alias("sha"), F.lit(1).alias("bit")), F.struct(F.col("b").alias("sha"), F.lit(2).alias("bit")))
+    start = pairs.select("pair_id", F.explode(ends).alias("s")).select("pair_id", "s.*").join(index, "sha").select("pair_id", "bit", "chain", F.col("place").alias("top"))
+
+    def common_floor(now: DataFrame) -> DataFrame:
+        met = now.groupBy("pair_id", "chain").agg(F.min("top").alias("low"), F.count(F.lit(1)).alias("c")).filter("c = 2").drop("c")
+        return now.join(met, ["pair_id", "chain"], "left").withColumn("low", F.coalesce("low", F.lit(-1)))
+
+    if crossings.isEmpty():  # no history leaves its chain
+        reached = start.groupBy("pair_id", "bit", "chain").agg(F.max("top").alias("top"))
+    else:
+        reached = _follow(start, crossings, ["pair_id", "bit"], common_floor)
+    common = reached.groupBy("pair_id", "chain").agg(F.min("top").alias("place"), F.count(F.lit(1)).alias("c")).filter("c = 2").drop("c")
+    if not crossings.isEmpty():
+        common = cut(common)
+        several = common.groupBy("pair_id").count().filter("count > 1").select("pair_id")
+        rivals = cut(common.join(several, "pair_id", "left_semi"))
+        walked = _follow(rivals.select("pair_id", F.col("chain").alias("of"), "chain", F.col("place").alias("top")), crossings, ["pair_id", "of"], None)
+        beneath = walked.join(rivals, ["pair_id", "chain"]).filter("of <> chain and place <= top").select("pair_id", "chain").distinct()
+        common = common.join(beneath, ["pair_id", "chain"], "left_anti")
+    best = common.join(index, ["chain", "place"]).join(commits.select("sha", "time"), "sha")
     newest = best.groupBy("pair_id").agg(F.max_by("sha", F.struct("time", "sha")).alias("merge_base"))
     return pairs.join(newest, "pair_id", "left").select("pair_id", "a", "b", "merge_base")
 
