@@ -7,8 +7,8 @@ a run already knows to be in enough documents: more sightings change nothing), a
 line that fills a third of a corpus is therefore counted once per task and leaves the stream after the first
 compaction.
 
-Defined results: a null or empty text is one empty line; empty keys are never dropped; repeated rows count as
-documents of their own; a null doc_id is a value like any other; an empty table gives an empty result.
+Defined results: a null or empty text is one empty line; empty keys are never dropped; rows that share a doc_id count as
+one document; a null doc_id is a value like any other; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,13 +43,22 @@ def _run(df: DataFrame) -> DataFrame:
     return settle(df.sortWithinPartitions(*KEY))
 
 
-def build_runs(docs: DataFrame, text: str = "text", min_docs: int = 10, batches: int = 4, fan_in: int = 2) -> list[DataFrame]:
+def _sightings(docs: DataFrame, text: str, doc_id: str, batches: int) -> DataFrame:
+    """(batch, h1, h2): one row for each line of each document. Rows that share an id are one document: theirs are made
+    distinct, the others need no exchange before they are counted."""
+    repeated = settle(docs.groupBy(F.col(doc_id).alias("_id")).count().filter("count > 1").select("_id"))
+    same = docs[doc_id].eqNullSafe(repeated["_id"])
+    keys = F.explode(F.array_distinct(F.transform(lines_of(F.col(text)), line_key))).alias("key")
+    lone = docs.join(repeated, same, "left_anti").select(F.pmod(F.xxhash64(F.col(text)), F.lit(batches)).alias("batch"), keys)
+    shared = docs.join(repeated, same, "left_semi").select(F.col(doc_id).alias("_id"), F.pmod(F.xxhash64(F.col(doc_id)), F.lit(batches)).alias("batch"), keys)
+    of_row = lone.filter("key <> ''").select("batch", *hashed(F.col("key")))
+    of_id = shared.filter("key <> ''").select("_id", "batch", *hashed(F.col("key"))).distinct().drop("_id")
+    return of_row.unionByName(of_id)
+
+
+def build_runs(docs: DataFrame, text: str = "text", min_docs: int = 10, batches: int = 4, fan_in: int = 2, doc_id: str = "doc_id") -> list[DataFrame]:
     """The runs after all batches. ``batches`` stands for the deliveries of a growing corpus."""
-    per_row = docs.select(
-        F.pmod(F.xxhash64(F.col(text)), F.lit(batches)).alias("batch"),
-        F.explode(F.array_distinct(F.transform(lines_of(F.col(text)), line_key))).alias("key"),
-    ).filter("key <> ''")
-    counted = settle(per_row.select("batch", *hashed(F.col("key"))).groupBy("batch", *KEY).agg(F.count(F.lit(1)).alias("n")))
+    counted = settle(_sightings(docs, text, doc_id, batches).groupBy("batch", *KEY).agg(F.count(F.lit(1)).alias("n")))
     levels: list[list[DataFrame]] = [[]]
     for batch in range(batches):
         own = counted.filter(F.col("batch") == batch).select(*KEY, "n")
@@ -98,5 +107,5 @@ def drop_lines(docs: DataFrame, frequent: DataFrame, text: str = "text", doc_id:
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = 10, batches: int = 4, fan_in: int = 2) -> DataFrame:
     """``docs`` and what line dedup makes of each row: ``_lines``, ``_dropped``, ``_kept``."""
     docs = own_names(docs)
-    runs = build_runs(docs, text, min_docs, batches, fan_in)
+    runs = build_runs(docs, text, min_docs, batches, fan_in, doc_id)
     return drop_lines(docs, frequent_lines(runs, min_docs), text, doc_id)

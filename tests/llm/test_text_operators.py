@@ -23,7 +23,7 @@ def place(row):
 def test_line_dedup(spark, messy):
     docs = documents(spark, messy)
     out = line_dedup.dedup_lines(docs, min_docs=10).collect()
-    counts = Counter(k for _, t in messy for k in {key_of(x) for x in (t or "").split("\n")} if k)
+    counts = Counter(k for _, k in {(i, key_of(x)) for i, t in messy for x in (t or "").split("\n")} if k)
     want = Counter()
     for i, t in messy:
         lines = (t or "").split("\n")
@@ -35,6 +35,15 @@ def test_line_dedup(spark, messy):
     assert empty.count() == 0 and empty.columns[-3:] == ["_lines", "_dropped", "_kept"]
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    """Twelve rows of one id do not make a line frequent; nine of other ids and that one do."""
+    rows = [(1, f"shared line\nown {i}\nnoise") for i in range(12)] + [(1, "shared line\nnoise")] * 2 + [(10 + i, f"NOISE \nrow {i}") for i in range(9)]
+    out = line_dedup.dedup_lines(documents(spark, rows), min_docs=10).collect()
+    assert len(out) == len(rows) and {r["_kept"] for r in out if r["doc_id"] == 1} == {f"shared line\nown {i}" for i in range(12)} | {"shared line"}
+    assert all(r["_dropped"] == 1 for r in out)
+    assert {r["_kept"] for r in line_dedup.dedup_lines(documents(spark, rows[:-1]), min_docs=10).collect() if r["doc_id"] == 17} == {"NOISE \nrow 7"}
+
+
 def test_line_runs_are_the_same_for_any_batching(spark, messy):
     docs = documents(spark, messy)
     found = [{tuple(r) for r in line_dedup.frequent_lines(line_dedup.build_runs(docs, min_docs=3, batches=b, fan_in=f), 3).collect()} for b, f in ((1, 2), (5, 2), (4, 3))]
