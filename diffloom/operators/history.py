@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from diffloom.operators.walks import to_ends
 from diffloom.session import cut
 
-HOPS = 4  # links of the round before that one round of pointer jumping follows
 CROSSING_BLOCK = 64  # places of a chain whose crossings are found together
 
 BRANCH_CAP = 50  # fixed value: commits listed per branch
@@ -114,23 +114,6 @@ def resolve_specs(commits: DataFrame, names: DataFrame, specs: DataFrame) -> Dat
     return rows.select("repo_id", "spec", "sha")
 
 
-def _to_ends(links: DataFrame) -> DataFrame:
-    """``(at, end, steps)``: where the path of ``links`` (at, to, steps) from each place ends, and the sum of its steps.
-    A round follows ``HOPS`` links of the round before, so a path of n links takes log n rounds. Links that go round for
-    ever meet no end and have none."""
-    now = cut(links.select("at", "to", F.col("steps").cast("bigint").alias("steps")))
-    left, was = -1, None
-    while left and left != was:
-        far, rows = now.select(F.col("at").alias("to"), F.col("to").alias("_to"), F.col("steps").alias("_more")), now
-        for _ in range(HOPS - 1):
-            rows = rows.join(far, "to", "left").select("at", F.coalesce("_to", "to").alias("to"), (F.col("steps") + F.coalesce("_more", F.lit(0))).alias("steps"), F.col("_to").isNotNull().alias("goes_on"))
-        seen = Observation()
-        now = cut(rows.observe(seen, F.count_if("goes_on").alias("left")))
-        left, was = seen.get["left"] or 0, left
-    ends = now.filter("not goes_on")
-    return ends.select("at", F.col("to").alias("end"), "steps")
-
-
 def _weights(parts: DataFrame) -> DataFrame:
     """``(part, weight)``: commits in each part and all above it, of parts ``(part, up, length)`` that form a forest. After
     k rounds a part has those less than 2**k parts above it."""
@@ -151,7 +134,7 @@ def chains(commits: DataFrame) -> DataFrame:
     first = cut(_jumps(commits).join(commits.select(F.col("sha").alias("to")), "to", "left_semi").select("at", "to"))
     forks = cut(first.groupBy("to").count().filter("count > 1").select("to"))
     straight = first.join(forks, "to", "left_anti").withColumn("steps", F.lit(1))
-    found = _to_ends(straight).groupBy("at").agg(F.first("end").alias("end"), F.first("steps").alias("steps"))
+    found = to_ends(straight).groupBy("at").agg(F.first("end").alias("end"), F.first("steps").alias("steps"))
     ids = commits.select("sha").distinct().join(found, F.col("sha") == F.col("at"), "left")
     placed = cut(ids.select("sha", F.coalesce("end", "sha").alias("part"), F.coalesce("steps", F.lit(0)).cast("bigint").alias("place")))
     over = first.join(forks, "to", "left_semi").join(placed.select(F.col("sha").alias("to"), F.col("part").alias("up")), "to")
@@ -161,7 +144,7 @@ def chains(commits: DataFrame) -> DataFrame:
         return placed.withColumnRenamed("part", "chain")
     heavy = parts.filter("up is not null").join(_weights(parts), "part").groupBy("up").agg(F.max_by("part", F.struct("weight", "part")).alias("part"))
     lengths = parts.select(F.col("part").alias("to"), F.col("length").alias("steps"))
-    base = _to_ends(heavy.select(F.col("part").alias("at"), F.col("up").alias("to")).join(lengths, "to").select("at", "to", "steps"))
+    base = to_ends(heavy.select(F.col("part").alias("at"), F.col("up").alias("to")).join(lengths, "to").select("at", "to", "steps"))
     joined = placed.join(base.select(F.col("at").alias("part"), "end", "steps"), "part", "left")
     return cut(joined.select("sha", F.coalesce("end", "part").alias("chain"), (F.col("place") + F.coalesce("steps", F.lit(0))).alias("place")))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from diffloom.functions.keys import stamp_order
 from diffloom.functions.scan import ranked
+from diffloom.operators.walks import to_ends
 from diffloom.session import cut
 
 PLACED_PREFIX = r"^Lines? (\d+)(?:-(\d+))? \((before|after)\):\n\n"  # fixed value: how a moved comment names its lines
@@ -61,20 +62,18 @@ def viewed_rollup(outline: DataFrame, viewed: DataFrame, level: list[str]) -> Da
     return state.groupBy(*level).agg(F.bool_and(seen).alias("viewed"))
 
 
-def node_atoms(outline: DataFrame) -> DataFrame:
-    """``(node, atom)`` for every node and each atom at or beneath it. Ancestors are climbed level by level,
-    one join per level of the deepest outline. Nodes are numbered in document order, parents first; a parent
-    that is not below its node's number belongs to a broken outline and ends the climb."""
-    where = ["diffset_id", "path", "frag_no", "side"]
-    links = outline.select(*where, F.col("node_no").alias("_up"), F.col("parent").alias("_next"))
-    level = cut(outline.filter("atom is not null").select(*where, "node_no", "parent", "atom"))
-    out = level.select(*where, "node_no", "atom")
-    while True:
-        up = level.filter("parent >= 0 and parent < node_no").withColumnRenamed("parent", "_up").drop("node_no")
-        level = cut(up.join(links, [*where, "_up"]).select(*where, F.col("_up").alias("node_no"), F.col("_next").alias("parent"), "atom").distinct())
-        if level.isEmpty():
-            return out.distinct()
-        out = out.unionByName(level.select(*where, "node_no", "atom"))
+def covered_atoms(outline: DataFrame, scored: DataFrame) -> DataFrame:
+    """``(diffset_id, atom)`` of the atoms that a scored node holds: the way up from an atom's node ends at the nearest
+    scored node, or where the outline does. Ways are followed by pointer jumping, so their number of rounds is the log
+    of the depth. Nodes are numbered in document order, parents first; a parent that is not below its node's number
+    belongs to a broken outline and ends the way. ``scored`` has the nodes' places."""
+    place = lambda n: F.struct("diffset_id", "path", "frag_no", "side", F.col(n).alias("node_no"))
+    stops = cut(scored.select(place("node_no").alias("at")).distinct())
+    there = outline.select(place("node_no").alias("to")).distinct()
+    ways = outline.filter("parent >= 0 and parent < node_no").select(place("node_no").alias("at"), place("parent").alias("to")).distinct()
+    ends = to_ends(ways.join(stops, "at", "left_anti").join(there, "to", "left_semi").select("at", "to", F.lit(1).alias("steps")))
+    atoms = outline.filter("atom is not null").select("diffset_id", "atom", place("node_no").alias("at")).join(ends.select("at", "end"), "at", "left")
+    return atoms.select("diffset_id", "atom", F.coalesce("end", "at").alias("at")).join(stops, "at", "left_semi").select("diffset_id", "atom").distinct()
 
 
 def approval(outline: DataFrame, scores: DataFrame, viewed: DataFrame) -> DataFrame:
@@ -85,7 +84,7 @@ def approval(outline: DataFrame, scores: DataFrame, viewed: DataFrame) -> DataFr
     where = ["diffset_id", "path", "frag_no", "side", "node_no"]
     scored = cut(outline.join(scores.filter("score is not null").select("key", "score"), "key").select(*where, "score"))
     least = scored.groupBy("diffset_id").agg(F.min("score").alias("least"))
-    covered = node_atoms(outline).join(scored.select(*where), where).select("diffset_id", "atom").distinct().withColumn("covered", F.lit(True))
+    covered = covered_atoms(outline, scored).withColumn("covered", F.lit(True))
     atoms = outline.filter("atom is not null").select("diffset_id", "atom").distinct()
     state = atoms.join(covered, ["diffset_id", "atom"], "left").join(viewed.select("atom", "viewed"), "atom", "left")
     is_covered, is_viewed = F.coalesce("covered", F.lit(False)), F.coalesce("viewed", F.lit(False))

@@ -63,6 +63,16 @@ def test_approval_truth_table(spark):
     assert {r["diffset_id"]: (r["state"], r["heaviest"], r["read"], r["edits"]) for r in got} == {f"set{n}": c[3] for n, c in enumerate(CASES)}
 
 
+def test_coverage_of_deep_and_broken_outlines(spark):
+    """A chain of 500 nodes under a score, a parent that comes after its node, and one that is not there."""
+    deep = [("deep", "f", 0, "after", i, i - 1, f"k{i}", f"e{i}" if i in (3, 499) else None) for i in range(500)]
+    broken = [("odd", "g", 0, "after", 0, 1, "u", "late"), ("odd", "g", 0, "after", 1, -1, "v", None), ("odd", "g", 0, "after", 2, 9, "w", "lost"), ("odd", "g", 0, "after", 3, 1, "x", "fine")]
+    o = spark.createDataFrame(deep + broken, "diffset_id string, path string, frag_no int, side string, node_no int, parent int, key string, atom string")
+    s = o.filter("key in ('k4', 'v')").select("diffset_id", "path", "frag_no", "side", "node_no")
+    assert {r["atom"] for r in R.covered_atoms(o, s).collect()} == {"e499", "fine"}
+    assert R.covered_atoms(o, s.limit(0)).count() == 0
+
+
 def blocks(spark, rows):
     return spark.createDataFrame(rows, "diffset_id string, path string, hash string, open boolean")
 
