@@ -146,6 +146,21 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: in
     return mix((sums[ends] - sums[starts]) * undo[starts] + (ends - starts).astype(np.uint64))
 
 
+def rolling_hashes(data: np.ndarray, width: int, base: int = _BASE) -> np.ndarray:
+    """A 64-bit hash of data[i:i+width] for each i: strings of twice the length are made of two halves, log2(width) times."""
+    if len(data) < width:
+        return np.zeros(0, dtype=np.uint64)
+    part, out, taken, size = data.astype(np.uint64) + np.uint64(1), None, 0, 1
+    while size <= width:
+        if width & size:
+            out = part if out is None else out[:-size] * np.uint64(pow(base, size, 1 << 64)) + part[taken:]
+            taken += size
+        if 2 * size <= width:
+            part = part[:-size] * np.uint64(pow(base, size, 1 << 64)) + part[size:]
+        size *= 2
+    return mix(out)
+
+
 def gram_hashes(tokens: np.ndarray, k: int) -> np.ndarray:
     """A hash of tokens[i:i+k] for each i; the caller masks grams that cross documents."""
     n = len(tokens) - k + 1

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from diffloom.llm.common import OTHER_BASE, anchors, discard, extended, later_windows, lists, own_names, settle, signed, slices, span_hashes, union_of, with_spans
+from diffloom.llm.common import OTHER_BASE, anchors, discard, extended, later_windows, lists, mix, own_names, rolling_hashes, settle, signed, slices, span_hashes, union_of, with_spans
 
 WINDOW, GRAM = 100, 32
 #: Bytes of contexts that a task sorts into one run, and contexts of a range, about.
@@ -46,41 +46,45 @@ _FOUND = "_id long, _th long, lo int, hi int, w1 long, w2 long"
 _PIECE = "range int, piece binary, _id long, _th long, lo int, hi int"
 
 
-def _grams(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Gram hashes, document of each byte, and the anchors."""
-    n = len(data) - gram + 1
-    starts = np.arange(max(0, n))
-    grams = span_hashes(data, starts, starts + gram)
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    return grams, doc, *anchors(grams, doc, window, gram)
+def _packed(at: np.ndarray, lo: np.ndarray, hi: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """A context as one number: the place of its gram in the text, the bytes before it, the number of further windows."""
+    return (at - base) << 32 | (at - lo) << 16 | (hi - lo)
 
 
-def recurring_grams(named: DataFrame, window: int, gram: int) -> DataFrame:
+def picked_grams(named: DataFrame, share: float, window: int, gram: int) -> DataFrame:
+    """The only pass that hashes the corpus: _id, _th, the hashes ``hs`` of the grams that windows picked, their contexts
+    ``ps`` and, of a ``share`` of the contexts, ``drawn`` by what they hold, the gram and the key it is sorted by."""
+    limit = np.uint64(min((1 << 64) - 1, int(share * (1 << 64))))
+    pair = pa.struct([("h", pa.int64()), ("key", pa.binary())])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in slices(batch, "_text"):
-                grams, _, at, _, _ = _grams(data, offsets, window, gram)
-                h, n = np.unique(grams[at], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(n)], names=["h", "n"])
+            for row, end, data, offsets in slices(batch, "_text"):
+                grams = rolling_hashes(data, gram)
+                doc = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
+                at, lo, hi = anchors(grams, doc, window, gram)
+                h, of = grams[at], doc[at]
+                # Many that share a right side are parted by their left sides, so both ends of the context decide.
+                chosen = np.flatnonzero(mix(h + np.uint64(3) * grams[lo] + np.uint64(5) * grams[hi + window - gram]) <= limit)
+                keys = [data[a:b].tobytes() + data[c:a].tobytes() for a, b, c in zip(at[chosen].tolist(), (hi[chosen] + window).tolist(), lo[chosen].tolist(), strict=True)]
+                drawn = pa.StructArray.from_arrays([pa.array(signed(h[chosen])), pa.array(keys, pa.binary())], fields=list(pair))
+                counts, many = np.bincount(of, minlength=end - row), np.bincount(of[chosen], minlength=end - row)
+                own = [batch.column(c).slice(row, end - row) for c in ("_id", "_th")]
+                made = [lists(signed(h), counts, pa.int64()), lists(_packed(at, lo, hi, offsets[of]), counts, pa.int64())]
+                starts = pa.array(np.concatenate(([0], np.cumsum(many))).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*own, *made, pa.ListArray.from_arrays(starts, drawn)], names=["_id", "_th", "hs", "ps", "drawn"])
 
-    return settle(named.select("_text").mapInArrow(work, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"))
+    return settle(named.select("_id", "_th", "_text").mapInArrow(work, "_id long, _th long, hs array<bigint>, ps array<bigint>, drawn array<struct<h:bigint,key:binary>>"))
 
 
-def recurring_places(named: DataFrame, recurring: DataFrame, window: int, gram: int) -> DataFrame:
-    """_id, _th, _at: positions of picked grams that recur, for each row that has any."""
+def recurring_grams(picked: DataFrame) -> DataFrame:
+    return settle(picked.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, end, data, offsets in slices(batch, "_text"):
-                grams, doc, at, _, _ = _grams(data, offsets, window, gram)
-                counts = np.bincount(doc[at], minlength=end - row)
-                places = (at - offsets[doc[at]]).astype(np.int32)
-                own = [batch.column(c).slice(row, end - row) for c in ("_id", "_th")]
-                yield pa.RecordBatch.from_arrays([*own, lists(signed(grams[at]), counts, pa.int64()), lists(places, counts, pa.int32())], names=["_id", "_th", "hs", "ps"])
 
-    picked = named.select("_id", "_th", "_text").mapInArrow(work, "_id long, _th long, hs array<bigint>, ps array<int>")
-    picked = picked.select("_id", "_th", F.explode(F.arrays_zip("hs", "ps")).alias("x")).select("_id", "_th", F.col("x.hs").alias("h"), F.col("x.ps").alias("at"))
-    return settle(picked.join(recurring, "h", "left_semi").groupBy("_id", "_th").agg(F.collect_set("at").alias("_at")))
+def recurring_places(picked: DataFrame, recurring: DataFrame) -> DataFrame:
+    """_id, _th, _at: contexts of picked grams that recur, for each row that has any."""
+    places = picked.select("_id", "_th", F.explode(F.arrays_zip("hs", "ps")).alias("x")).select("_id", "_th", F.col("x.hs").alias("h"), F.col("x.ps").alias("at"))
+    return settle(places.join(recurring, "h", "left_semi").groupBy("_id", "_th").agg(F.collect_set("at").alias("_at")))
 
 
 def common(a: bytes, b: bytes, at: int) -> int:
@@ -173,7 +177,7 @@ def joined_spans(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _runs(batches: Iterator[pa.RecordBatch], splitters: list[bytes], window: int, gram: int) -> Iterator[pa.RecordBatch]:
+def _runs(batches: Iterator[pa.RecordBatch], splitters: list[bytes], window: int) -> Iterator[pa.RecordBatch]:
     """Sorted, front-coded pieces of runs by range; contexts that repeat within a run come out as covered."""
     held: list[tuple[bytes, int, int, int, int, int, int]] = []  # key, right length, id is known, id, th, lo, hi
     size = 0
@@ -208,16 +212,17 @@ def _runs(batches: Iterator[pa.RecordBatch], splitters: list[bytes], window: int
 
     for batch in batches:
         for row, end, data, offsets in slices(batch, "_text"):
-            _, doc, at, lo, hi = _grams(data, offsets, window, gram)
-            ids, ths, known = (batch.column(c).slice(row, end - row) for c in ("_id", "_th", "_at"))
-            flat = known.flatten().to_numpy() + np.repeat(offsets[:-1], known.value_lengths().fill_null(0).to_numpy())
-            keep = np.isin(at, flat)
+            ids, ths, places = (batch.column(c).slice(row, end - row) for c in ("_id", "_th", "_at"))
+            packed = places.flatten().to_numpy()
+            doc = np.repeat(np.arange(end - row), places.value_lengths().to_numpy())
+            at = offsets[doc] + (packed >> 32)
+            lo = at - (packed >> 16 & 0xFFFF)
             raw, ids, ths = data.tobytes(), ids.to_pylist(), ths.to_pylist()
-            for d, a, first, last in zip(doc[at[keep]].tolist(), at[keep].tolist(), lo[keep].tolist(), hi[keep].tolist(), strict=True):
+            for d, a, first, last in zip(doc.tolist(), at.tolist(), lo.tolist(), (lo + (packed & 0xFFFF)).tolist(), strict=True):
                 base, own = int(offsets[d]), ids[d]
                 right = raw[a : last + window]
                 held.append((right + raw[first:a], len(right), own is not None, own or 0, ths[d], first - base, last - base))
-                size += window + 2 * gram
+                size += last - first + window
             if size >= RUN_BYTES:
                 yield from emptied()
                 size = 0
@@ -305,38 +310,28 @@ def _merge(rows: pa.Table, window: int) -> pa.Table:
     return pa.concat_tables([opened, local, whole, through])
 
 
-def _splitters(named: DataFrame, ranges: int, window: int, gram: int) -> list[bytes]:
-    """Keys that part the contexts into about even ranges, from a sample of ``OVERSAMPLE`` for each range."""
-    rows = named.agg(F.sum(F.octet_length("_text")).alias("n")).first()["n"] or 0
-    share = min(1.0, ranges * OVERSAMPLE * gram * 2 / max(1, rows))  # of the anchors: one in about gram bytes
-    limit = np.uint64(min((1 << 64) - 1, int(share * (1 << 64))))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, data, offsets in slices(batch, "_text"):
-                _, _, at, lo, hi = _grams(data, offsets, window, gram)
-                # Drawn by the whole context: many that share a right side are parted by their left sides.
-                chosen = np.flatnonzero(span_hashes(data, lo, hi + window, OTHER_BASE) <= limit)
-                raw = data.tobytes()
-                keys = [raw[a:b] + raw[c:a] for a, b, c in zip(at[chosen].tolist(), (hi[chosen] + window).tolist(), lo[chosen].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary())], names=["key"])
-
-    drawn = sorted({bytes(r["key"]) for r in named.select("_text").mapInArrow(work, "key binary").limit(4 * ranges * OVERSAMPLE).collect()})
+def _splitters(picked: DataFrame, recurring: DataFrame, ranges: int) -> list[bytes]:
+    """Keys that part the recurring contexts into about even ranges, from the drawn ones: of more than the ranges need,
+    those with the smallest hashes, wherever they lie."""
+    keys = picked.select(F.explode("drawn").alias("x")).select("x.*").join(recurring, "h", "left_semi").select("key").distinct()
+    drawn = sorted(bytes(r["key"]) for r in keys.orderBy(F.xxhash64("key")).limit(4 * ranges * OVERSAMPLE).collect())
     return [drawn[len(drawn) * i // ranges] for i in range(1, ranges)] if len(drawn) >= ranges else drawn
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, gram: int = GRAM, range_rows: int = RANGE_ROWS) -> DataFrame:
     """(_id, _th, lo, hi): windows starting at bytes lo to hi also start earlier."""
     spark = docs.sparkSession
+    least = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     named = docs.select(F.col(doc_id).cast("long").alias("_id"), F.xxhash64(F.col(text)).alias("_th"), F.col(text).alias("_text"))
-    recurring = recurring_grams(named, window, gram)
-    places = recurring_places(named, recurring, window, gram)
-    discard(recurring)
+    expected = 1 + 2 * (docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // (window - gram + 2)  # contexts of random text
+    picked = picked_grams(named, max(expected / range_rows, least) * OVERSAMPLE / expected, window, gram)
+    recurring = recurring_grams(picked)
+    places = recurring_places(picked, recurring)
     total = places.agg(F.sum(F.size("_at"))).first()[0] or 0
-    ranges = max(-(-total // range_rows), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    splitters = _splitters(named, ranges, window, gram)
+    splitters = _splitters(picked, recurring, max(-(-total // range_rows), least))
+    discard(picked, recurring)
     joined = named.join(places, named["_id"].eqNullSafe(places["_id"]) & (named["_th"] == places["_th"])).select(named["_id"], named["_th"], "_text", "_at")
-    pieces = joined.mapInArrow(lambda batches: _runs(batches, splitters, window, gram), _PIECE)
+    pieces = joined.mapInArrow(lambda batches: _runs(batches, splitters, window), _PIECE)
     found = settle(pieces.groupBy("range").applyInArrow(lambda rows: _merge(rows, window), _FOUND))
     windows = found.filter("w1 is not null").select("_id", "_th", "lo", "w1", "w2")
     covered = found.filter("w1 is null").select("_id", "_th", "lo", "hi")
