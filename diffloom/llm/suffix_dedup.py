@@ -53,9 +53,8 @@ def _packed(at: np.ndarray, lo: np.ndarray, hi: np.ndarray, base: np.ndarray) ->
 
 def picked_grams(named: DataFrame, share: float, window: int, gram: int) -> DataFrame:
     """The only pass that hashes the corpus: _id, _th, the hashes ``hs`` of the grams that windows picked, their contexts
-    ``ps`` and, of a ``share`` of the contexts, ``drawn`` by what they hold, the gram and the key it is sorted by."""
+    ``ps`` and, of a ``share`` of the contexts, ``drawn`` by what they hold, the key they are sorted by."""
     limit = np.uint64(min((1 << 64) - 1, int(share * (1 << 64))))
-    pair = pa.struct([("h", pa.int64()), ("key", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,14 +66,12 @@ def picked_grams(named: DataFrame, share: float, window: int, gram: int) -> Data
                 # Many that share a right side are parted by their left sides, so both ends of the context decide.
                 chosen = np.flatnonzero(mix(h + np.uint64(3) * grams[lo] + np.uint64(5) * grams[hi + window - gram]) <= limit)
                 keys = [data[a:b].tobytes() + data[c:a].tobytes() for a, b, c in zip(at[chosen].tolist(), (hi[chosen] + window).tolist(), lo[chosen].tolist(), strict=True)]
-                drawn = pa.StructArray.from_arrays([pa.array(signed(h[chosen])), pa.array(keys, pa.binary())], fields=list(pair))
                 counts, many = np.bincount(of, minlength=end - row), np.bincount(of[chosen], minlength=end - row)
                 own = [batch.column(c).slice(row, end - row) for c in ("_id", "_th")]
                 made = [lists(signed(h), counts, pa.int64()), lists(_packed(at, lo, hi, offsets[of]), counts, pa.int64())]
-                starts = pa.array(np.concatenate(([0], np.cumsum(many))).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([*own, *made, pa.ListArray.from_arrays(starts, drawn)], names=["_id", "_th", "hs", "ps", "drawn"])
+                yield pa.RecordBatch.from_arrays([*own, *made, lists(keys, many, pa.binary())], names=["_id", "_th", "hs", "ps", "drawn"])
 
-    return settle(named.select("_id", "_th", "_text").mapInArrow(work, "_id long, _th long, hs array<bigint>, ps array<bigint>, drawn array<struct<h:bigint,key:binary>>"))
+    return settle(named.select("_id", "_th", "_text").mapInArrow(work, "_id long, _th long, hs array<bigint>, ps array<bigint>, drawn array<binary>"))
 
 
 def recurring_grams(picked: DataFrame) -> DataFrame:
@@ -310,10 +307,10 @@ def _merge(rows: pa.Table, window: int) -> pa.Table:
     return pa.concat_tables([opened, local, whole, through])
 
 
-def _splitters(picked: DataFrame, recurring: DataFrame, ranges: int) -> list[bytes]:
-    """Keys that part the recurring contexts into about even ranges, from the drawn ones: of more than the ranges need,
-    those with the smallest hashes, wherever they lie."""
-    keys = picked.select(F.explode("drawn").alias("x")).select("x.*").join(recurring, "h", "left_semi").select("key").distinct()
+def _splitters(picked: DataFrame, ranges: int) -> list[bytes]:
+    """Keys that part the contexts into about even ranges, from the drawn ones: of more than the ranges need, those with
+    the smallest hashes, wherever they lie."""
+    keys = picked.select(F.explode("drawn").alias("key")).distinct()
     drawn = sorted(bytes(r["key"]) for r in keys.orderBy(F.xxhash64("key")).limit(4 * ranges * OVERSAMPLE).collect())
     return [drawn[len(drawn) * i // ranges] for i in range(1, ranges)] if len(drawn) >= ranges else drawn
 
@@ -328,7 +325,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     recurring = recurring_grams(picked)
     places = recurring_places(picked, recurring)
     total = places.agg(F.sum(F.size("_at"))).first()[0] or 0
-    splitters = _splitters(picked, recurring, max(-(-total // range_rows), least))
+    splitters = _splitters(picked, max(-(-total // range_rows), least))
     discard(picked, recurring)
     joined = named.join(places, named["_id"].eqNullSafe(places["_id"]) & (named["_th"] == places["_th"])).select(named["_id"], named["_th"], "_text", "_at")
     pieces = joined.mapInArrow(lambda batches: _runs(batches, splitters, window), _PIECE)
