@@ -43,6 +43,8 @@ OVERSAMPLE = 16
 #: Longer than any key: what lies beyond a range is not known.
 _BEYOND = 1 << 30
 _FOUND = "_id long, _th long, lo int, hi int, w1 long, w2 long"
+#: How a piece holds right length, whether there is an id, id, text hash, lo, and hi less lo.
+_KINDS = (np.uint16, np.uint8, np.int64, np.int64, np.int32, np.uint16)
 _PIECE = "range int, piece binary, _id long, _th long, lo int, hi int"
 
 
@@ -97,21 +99,28 @@ def common(a: bytes, b: bytes, at: int) -> int:
 
 
 def front_coded(keys: list[bytes], meta: np.ndarray) -> bytes:
-    """A piece of a sorted run: key and prefix lengths, what each key adds to the one before, and the keys' numbers."""
+    """A piece of a sorted run: key and prefix lengths, what each key adds to the one before, and the keys' numbers (right
+    length, id known, id, text hash, lo, hi), each kind by itself and in as few bytes as it needs."""
     prefix = np.zeros(len(keys), dtype=np.uint16)
     for i in range(1, len(keys)):
         prefix[i] = common(keys[i - 1], keys[i], 0)
     length = np.fromiter(map(len, keys), np.uint16, len(keys))
     rest = b"".join(k[p:] for k, p in zip(keys, prefix.tolist(), strict=True))
-    return b"".join((np.int64(len(keys)).tobytes(), prefix.tobytes(), length.tobytes(), meta.tobytes(), rest))
+    numbers = np.column_stack((meta[:, :5], meta[:, 5] - meta[:, 4]))
+    numbers = [numbers[:, i].astype(kind).tobytes() for i, kind in enumerate(_KINDS)]
+    return b"".join((np.int64(len(keys)).tobytes(), prefix.tobytes(), length.tobytes(), *numbers, rest))
 
 
 def decoded(piece: bytes) -> tuple[list[bytes], list[int], np.ndarray]:
     n = int(np.frombuffer(piece, np.int64, 1)[0])
     prefix = np.frombuffer(piece, np.uint16, n, 8).tolist()
     length = np.frombuffer(piece, np.uint16, n, 8 + 2 * n).tolist()
-    meta = np.frombuffer(piece, np.int64, n * 6, 8 + 4 * n).reshape(n, 6)
-    keys, at, last = [], 8 + 4 * n + 48 * n, b""
+    meta, at = np.empty((n, 6), dtype=np.int64), 8 + 4 * n
+    for i, kind in enumerate(_KINDS):
+        meta[:, i] = np.frombuffer(piece, kind, n, at)
+        at += n * np.dtype(kind).itemsize
+    meta[:, 5] += meta[:, 4]
+    keys, last = [], b""
     for p, size in zip(prefix, length, strict=True):
         last = last[:p] + piece[at : at + size - p]
         keys.append(last)
