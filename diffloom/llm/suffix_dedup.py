@@ -16,7 +16,7 @@ moves it a hundred times over, so the suffix array is sparse, in a way that lose
 4. Equal neighbours: all but the earliest are covered whole. Of the rest, a window can only repeat if the suffix
    shares what the window needs of the right side with one of its neighbours in the array; these few windows meet by
    128-bit hash, and all but the earliest of each are covered. Their equals are neighbours too, so they meet inside
-   the range, but for those whose neighbourhood reaches its end: these are exchanged once more.
+   the range; where their neighbourhood reaches its end, the earliest is exchanged once more.
 
 Defined results: null texts are empty; order is by doc_id (null first), then by hash of the text, then by position;
 repeated rows, alike in id and text, do not cover each other and share one answer. A window may cut a character.
@@ -277,11 +277,10 @@ def _merge(rows: pa.Table, window: int) -> pa.Table:
     begin = base[owner] + w
     w1, w2 = span_hashes(data, begin, begin + window), span_hashes(data, begin, begin + window, OTHER_BASE)
     # All that share what a window needs are neighbours in the array. Unless they reach an end of the range, the
-    # window's equals are all here; else they meet those of the next range later.
+    # window's equals are all here; else the earliest of them meets those of the next range later.
     reach = np.maximum(np.minimum.accumulate(above), np.minimum.accumulate(below[::-1])[::-1])
     open_ = window - (left[owner] - w) <= reach[owner]
-    own = np.flatnonzero(~open_)
-    order = own[np.lexsort((lo[owner[own]] + w[own], ths[owner[own]], ids[owner[own]], known[owner[own]], w2[own], w1[own]))]
+    order = np.lexsort((lo[owner] + w, ths[owner], ids[owner], known[owner], w2, w1))
     fresh = np.ones(len(order), dtype=bool)
     fresh[1:] = (w1[order[1:]] != w1[order[:-1]]) | (w2[order[1:]] != w2[order[:-1]])
     first_of = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]
@@ -300,7 +299,7 @@ def _merge(rows: pa.Table, window: int) -> pa.Table:
         return pa.table(dict(zip(("_id", "_th", "lo", "hi", "w1", "w2"), [*places, *pair], strict=True)))
 
     local = table(owner[heads], lo[owner[heads]] + w[heads], lo[owner[heads]] + w[tails], None)
-    far = np.flatnonzero(open_)
+    far = np.sort(order[fresh & open_[order]])  # one of each window; the others here start later
     opened = table(owner[far], lo[owner[far]] + w[far], lo[owner[far]] + w[far], (w1[far], w2[far]))
     whole = pa.table(
         {
