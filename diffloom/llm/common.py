@@ -7,7 +7,7 @@ Python object. Documents never share a word, k-gram or window.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -138,12 +138,17 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> t
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
-    """A 64-bit hash of data[start:end] for each span, from one running sum. Another odd ``base``, another hash."""
+def span_hasher(data: np.ndarray, base: int = _BASE) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function from spans to 64-bit hashes of data[start:end], all from one running sum. Another odd ``base``, another
+    hash."""
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data), base), out=sums[1:], dtype=np.uint64)
     undo = powers(len(data) + 1, pow(base, -1, 1 << 64))
-    return mix((sums[ends] - sums[starts]) * undo[starts] + (ends - starts).astype(np.uint64))
+    return lambda starts, ends: mix((sums[ends] - sums[starts]) * undo[starts] + (ends - starts).astype(np.uint64))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
+    return span_hasher(data, base)(starts, ends)
 
 
 def rolling_hashes(data: np.ndarray, width: int, base: int = _BASE) -> np.ndarray:

@@ -1,6 +1,7 @@
 """Language of code-switched text by a linear-chain conditional random field.
 
-Every word (a run of letters that touches no digit) gets one label per language. Emissions add learned weights of its prefixes, suffixes,
+Every word (a run of letters that touches no digit; runs of over ``WORD_BYTES`` bytes, as scripts without blanks have
+them, are cut between characters) gets one label per language. Emissions add learned weights of its prefixes, suffixes,
 byte trigrams, of the word itself and of the lexicons it stands in; transitions between neighbouring words are
 learned with them. Forward-backward gives each word's label probabilities; a document's language has the largest
 share of them, and the share is its score.
@@ -30,11 +31,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from diffloom.llm.common import SLICE_BYTES, extended, mix, own_names, slices, span_hashes, word_bounds
+from diffloom.llm.common import SLICE_BYTES, extended, mix, own_names, slices, span_hasher, word_bounds
 
 PER_LABEL, SAMPLE_DOCS, SAMPLE_CHARS = 400, 25600, 2000
 BUCKETS = 1 << 16
 SEGMENT = 64
+WORD_BYTES = 24
 #: Labels from which on segments are walked in order, and up to which a slice of text has its full size.
 WIDE = 32
 _LETTER = np.zeros(256, dtype=bool)
@@ -68,16 +70,32 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     plain = ~(digit[starts] & (starts > begins)) & ~(digit[ends + 1] & (ends < stops))
     none = np.bincount(doc[plain], minlength=len(offsets))[doc] == 0
     keep = plain | none
-    return starts[keep], ends[keep], doc[keep]
+    return _cut(data, starts[keep], ends[keep], doc[keep])
 
 
-def _word_slots(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Feature buckets of each word: the word, its prefixes and suffixes."""
-    slots = [span_hashes(data, starts, ends)]
+def _cut(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of over ``WORD_BYTES`` bytes in parts of at most that many, cut where a character begins."""
+    step = WORD_BYTES - 3
+    parts = np.where(ends - starts > WORD_BYTES, -(-(ends - starts) // step), 1)
+    if (parts == 1).all():
+        return starts, ends, doc
+    of = np.repeat(np.arange(len(starts)), parts)
+    number = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin = starts[of] + step * number
+    for _ in range(3):  # a character has at most three bytes after its first
+        begin = begin - ((number > 0) & (data[begin] & 0xC0 == 0x80))
+    last = np.concatenate((of[1:] != of[:-1], [True]))
+    return begin, np.where(last, ends[of], np.append(begin[1:], 0)), doc[of]
+
+
+def _word_slots(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Feature buckets of each word (the word, its prefixes and suffixes), and the words' hashes."""
+    hashes = span_hasher(data)
+    slots = [hashes(starts, ends)]
     for n in _AFFIXES:
-        slots.append(mix(span_hashes(data, starts, np.minimum(starts + n, ends)) + np.uint64(101 * n)))
-        slots.append(mix(span_hashes(data, np.maximum(ends - n, starts), ends) + np.uint64(103 * n + 7)))
-    return np.stack([(s % np.uint64(BUCKETS)).astype(np.int32) for s in slots], axis=1)
+        slots.append(mix(hashes(starts, np.minimum(starts + n, ends)) + np.uint64(101 * n)))
+        slots.append(mix(hashes(np.maximum(ends - n, starts), ends) + np.uint64(103 * n + 7)))
+    return np.stack([(s % np.uint64(BUCKETS)).astype(np.int32) for s in slots], axis=1), slots[0]
 
 
 def _trigram_slots(data: np.ndarray) -> np.ndarray:
@@ -88,7 +106,7 @@ def _trigram_slots(data: np.ndarray) -> np.ndarray:
 
 def _emissions(model: Model, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     out = np.tile(model.bias, (len(starts), 1)).astype(np.float64)
-    slots = _word_slots(data, starts, ends)
+    slots, word = _word_slots(data, starts, ends)
     for column in slots.T:
         out += model.weights[column]
     if len(data) > 2:
@@ -97,7 +115,6 @@ def _emissions(model: Model, data: np.ndarray, starts: np.ndarray, ends: np.ndar
         np.cumsum(model.weights[_trigram_slots(data)], axis=0, out=sums[1:], dtype=np.float64)
         out += sums[np.maximum(ends - 2, starts).clip(max=len(data) - 2)] - sums[starts.clip(max=len(data) - 2)]
     if len(model.lexicon):
-        word = span_hashes(data, starts, ends)
         at = np.searchsorted(model.lexicon, word).clip(max=len(model.lexicon) - 1)
         known = model.lexicon[at] == word
         out[known] += model.lexicon_weights[model.lexicon_of[at[known]]]
@@ -204,13 +221,11 @@ def train(texts: list[str], langs: list[str], steps: int | None = None, batch: i
         starts, ends, doc = _words(data, offsets)
         if not len(starts):
             continue
-        words, tri = _word_slots(data, starts, ends), _trigram_slots(np.concatenate((data, np.zeros(2, np.uint8))))
-        width = 12  # trigrams kept of a training word, from its start
-        at = starts[:, None] + np.arange(width)
+        (words, hashes), tri = _word_slots(data, starts, ends), _trigram_slots(np.concatenate((data, np.zeros(2, np.uint8))))
+        at = starts[:, None] + np.arange(WORD_BYTES - 2)  # every trigram of a word
         inside = at < np.maximum(ends - 2, starts)[:, None]
         grams = np.where(inside, tri[at.clip(max=len(tri) - 1)], BUCKETS)
         y = np.array([number[langs[row + d]] for d in doc])
-        hashes = span_hashes(data, starts, ends)
         for h, label in zip(hashes.tolist(), y.tolist(), strict=True):
             counts.setdefault(h, Counter())[label] += 1
         pieces.append((np.concatenate((words, grams), axis=1), y, hashes, doc + base))

@@ -202,3 +202,23 @@ def test_block_max_neighbours_are_exact():
         want = dense @ dense[i]
         order = np.lexsort((np.arange(docs), -want.round(12)))[:7]
         assert np.allclose(cosine, want[order])
+
+
+def test_languages_without_blanks_differ_after_equal_heads(spark):
+    """Sentences without a blank that begin alike: only what stands far inside a run tells the languages apart."""
+    rng = random.Random(5)
+    head = "".join(chr(0x4E00 + i) for i in range(10))
+    text = lambda base: "\n".join(head + "".join(chr(base + rng.randrange(40)) for _ in range(30)) for _ in range(6))
+    rows = [(i, text(0x5000 + 0x800 * (i % 2)), "aa" if i % 2 == 0 else "bb") for i in range(160)]
+    frame = documents(spark, rows)
+    out = {r["doc_id"]: r["_lang"] for r in language.identify(frame, language.fit(frame, F.col("doc_id") < 100)).collect()}
+    assert np.mean([out[i] == x for i, _, x in rows[100:]]) > 0.95
+
+
+def test_long_runs_are_cut_between_characters():
+    text = ("ab " + "漢" * 50 + " " + "x" * 24 + " " + "é" * 13 + "z").encode()
+    data = np.frombuffer(text, np.uint8)
+    starts, ends, _ = language._words(data, np.array([0, len(data)]))
+    parts = [text[a:b].decode() for a, b in zip(starts, ends, strict=True)]
+    assert "".join(parts) == text.decode().replace(" ", "") and parts[0] == "ab" and "x" * 24 in parts
+    assert all(len(p.encode()) <= language.WORD_BYTES for p in parts)
