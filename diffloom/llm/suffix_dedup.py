@@ -100,7 +100,7 @@ def common(a: bytes, b: bytes, at: int) -> int:
 
 def front_coded(keys: list[bytes], meta: np.ndarray) -> bytes:
     """A piece of a sorted run: key and prefix lengths, what each key adds to the one before, and the keys' numbers (right
-    length, id known, id, text hash, lo, hi), each kind by itself and in as few bytes as it needs."""
+    length, id known, id, text hash, lo, hi), each kind by itself and in as few bytes as it needs, all of it compressed."""
     prefix = np.zeros(len(keys), dtype=np.uint16)
     for i in range(1, len(keys)):
         prefix[i] = common(keys[i - 1], keys[i], 0)
@@ -108,10 +108,12 @@ def front_coded(keys: list[bytes], meta: np.ndarray) -> bytes:
     rest = b"".join(k[p:] for k, p in zip(keys, prefix.tolist(), strict=True))
     numbers = np.column_stack((meta[:, :5], meta[:, 5] - meta[:, 4]))
     numbers = [numbers[:, i].astype(kind).tobytes() for i, kind in enumerate(_KINDS)]
-    return b"".join((np.int64(len(keys)).tobytes(), prefix.tobytes(), length.tobytes(), *numbers, rest))
+    plain = b"".join((np.int64(len(keys)).tobytes(), prefix.tobytes(), length.tobytes(), *numbers, rest))
+    return np.int64(len(plain)).tobytes() + pa.compress(plain, codec="zstd", asbytes=True)
 
 
-def decoded(piece: bytes) -> tuple[list[bytes], list[int], np.ndarray]:
+def decoded(packed: bytes) -> tuple[list[bytes], list[int], np.ndarray]:
+    piece = pa.decompress(packed[8:], int(np.frombuffer(packed, np.int64, 1)[0]), "zstd", asbytes=True)
     n = int(np.frombuffer(piece, np.int64, 1)[0])
     prefix = np.frombuffer(piece, np.uint16, n, 8).tolist()
     length = np.frombuffer(piece, np.uint16, n, 8 + 2 * n).tolist()
