@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from diffloom.functions.scan import ranked
+from diffloom.functions.scan import ranked, spans
 from diffloom.functions.text import is_scaffold
 from diffloom.operators.hunks import merge_ranges
 from diffloom.session import cut
@@ -149,9 +149,23 @@ def anchors(before: DataFrame, after: DataFrame, min_atoms: int = ANCHOR_ATOMS)
     )
 
 
-def moved(claims: DataFrame, anchor_rows: DataFrame) -> DataFrame:
-    """Claims inside one file whose halves stand on opposite sides of an anchor. Claims have ``claim_id,
-    diffset_id, path, start_a, end_a, start_b, end_b``.
+def claim_chains(halves: DataFrame, nodes: DataFrame, declared: list[str], width: int = 64) -> DataFrame:
+    """``(claim_id, chain)``: one hash of the declarations around a half, outermost first; empty where none is.
+    ``halves``: ``blob_id, claim_id, first, last`` (lines); ``nodes`` carry lines. A declaration and a half meet in the
+    bucket of the half's first line, so a group holds no more rows than declarations are nested."""
+    own = nodes.filter(F.col("kind").isin(declared)).select(
+        "blob_id", "idx", "first_line", "last_line", F.concat_ws(" ", "kind", "label").alias("_d"), spans(F.col("first_line"), F.col("last_line"), width).alias("_b")
+    )
+    around = halves.withColumn("_b", F.floor(F.col("first") / width).cast("int")).join(own, ["blob_id", "_b"])
+    around = around.filter("first_line <= first and last_line >= last")
+    stack = F.transform(F.array_sort(F.collect_list(F.struct("idx", "_d"))), lambda x: x["_d"])
+    found = around.groupBy("claim_id").agg(F.md5(F.array_join(stack, "\u0001")).alias("chain"))
+    return halves.select("claim_id").join(found, "claim_id", "left").select("claim_id", F.coalesce("chain", F.lit("")).alias("chain"))
+
+
+def moved(claims: DataFrame, anchor_rows: DataFrame, chains_a: DataFrame | None = None, chains_b: DataFrame | None = None) -> DataFrame:
+    """Claims inside one file whose halves stand on opposite sides of an anchor or, where the ``claim_chains`` of both
+    halves are given, in different declarations. Claims have ``claim_id, diffset_id, path, start_a, end_a, start_b, end_b``.
 
     The half before an anchor and behind it afterwards: among anchors from ``end_a`` on, the smallest
     ``end_b`` is at most ``start_b``; the other way round, the largest ``start_b`` of the anchors up to
@@ -173,8 +187,11 @@ def moved(claims: DataFrame, anchor_rows: DataFrame) -> DataFrame:
     up = Window.partitionBy(*key).orderBy("_at", "_o").rowsBetween(Window.unboundedPreceding, 0)
     later = merged("start_a", "end_b", "end_a").withColumn("_m", F.min("_v").over(down)).filter("_o = 1 and _m <= _sb")
     sooner = merged("end_a", "start_b", "start_a").withColumn("_m", F.max("_v").over(up)).filter("_o = 1 and _m >= _eb")
-    ids = later.select("claim_id").union(sooner.select("claim_id")).distinct()
-    return claims.join(ids, "claim_id", "left_semi")
+    ids = later.select("claim_id").union(sooner.select("claim_id"))
+    if chains_a is not None and chains_b is not None:
+        both = chains_a.join(chains_b.select("claim_id", F.col("chain").alias("_chain")), "claim_id")
+        ids = ids.union(both.filter("chain <> _chain").select("claim_id"))
+    return claims.join(ids.distinct(), "claim_id", "left_semi")
 
 
 def rank_candidates(blocks: DataFrame) -> DataFrame:

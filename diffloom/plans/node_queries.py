@@ -23,13 +23,14 @@ select blob, o, l, 0, 2, 'line', supplier from ledger_lines join {customer} on c
 select blob, o, l, 1, 3, 'text', flag from ledger_lines join {customer} on c_custkey = blob union all
 select blob, o, l, 2, 3, case when l % 5 = 0 then 'comment' else 'text' end, status from ledger_lines join {customer} on c_custkey = blob""")
 fragment("ledger_numbered", "select *, row_number() over (partition by blob order by o, l, f) - 1 num from ledger_rows")
-fragment("ledger_nodes", """
+NUMBERED_NODES = """
 select cast(blob as string) blob_id, cast(num as int) idx,
        cast(case depth when 0 then -1 when 1 then 0 when 2 then min(num) over (partition by blob, o) else min(num) over (partition by blob, o, l) end as int) parent,
        cast(case depth when 0 then count(*) over (partition by blob) when 1 then count(*) over (partition by blob, o) when 2 then count(*) over (partition by blob, o, l) else 1 end as int) size,
        depth, kind, label, cast(num * 5 as int) first_char,
        cast((num + case depth when 0 then count(*) over (partition by blob) when 1 then count(*) over (partition by blob, o) when 2 then count(*) over (partition by blob, o, l) else 1 end) * 5 as int) end_char
-from ledger_numbered""")
+from """
+fragment("ledger_nodes", NUMBERED_NODES + "ledger_numbered")
 # The same with faults: a node twice, and a node that ends after its parent.
 fragment("ledger_broken", """
 select blob_id, idx, parent, size, depth, kind, label, first_char, case when idx = 1 and cast(blob_id as int) % 9 = 4 then end_char + 1000000 else end_char end end_char from ledger_nodes union all
@@ -43,6 +44,26 @@ oracle_fragment("ledger_chains", """select n.blob_id, n.idx, coalesce(list(anc_k
  from ledger_nodes n left join ledger_below b on b.blob_id = n.blob_id and b.idx = n.idx and b.anc <> n.idx group by 1, 2""")
 oracle_fragment("ledger_lined", """select *, first_char // 10 + 1 first_line, (end_char - 1) // 10 + 1 last_line from ledger_nodes""")
 
+# A second version: the lines of every fifth order went to the end of the customer's first order.
+fragment("ledger_later_rows", """
+select r.blob, case when r.l > 0 and r.o % 5 = 3 then m.o else r.o end o, case when r.l > 0 and r.o % 5 = 3 then r.o * 10 + r.l else r.l end l, r.f, r.depth, r.kind, r.label, r.o was_o, r.l was_l
+from ledger_rows r left join (select blob, min(o) o from ledger_rows where o > 0 group by blob) m on m.blob = r.blob""")
+fragment("ledger_later_numbered", "select *, row_number() over (partition by blob order by o, l, f) - 1 num from ledger_later_rows")
+fragment("ledger_later_nodes", NUMBERED_NODES + "ledger_later_numbered")
+for version in ("ledger", "ledger_later"):
+    fragment(f"{version}_placed", f"""select blob_id, idx, kind, label, cast(floor(first_char / 10) as int) + 1 first_line, cast(floor((end_char - 1) / 10) as int) + 1 last_line from {version}_nodes""")
+fragment("ledger_claims", """
+select cast(a.blob as string) blob_id, cast(a.blob as string)||':'||cast(a.num as string) claim_id, x.first_line start_a, x.last_line + 1 end_a, y.first_line start_b, y.last_line + 1 end_b
+from ledger_numbered a join ledger_later_numbered b on b.blob = a.blob and b.was_o = a.o and b.was_l = a.l and b.kind = 'line'
+ join ledger_placed x on x.blob_id = cast(a.blob as string) and x.idx = a.num join ledger_later_placed y on y.blob_id = cast(b.blob as string) and y.idx = b.num where a.kind = 'line'""")
+# Few anchors, so that some lines change their order without passing one.
+fragment("ledger_anchors", """
+select cast(a.blob as string) blob_id, cast(floor(a.num / 2) as int) + 1 start_a, cast(floor(a.num / 2) as int) + 2 end_a, cast(floor(b.num / 2) as int) + 1 start_b, cast(floor(b.num / 2) as int) + 2 end_b
+from ledger_numbered a join ledger_later_numbered b on b.blob = a.blob and b.o = a.o and b.kind = 'order' where a.kind = 'order' and a.o % 4 = 1""")
+for version, half in (("ledger", "a"), ("ledger_later", "b")):
+    oracle_fragment(f"ledger_chain_{half}", f"""select c.claim_id, coalesce(string_agg(n.kind||' '||n.label, chr(1) order by n.idx), '') chain from ledger_claims c
+ left join {version}_placed n on n.blob_id = c.blob_id and n.kind in ('customer', 'order') and n.first_line <= c.start_{half} and n.last_line + 1 >= c.end_{half} group by 1""")
+
 
 # One tag per line, so that lines and nodes differ; the second version wraps some articles and drops some items.
 fragment("page_texts", "select cast(page_id as string) blob_id, replace(html, '>', '>'||chr(10)) text from {pages}")
@@ -111,6 +132,23 @@ def _(d):
     return N.subtree_hash(ledger(d)).select("blob_id", "idx", "hash")
 
 
+@query("j16_moved_declaration", """select c.blob_id, c.start_a, c.start_b, exists (select 1 from ledger_anchors f where f.blob_id = c.blob_id
+   and ((c.end_a <= f.start_a and c.start_b >= f.end_b) or (c.start_a >= f.end_a and c.end_b <= f.start_b))) passed, a.chain <> b.chain rechained
+ from ledger_claims c join ledger_chain_a a using (claim_id) join ledger_chain_b b using (claim_id) where passed or rechained""")
+def _(d):
+    claims = d.ledger_claims.select("*", F.lit(1).alias("diffset_id"), F.col("blob_id").alias("path"))
+    anchors = d.ledger_anchors.select("*", F.lit(1).alias("diffset_id"), F.col("blob_id").alias("path"))
+    chains = [
+        M.claim_chains(claims.select("blob_id", "claim_id", F.col(f"start_{h}").alias("first"), (F.col(f"end_{h}") - 1).alias("last")), placed_nodes, ["customer", "order"])
+        for h, placed_nodes in (("a", d.ledger_placed), ("b", d.ledger_later_placed))
+    ]
+    found = M.moved(claims, anchors, *chains)
+    passed = M.moved(claims, anchors).select("claim_id", F.lit(True).alias("passed"))
+    differ = chains[0].join(chains[1].withColumnRenamed("chain", "_chain"), "claim_id").select("claim_id", (F.col("chain") != F.col("_chain")).alias("rechained"))
+    out = found.join(passed, "claim_id", "left").join(differ, "claim_id").na.fill(False, ["passed"])
+    return out.select("blob_id", "start_a", "start_b", "passed", "rechained")
+
+
 @query("f7_steps", """select n.blob_id, n.idx, coalesce(s.steps, '') steps, coalesce(t.outermost, 0) outermost from ledger_nodes n left join ledger_steps s using (blob_id, idx) left join (
  select p.blob_id, count(*) outermost from ledger_nodes p where p.idx % 3 = 1 and not exists (
    select 1 from ledger_below b where b.blob_id = p.blob_id and b.idx = p.idx and b.anc <> p.idx and b.anc % 3 = 1) group by 1) t using (blob_id)""")

@@ -83,6 +83,30 @@ def test_unique_moves_drop_two_pastes_and_copies_that_stayed(spark):
     assert [r["hash"] for r in M.unique_moves(before, after).collect()] == ["h1"]
 
 
+def test_claims_move_past_anchors_or_into_another_declaration(spark):
+    claims = spark.createDataFrame(
+        [("stays", 5, 7, 5, 7), ("passes", 1, 2, 40, 41), ("enters", 8, 9, 8, 9), ("outside", 60, 61, 60, 61)],
+        "claim_id string, start_a int, end_a int, start_b int, end_b int",
+    ).selectExpr("*", "'s' diffset_id", "'f' path", "'v' blob_id")
+    anchors = spark.createDataFrame([("s", "f", 20, 21, 20, 21)], "diffset_id string, path string, start_a int, end_a int, start_b int, end_b int")
+    nodes = "blob_id string, idx int, kind string, label string, first_line int, last_line int"
+    before = spark.createDataFrame([("v", 0, "file", "", 1, 99), ("v", 1, "class", "A", 1, 50), ("v", 2, "def", "f", 4, 9)], nodes)
+    after = spark.createDataFrame([("v", 0, "file", "", 1, 99), ("v", 1, "class", "A", 1, 50), ("v", 2, "def", "f", 4, 7), ("v", 3, "def", "g", 8, 9)], nodes)
+
+    def chains(half, rows):
+        halves = claims.select("blob_id", "claim_id", F.col(f"start_{half}").alias("first"), (F.col(f"end_{half}") - 1).alias("last"))
+        return M.claim_chains(halves, rows, ["class", "def"], width=8)
+
+    ids = lambda df: {r["claim_id"] for r in df.collect()}
+    a, b = chains("a", before), chains("b", after)
+    assert ids(M.moved(claims, anchors)) == {"passes"}
+    assert ids(M.moved(claims, anchors, a, b)) == {"passes", "enters"}
+    held = {r["claim_id"]: r["chain"] for r in a.collect()}
+    assert held["outside"] == "" and held["stays"] == held["enters"] != held["passes"]
+    assert ids(M.moved(claims, anchors.limit(0), a, b)) == {"enters"}
+    assert M.claim_chains(claims.selectExpr("blob_id", "claim_id", "start_a first", "end_a last").limit(0), before, ["class"]).count() == 0
+
+
 def test_rivals_by_brute_force(spark):
     rng = random.Random(11)
     bags = {(side, i): [f"w{int(rng.random() ** 2 * 12)}" for _ in range(rng.randint(4, 9))] for side in "ab" for i in range(25)}
