@@ -1,5 +1,6 @@
 """Registered queries over text, ranges and hunks' bookkeeping."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from diffloom.functions import keys as K
@@ -174,6 +175,24 @@ def _(d):
     return H.merge_ranges(ranges(d), ["doc"])
 
 
+# Painted characters one by one: the furthest end and the start of the joined range so far, over ranges and characters.
+@query("w4_paint_ranges", r"""with l as (select doc_id, line_no, text, coalesce(sum(length(text) + 1) over (partition by doc_id order by line_no rows between unbounded preceding and 1 preceding), 0) ls from doc_lines),
+ r as (select doc_id, ls + 1 s, ls + 6 + line_no * 7 % 90 e from l union all select doc_id, ls + 7 + line_no * 7 % 90, ls + 11 + line_no * 7 % 90 from l),
+ m as (select doc_id, s, e, case when max(e) over (partition by doc_id order by s, e rows between unbounded preceding and 1 preceding) >= s then null else s end fresh from r),
+ c as (select doc_id, line_no, ls, ls + i p, substr(text, i + 1, 1) ch, i < length(regexp_extract(text, '^[ \t]*')) inside from (select *, unnest(range(0, length(text))) i from l) x),
+ ev as (select doc_id, s p, 0 o, e, fresh, cast(null as bigint) line_no, cast(null as bigint) ls, cast(null as varchar) ch, cast(null as boolean) inside from m union all select doc_id, p, 1, null, null, line_no, ls, ch, inside from c),
+ w as (select *, max(e) over f reach, max(fresh) over f run from ev window f as (partition by doc_id order by p, o rows between unbounded preceding and current row)),
+ k as (select *, coalesce(reach > p and (not inside or run >= ls), false) painted from w where o = 1),
+ g as (select *, sum(case when not painted and ch not in (' ', chr(9)) then 1 else 0 end) over (partition by doc_id, line_no order by p rows between unbounded preceding and current row) island from k)
+ select doc_id, cast(min(p) as bigint) "start", cast(max(p) + 1 as bigint) "end" from g where painted group by doc_id, line_no, island""")
+def _(d):
+    before = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    lines = doc_lines(d).withColumn("start", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)))
+    reach = F.col("line_no") * 7 % 90
+    asked = F.array(*[F.struct((F.col("start") + a).alias("start"), (F.col("start") + b).alias("end")) for a, b in ((1, reach + 6), (reach + 7, reach + 11))])
+    return H.paint_ranges(lines.select("doc_id", F.explode(asked).alias("r")).select("doc_id", "r.*"), lines, ["doc_id"])
+
+
 @query("a2_marked_lines", "select doc, cast(sum(\"end\" - \"start\") as bigint) marked from merged_ranges group by 1")
 def _(d):
     return H.marked_lines(ranges(d), ["doc"])
