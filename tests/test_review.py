@@ -124,6 +124,22 @@ def test_rivals_by_brute_force(spark):
     assert want and len(want) < 25
 
 
+def test_sets_of_words_give_the_same_rivals_and_overlaps_as_bags(spark):
+    rng = random.Random(5)
+    words = {(side, i): [f"w{int(rng.random() ** 2 * 40)}" for _ in range(rng.choice([4, 9, 60, 300]))] for side in "ab" for i in range(30)}
+    words["b", 3], words["b", 7] = list(words["b", 4]), list(words["a", 9])  # copies on one side and on both
+    df = spark.createDataFrame([("s", "k", side, f"{side}{i}", ws) for (side, i), ws in words.items()], "diffset_id string, kind string, side string, owner string, words array<string>")
+    sets = M.word_sets(df, ["diffset_id", "kind", "side", "owner"])
+    assert {r["owner"]: len(set(r["elements"])) for r in sets.collect()} == {f"{side}{i}": len(ws) for (side, i), ws in words.items()}
+    shared = lambda x, y: sum(min(x.count(w), y.count(w)) for w in set(x))
+    claims = spark.createDataFrame([(f"c{i}", "s", "k", f"a{i}", f"b{i}") for i in range(30)], "claim_id string, diffset_id string, kind string, own string, partner string")
+    want = {f"c{i}" for i in range(30) if not any(
+        j != i and 2 * shared(words["a", i], words["b", j]) >= max(len(words["a", i]), len(words["b", j])) for j in range(30))}
+    assert {r["claim_id"] for r in M.undisputed(claims, sets).collect()} == want and 0 < len(want) < 30
+    pairs = claims.selectExpr("diffset_id", "own owner_a", "partner owner_b")
+    assert {r["owner_a"]: r["shared"] for r in M.set_overlap(pairs, sets).collect()} == {f"a{i}": shared(words["a", i], words["b", i]) for i in range(30)}
+
+
 def test_touches_by_brute_force(spark):
     rng = random.Random(2)
     frags = [(f, i, s, s + rng.randint(0, 3)) for f in range(20) for i, s in enumerate(rng.sample(range(30), 4))]
