@@ -62,20 +62,26 @@ align_sql("three_aligned", "three_lines", "kind, diffset_id, path")
 KEY = ["kind", *BY]
 
 
+def three_texts(d: Data):
+    """Both sides of every pair with their texts, written since the alignment reads them twice."""
+    kinds = [("first", first_changes(d)), ("later", later_changes(d)), ("between", iteration_pairs(d))]
+    pairs = None
+    for kind, rows in kinds:
+        rows = rows.filter(~F.col("before").eqNullSafe(F.col("after"))).select(F.lit(kind).alias("kind"), *BY, "before", "after")
+        pairs = rows if pairs is None else pairs.unionByName(rows)
+    sides = pairs.select(*KEY, F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("before").alias("blob_id")), F.struct(F.lit("b").alias("side"), F.col("after").alias("blob_id")))).alias("s"))
+    sides = sides.select(*KEY, "s.side", "s.blob_id").filter("blob_id is not null")
+    blobs = d.snap_before.select("blob_id", "text").union(d.snap_after.select("blob_id", "text")).union(d.snap_later.select("blob_id", "text"))
+    blobs = blobs.join(sides.select("blob_id").distinct(), "blob_id", "left_semi").groupBy("blob_id").agg(F.any_value("text").alias("text"))
+    return sides.join(blobs, "blob_id").select(*KEY, "side", "text")
+
+
 def three_aligned(d: Data):
     def build(d: Data):
-        kinds = [("first", first_changes(d)), ("later", later_changes(d)), ("between", iteration_pairs(d))]
-        pairs = None
-        for kind, rows in kinds:
-            rows = rows.filter(~F.col("before").eqNullSafe(F.col("after"))).select(F.lit(kind).alias("kind"), *BY, "before", "after")
-            pairs = rows if pairs is None else pairs.unionByName(rows)
-        blobs = d.snap_before.select("blob_id", "text").union(d.snap_after.select("blob_id", "text")).union(d.snap_later.select("blob_id", "text"))
-        blobs = blobs.groupBy("blob_id").agg(F.any_value("text").alias("text"))
-        sides = pairs.select(*KEY, F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("before").alias("blob_id")), F.struct(F.lit("b").alias("side"), F.col("after").alias("blob_id")))).alias("s"))
-        sides = sides.select(*KEY, "s.side", "s.blob_id").join(blobs, "blob_id").select(*KEY, "side", "text")
-        return A.align_lines(explode_lines(sides).withColumn("key", compare_key(F.col("text"))), KEY)
-
-    return d.shared("three_aligned", build)
+        lines = explode_lines(d.shared("three_texts", three_texts)).withColumn("key", compare_key(F.col("text")))
+        return A.align_lines(lines, KEY, keep_key=False)
+
+    return d.shared("three_aligned", build).withColumn("key", compare_key(F.col("text")))
 
 
 oracle_fragment("three_rows", """select *, row_number() over (partition by kind, diffset_id, path order by gap, rk, line_no) row_no from (

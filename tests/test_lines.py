@@ -156,3 +156,15 @@ def test_revealing_every_gap_rebuilds_the_after_text(spark):
     assert not set(hidden) & set(shown)
     assert [{**hidden, **shown}[n] for n in range(1, len(b) + 1)] == b
     assert SequenceMatcher(None, a, b).ratio() < 1
+
+
+def test_alignment_without_its_key_says_the_same_in_one_exchange_of_texts(spark):
+    rows = [(p, s, i + 1, t, t) for p, a, b in (("x", "abcad", "bcaed"), ("y", "aa", "aaa"), ("z", "", "ab"), ("w", "abc", "cab"))
+            for s, text in (("a", a), ("b", b)) for i, t in enumerate(text)]
+    lines = spark.createDataFrame(rows, "path string, side string, line_no int, text string, key string")
+    full, bare = A.align_lines(lines, ["path"]), A.align_lines(lines, ["path"], keep_key=False)
+    assert full.columns == [*lines.columns, "mate", "gap"] and bare.columns == [c for c in full.columns if c != "key"]
+    assert sorted(map(tuple, full.drop("key").collect()), key=str) == sorted(map(tuple, bare.collect()), key=str)
+    assert bare.count() == len(rows)
+    plan = bare._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan  # mates reach their lines by order, so no text is shuffled for a join
