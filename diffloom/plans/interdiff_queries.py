@@ -62,9 +62,9 @@ align_sql("three_aligned", "three_lines", "kind, diffset_id, path")
 KEY = ["kind", *BY]
 
 
-def three_texts(d: Data):
-    """Both sides of every pair with their texts, written since the alignment reads them twice."""
-    kinds = [("first", first_changes(d)), ("later", later_changes(d)), ("between", iteration_pairs(d))]
+def three_texts(d: Data, only: str | None = None):
+    """Both sides of every pair (of one kind of pairs) with their texts, written since the alignment reads them twice."""
+    kinds = [(k, f(d)) for k, f in (("first", first_changes), ("later", later_changes), ("between", iteration_pairs)) if only in (None, k)]
     pairs = None
     for kind, rows in kinds:
         rows = rows.filter(~F.col("before").eqNullSafe(F.col("after"))).select(F.lit(kind).alias("kind"), *BY, "before", "after")
@@ -76,12 +76,15 @@ def three_texts(d: Data):
     return sides.join(blobs, "blob_id").select(*KEY, "side", "text")
 
 
-def three_aligned(d: Data):
+def three_aligned(d: Data, only: str | None = None):
+    """The lines of all three kinds of pairs, or of one: pairs are aligned one by one, so no kind needs another."""
+    name = only or "three"
+
     def build(d: Data):
-        lines = explode_lines(d.shared("three_texts", three_texts)).withColumn("key", compare_key(F.col("text")))
+        lines = explode_lines(d.shared(f"{name}_texts", lambda d: three_texts(d, only))).withColumn("key", compare_key(F.col("text")))
         return A.align_lines(lines, KEY, keep_key=False)
 
-    return d.shared("three_aligned", build).withColumn("key", compare_key(F.col("text")))
+    return d.shared(f"{name}_aligned", build).withColumn("key", compare_key(F.col("text")))
 
 
 oracle_fragment("three_rows", """select *, row_number() over (partition by kind, diffset_id, path order by gap, rk, line_no) row_no from (
@@ -206,7 +209,7 @@ oracle_fragment("ported", """select a.diffset_id||':'||a.path||':'||cast(a.line_
 
 
 def ported(d: Data):
-    lines = three_aligned(d).filter("kind = 'between' and side = 'a'")
+    lines = three_aligned(d, "between").filter("side = 'a'")
     name = F.concat_ws(":", "diffset_id", "path")
     threads = lines.select(F.concat_ws(":", "diffset_id", "path", F.col("line_no").cast("string")).alias("thread_id"), name.alias("old_blob"),
                            F.concat(name, F.lit("'")).alias("new_blob"), F.array(F.col("line_no"), F.col("line_no") + 1).alias("nodes"))

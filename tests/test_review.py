@@ -227,3 +227,13 @@ def test_hlc_never_runs_behind(spark):
     w = spark.createDataFrame([("d", i, wall) for i, wall in enumerate([5, 3, 3, 7, 7, 6])], "device string, seq int, wall bigint")
     got = [(r["hlc_wall"], r["hlc_logical"]) for r in R.assign_hlc(w).orderBy("seq").collect()]
     assert got == [(5, 0), (5, 1), (5, 2), (7, 0), (7, 1), (7, 2)]
+
+
+def test_ported_threads_align_no_pairs_but_those_between_the_iterations(spark):
+    import __spark_entry__ as entry
+    from diffloom.plans import registry
+
+    registry.forget()
+    lost = entry.queries()["j23_lost_threads"](spark, "/root/testdata/sf0.001")
+    names = {name for _, _, name in registry._SHARED}
+    assert lost.count() > 0 and "between_aligned" in names and "three_aligned" not in names
