@@ -237,3 +237,29 @@ def test_ported_threads_align_no_pairs_but_those_between_the_iterations(spark):
     lost = entry.queries()["j23_lost_threads"](spark, "/root/testdata/sf0.001")
     names = {name for _, _, name in registry._SHARED}
     assert lost.count() > 0 and "between_aligned" in names and "three_aligned" not in names
+
+
+def test_extract_candidates_judge_pairs_by_word_hashes_in_the_row(spark):
+    added = spark.createDataFrame([("d", "b1", "total", ["total", "price", "tax", "tax"]), ("d", "b2", "twice", ["twice", "x"]), ("d", "b3", "twice", ["twice", "y"])],
+                                  "diffset_id string, block string, name string, words array<string>")
+    removed = spark.createDataFrame([("d", "s1", "r1", ["price", "price", "other"]), ("d", "s1", "r2", ["a", "b", "c", "d"]), ("d", "s1", "r3", []), ("d", "s2", "r4", ["price", "tax"])],
+                                    "diffset_id string, site string, removed string, words array<string>")
+    calls = spark.createDataFrame([("d", "s1", "total", "c1"), ("d", "s1", "total", "c2"), ("d", "s2", "twice", "c3"), ("d", "s0", "total", "b1")],
+                                  "diffset_id string, site string, name string, block string")
+    got = M.extract_candidates(added, removed, calls)
+    assert [tuple(r) for r in got.collect()] == [("d", "b1", "s1", 2, 3, 1)]
+    assert "explode(words" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_touches_align_no_file_that_is_equal_in_both_iterations(spark):
+    import __spark_entry__ as entry
+    from diffloom.plans import registry
+
+    registry.forget()
+    folder = "/root/testdata/sf0.001"
+    assert entry.queries()["j10_touches"](spark, folder).count() > 0
+    shared = {name: df for (_, _, name), df in registry._SHARED.items()}
+    key = ["diffset_id", "path"]
+    assert shared["three_texts"].join(shared["iteration_pairs"], key, "left_anti").count() == 0
+    lengths = shared["three_texts"].groupBy("kind").count().count()
+    assert lengths == 3
