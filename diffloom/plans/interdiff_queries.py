@@ -10,6 +10,7 @@ from diffloom.functions import text as T
 from diffloom.functions.text import compare_key
 from diffloom.plans.line_queries import BY, align_sql, duck_key, duck_lines
 from diffloom.plans.registry import Data, oracle_fragment, query
+from diffloom.session import cut
 from diffloom.sources.blobs import explode_lines
 
 _LATER = """select coalesce(a.diffset_id, b.diffset_id) diffset_id, coalesce(a.path, b.path) path, case when a.path is null then 'added' when b.path is null then 'deleted' else 'modified' end status,
@@ -41,7 +42,7 @@ oracle_fragment("iteration_pairs", """select diffset_id, path, "before", "after"
 
 
 def iteration_pairs(d: Data):
-    return I.iteration_pairs(first_changes(d), later_changes(d))
+    return d.shared("iteration_pairs", lambda d: I.iteration_pairs(first_changes(d), later_changes(d)))
 
 
 @query("j7_iteration_pairs", """select diffset_id, path, coalesce("before", '') "before", coalesce("after", '') "after", in_both from iteration_pairs""")
@@ -62,13 +63,16 @@ align_sql("three_aligned", "three_lines", "kind, diffset_id, path")
 KEY = ["kind", *BY]
 
 
-def three_texts(d: Data, only: str | None = None):
-    """Both sides of every pair (of one kind of pairs) with their texts, written since the alignment reads them twice."""
-    kinds = [(k, f(d)) for k, f in (("first", first_changes), ("later", later_changes), ("between", iteration_pairs)) if only in (None, k)]
+def three_texts(d: Data, kinds=("first", "later", "between"), touched: bool = False):
+    """Both sides of every pair of some kinds with their texts, written since the alignment reads them twice. ``touched``
+    leaves only files that differ between the iterations."""
+    make = {"first": first_changes, "later": later_changes, "between": iteration_pairs}
     pairs = None
-    for kind, rows in kinds:
-        rows = rows.filter(~F.col("before").eqNullSafe(F.col("after"))).select(F.lit(kind).alias("kind"), *BY, "before", "after")
+    for kind in kinds:
+        rows = make[kind](d).filter(~F.col("before").eqNullSafe(F.col("after"))).select(F.lit(kind).alias("kind"), *BY, "before", "after")
         pairs = rows if pairs is None else pairs.unionByName(rows)
+    if touched:
+        pairs = pairs.join(iteration_pairs(d).select(*BY), BY, "left_semi")
     sides = pairs.select(*KEY, F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("before").alias("blob_id")), F.struct(F.lit("b").alias("side"), F.col("after").alias("blob_id")))).alias("s"))
     sides = sides.select(*KEY, "s.side", "s.blob_id").filter("blob_id is not null")
     blobs = d.snap_before.select("blob_id", "text").union(d.snap_after.select("blob_id", "text")).union(d.snap_later.select("blob_id", "text"))
@@ -76,15 +80,21 @@ def three_texts(d: Data, only: str | None = None):
     return sides.join(blobs, "blob_id").select(*KEY, "side", "text")
 
 
-def three_aligned(d: Data, only: str | None = None):
-    """The lines of all three kinds of pairs, or of one: pairs are aligned one by one, so no kind needs another."""
-    name = only or "three"
+def between_aligned(d: Data):
+    """The lines of iteration against iteration: pairs are aligned one by one, so no other kind is needed."""
 
     def build(d: Data):
-        lines = explode_lines(d.shared(f"{name}_texts", lambda d: three_texts(d, only))).withColumn("key", compare_key(F.col("text")))
+        lines = explode_lines(d.shared("between_texts", lambda d: three_texts(d, ["between"]))).withColumn("key", compare_key(F.col("text")))
         return A.align_lines(lines, KEY, keep_key=False)
 
-    return d.shared(f"{name}_aligned", build).withColumn("key", compare_key(F.col("text")))
+    return d.shared("between_aligned", build).withColumn("key", compare_key(F.col("text")))
+
+
+def marked_lines(texts):
+    """Lines as fragments need them: of a line's text only a hash, and whether it is blank. Texts are shuffled no more."""
+    text = F.col("text")
+    blank = F.when(text.rlike(rf"^{T.SPACE}*$"), "").otherwise("x")
+    return explode_lines(texts).select(*KEY, "side", "line_no", compare_key(text).alias("key"), F.base64(F.unhex(F.md5(text))).alias("text"), blank.alias("solid"))
 
 
 oracle_fragment("three_rows", """select *, row_number() over (partition by kind, diffset_id, path order by gap, rk, line_no) row_no from (
@@ -100,12 +110,23 @@ oracle_fragment("three_frags", """select kind, diffset_id, path, frag_no, case w
  from three_runs group by kind, diffset_id, path, frag_no""")
 
 
+def own_frags(d: Data):
+    """Fragments of both iterations' own pairs."""
+    return d.shared("own_frags", lambda d: _aligned_frags(d.shared("own_texts", lambda d: three_texts(d, ["first", "later"]))))
+
+
 def three_frags(d: Data):
-    return d.shared("three_frags", lambda d: _frags(H.diff_rows(three_aligned(d), KEY)))
+    """Fragments of all three kinds of pairs, of the files that differ between the iterations."""
+    return d.shared("three_frags", lambda d: _aligned_frags(d.shared("three_texts", lambda d: three_texts(d, touched=True))))
+
+
+def _aligned_frags(texts):
+    aligned = cut(A.align_lines(marked_lines(texts), KEY, keep_key=False))
+    return _frags(H.diff_rows(aligned.withColumnRenamed("solid", "key"), KEY))
 
 
 def _frags(rows):
-    """Fragments of all three kinds of pairs, with a hash of each hunk's text."""
+    """Fragments with a hash of each hunk's text; ``text`` may be a line's hash."""
     key = ["pair_kind", *BY]
     rows = rows.withColumnRenamed("kind", "pair_kind")
     frags = H.fragments(rows, key)
@@ -126,15 +147,15 @@ oracle_fragment("unshared", """select kind, diffset_id, path, frag_no, b_start,
  select 1 from own_hunks o where o.kind <> h.kind and o.diffset_id = h.diffset_id and o.path = h.path and o.hash = h.hash and o.nth = h.nth)""")
 
 
-def unshared(d: Data):
-    f = three_frags(d).filter("kind = 'diff'")
+def unshared(frags):
+    f = frags.filter("kind = 'diff'")
     cols = [*BY, "frag_no", "hash", "after_start", "after_n"]
     return I.unshared_hunks(f.filter("pair_kind = 'first'").select(*cols), f.filter("pair_kind = 'later'").select(*cols))
 
 
 @query("j8_unshared_hunks", "select kind, diffset_id, path, cast(frag_no as bigint) frag_no from unshared")
 def _(d):
-    a, b = unshared(d)
+    a, b = unshared(own_frags(d))
     return a.select(F.lit("first").alias("kind"), *BY, "frag_no").unionByName(b.select(F.lit("later").alias("kind"), *BY, "frag_no"))
 
 
@@ -152,8 +173,9 @@ def between_frags(d: Data):
     """Fragments of iteration against iteration, the diffs marked that touch a hunk the iterations do not share."""
 
     def build(d: Data):
+        # A hunk of either iteration counts only in a file that differs between them.
         frags = three_frags(d).filter("pair_kind = 'between'")
-        one, two = unshared(d)
+        one, two = unshared(three_frags(d))
         region = lambda df: df.select(*BY, F.col("after_start").alias("start"), (F.col("after_start") + F.col("after_n")).alias("end"))
         side = lambda s: frags.filter("kind = 'diff'").select(*BY, "frag_no", F.col(f"{s}_start").alias("start"), (F.col(f"{s}_start") + F.col(f"{s}_n")).alias("end"))
         hit = I.touches(side("before"), region(one), BY).union(I.touches(side("after"), region(two), BY)).distinct().withColumn("_hit", F.lit(True))
@@ -209,7 +231,7 @@ oracle_fragment("ported", """select a.diffset_id||':'||a.path||':'||cast(a.line_
 
 
 def ported(d: Data):
-    lines = three_aligned(d, "between").filter("side = 'a'")
+    lines = between_aligned(d).filter("side = 'a'")
     name = F.concat_ws(":", "diffset_id", "path")
     threads = lines.select(F.concat_ws(":", "diffset_id", "path", F.col("line_no").cast("string")).alias("thread_id"), name.alias("old_blob"),
                            F.concat(name, F.lit("'")).alias("new_blob"), F.array(F.col("line_no"), F.col("line_no") + 1).alias("nodes"))
