@@ -77,7 +77,7 @@ def placed(rows):
 
 
 def ledger(d: Data):
-    return placed(d.ledger_nodes)
+    return d.shared("ledger", lambda d: placed(d.ledger_nodes))
 
 
 def nodes(d: Data):

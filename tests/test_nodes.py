@@ -187,3 +187,42 @@ def test_content_atoms_skip_comments_and_containers(spark):
     df = spark.createDataFrame(rows, "blob_id string, idx int, parent int, size int, depth int, kind string, label string, start int, end int, named boolean, field string")
     got = {r["idx"]: (r["is_atom"], r["is_unit"]) for r in N.content_atoms(df).collect()}
     assert got == {0: (False, True), 1: (True, False), 2: (False, False), 3: (False, True), 4: (True, False)}
+
+
+def test_nodes_above_at_any_depth_by_brute_force(spark):
+    rows, rng = [], __import__("random").Random(5)
+    for blob, deepest in (("deep", 30), ("flat", 3), ("edge", 9)):
+        depths = [0]
+        while len(depths) < 120:
+            depths.append(rng.randint(max(1, min(depths[-1], deepest) - 3), min(depths[-1] + 1, deepest)) if rng.random() < 0.3 else min(depths[-1] + 1, deepest))
+        up = [max((j for j in range(i) if depths[j] == dep - 1), default=-1) for i, dep in enumerate(depths)]
+        size = [next((j for j in range(i + 1, len(depths)) if depths[j] <= dep), len(depths)) - i for i, dep in enumerate(depths)]
+        rows += [(blob, i, up[i], size[i], dep, "order" if i % 3 else "line", str(i)) for i, dep in enumerate(depths)]
+    df = spark.createDataFrame(rows, "blob_id string, idx int, parent int, size int, depth int, kind string, label string").cache()
+    want = {(b, i, d, j) for b, j, _, n, d, _, _ in rows for x, i, *_ in rows if x == b and j < i < j + n}
+    assert {tuple(r) for r in N.ancestors(df).select("blob_id", "idx", "level", "anc").collect()} == want
+    chains = {(r["blob_id"], r["idx"]): r["chain"] for r in N.declaration_chain(df, ["order"]).collect()}
+    for b, i, *_ in rows:
+        assert chains[b, i] == [f"order {j}" for x, y, _, j in sorted(want) if (x, y) == (b, i) and j % 3]
+    heights = {(r["blob_id"], r["idx"]): r["height"] for r in N.subtree_stats(df.withColumns({"start": F.col("idx"), "end": F.col("idx") + F.col("size")})).collect()}
+    assert heights == {(b, i): max(e for x, j, _, _, e, *_ in rows if x == b and i <= j < i + n) - d for b, i, _, n, d, *_ in rows}
+
+
+def test_rollups_shuffle_nodes_once_and_by_their_text(spark):
+    rows = [("f", 0, -1, 3, 0, "order", "a", 0, 9), ("f", 1, 0, 2, 1, "line", "b", 1, 5), ("f", 2, 1, 1, 2, "text", "c", 2, 4)]
+    df = spark.createDataFrame(rows, "blob_id string, idx int, parent int, size int, depth int, kind string, label string, start int, end int")
+    for out in (N.subtree_stats(df), N.subtree_hash(df), N.declaration_chain(df, ["order"]), N.steps_of(df)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(blob_id") == plan.count("Exchange ") == 1 and "Join" not in plan
+
+
+def test_nodes_that_fill_a_range_meet_only_ranges_around_them(spark):
+    nodes = spark.createDataFrame([("f", 0, -1, 101, 0, 1, 300), *[("f", i, 0, 1, 1, 3 * i - 2, 3 * i) for i in range(1, 101)]],
+                                  "blob_id string, idx int, parent int, size int, depth int, first_line int, last_line int")
+    ranges = spark.createDataFrame([("f", 7 * a + n, a, a + n - 1) for a in range(1, 300, 5) for n in (1, 3, 6)], "blob_id string, range_id int, first int, last int")
+    got = {tuple(r) for r in N.nodes_on_lines(nodes, ranges).collect()}
+    want = set()
+    for _, r, first, last in ranges.collect():
+        inside = [i for i in range(1, 101) if first <= 3 * i - 2 and 3 * i <= last]
+        want |= {("f", r, i) for i in inside} or {("f", r, next((i for i in range(1, 101) if 3 * i - 2 <= first and last <= 3 * i), 0)) } if last <= 300 else {("f", r, i) for i in inside}
+    assert got == want
