@@ -77,7 +77,7 @@ def placed(rows):
 
 
 def ledger(d: Data):
-    return d.shared("ledger", lambda d: placed(d.ledger_nodes))
+    return d.shared("ledger", lambda d: placed(d.written("ledger_lines").ledger_nodes))
 
 
 def nodes(d: Data):
@@ -136,17 +136,14 @@ def _(d):
    and ((c.end_a <= f.start_a and c.start_b >= f.end_b) or (c.start_a >= f.end_a and c.end_b <= f.start_b))) passed, a.chain <> b.chain rechained
  from ledger_claims c join ledger_chain_a a using (claim_id) join ledger_chain_b b using (claim_id) where passed or rechained""")
 def _(d):
-    claims = d.ledger_claims.select("*", F.lit(1).alias("diffset_id"), F.col("blob_id").alias("path"))
-    anchors = d.ledger_anchors.select("*", F.lit(1).alias("diffset_id"), F.col("blob_id").alias("path"))
+    d.written("ledger_lines", "ledger_rows", "ledger_numbered", "ledger_later_numbered", "ledger_placed", "ledger_later_placed", "ledger_claims", "ledger_anchors")
+    file = lambda name: getattr(d, name).select("*", F.lit(1).alias("diffset_id"), F.col("blob_id").alias("path"))
+    claims, anchors = file("ledger_claims"), file("ledger_anchors")
     chains = [
         M.claim_chains(claims.select("blob_id", "claim_id", F.col(f"start_{h}").alias("first"), (F.col(f"end_{h}") - 1).alias("last")), placed_nodes, ["customer", "order"])
         for h, placed_nodes in (("a", d.ledger_placed), ("b", d.ledger_later_placed))
     ]
-    found = M.moved(claims, anchors, *chains)
-    passed = M.moved(claims, anchors).select("claim_id", F.lit(True).alias("passed"))
-    differ = chains[0].join(chains[1].withColumnRenamed("chain", "_chain"), "claim_id").select("claim_id", (F.col("chain") != F.col("_chain")).alias("rechained"))
-    out = found.join(passed, "claim_id", "left").join(differ, "claim_id").na.fill(False, ["passed"])
-    return out.select("blob_id", "start_a", "start_b", "passed", "rechained")
+    return M.moved_how(claims, anchors, *chains).select("blob_id", "start_a", "start_b", "passed", "rechained")
 
 
 @query("f7_steps", """select n.blob_id, n.idx, coalesce(s.steps, '') steps, coalesce(t.outermost, 0) outermost from ledger_nodes n left join ledger_steps s using (blob_id, idx) left join (

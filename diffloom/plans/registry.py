@@ -97,6 +97,13 @@ class Data:
             _SHARED[key] = cut(build(self))
         return _SHARED[key]
 
+    def written(self, *names: str) -> Data:
+        """Fragments that others read several times, each written once, in the order given; what is derived later reads
+        the written tables."""
+        for name in names:
+            self._derived[name] = self.shared(name, lambda d, name=name: getattr(d, name))
+        return self
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 

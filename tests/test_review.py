@@ -263,3 +263,12 @@ def test_touches_align_no_file_that_is_equal_in_both_iterations(spark):
     assert shared["three_texts"].join(shared["iteration_pairs"], key, "left_anti").count() == 0
     lengths = shared["three_texts"].groupBy("kind").count().count()
     assert lengths == 3
+
+
+def test_moved_tells_how_in_one_pass_over_its_claims(spark):
+    claims = spark.createDataFrame([("both", 1, 2, 40, 41), ("passes", 3, 4, 42, 43), ("enters", 8, 9, 8, 9), ("stays", 5, 6, 5, 6)],
+                                   "claim_id string, start_a int, end_a int, start_b int, end_b int").selectExpr("*", "'s' diffset_id", "'f' path")
+    anchors = spark.createDataFrame([("s", "f", 20, 21, 20, 21)], "diffset_id string, path string, start_a int, end_a int, start_b int, end_b int")
+    chain = lambda changed: spark.createDataFrame([(c, "y" if c in changed else "x") for c in ("both", "passes", "enters", "stays")], "claim_id string, chain string")
+    got = {r["claim_id"]: (r["passed"], r["rechained"]) for r in M.moved_how(claims, anchors, chain([]), chain(["both", "enters"])).collect()}
+    assert got == {"both": (True, True), "passes": (True, False), "enters": (False, True)}
