@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from diffloom.functions import keys as K
 from diffloom.functions.paths import is_test_path
 from diffloom.operators import review as R
-from diffloom.plans.line_queries import BY, aligned
+from diffloom.plans.line_queries import BY, aligned, bare, edit_number
 from diffloom.plans.registry import Data, fragment, oracle_fragment, query
 from diffloom.plans.snapshot_queries import _TEST, changes
 
@@ -63,9 +63,12 @@ def outline(d: Data):
 
     def build(d: Data):
         number = lambda *parts: F.conv(F.substring(F.md5(F.concat_ws("", *parts)), 1, 7), 16, 10).cast("bigint")
-        rows = aligned(d).filter("mate is null and key <> ''").withColumn("side", F.when(F.col("side") == "a", "before").otherwise("after"))
-        rows = rows.withColumnRenamed("gap", "frag_no")
-        atom = F.concat(F.lit("atom-"), (number("path", "key") % 700).cast("string"))
+        if d.has("aligned"):
+            rows = aligned(d).filter("mate is null and key <> ''").withColumn("edit", edit_number())
+        else:
+            rows = bare(d).filter("mate is null and not blank")
+        rows = rows.withColumn("side", F.when(F.col("side") == "a", "before").otherwise("after")).withColumnRenamed("gap", "frag_no")
+        atom = F.concat(F.lit("atom-"), F.col("edit").cast("string"))
         leaves = rows.select(*BY, "frag_no", "side", F.col("line_no").alias("node_no"), F.lit(0).alias("parent"), atom.alias("atom"))
         roots = rows.select(*BY, "frag_no", "side").distinct().select(*BY, "frag_no", "side", F.lit(0).alias("node_no"), F.lit(-1).alias("parent"), F.lit(None).cast("string").alias("atom"))
         place = number("path", F.lit("|"), "side", F.lit("|"), F.col("frag_no").cast("string"), F.lit("|"), F.col("node_no").cast("string")) % 2000
@@ -181,22 +184,23 @@ oracle_fragment("stops", """select s.reviewer, o.diffset_id, o.path, o.frag_no,
  group by 1, 2, 3, 4, 5""")
 
 
-def queue(d: Data):
+def reading(d: Data):
+    """Who reviews which change sets, and the atoms each has viewed."""
     reviewers = d.events.select((F.col("user_id") % 5).alias("reviewer"), F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("diffset_id")).distinct()
     seen = d.events.filter("event_type = 'view'").select((F.col("user_id") % 5).alias("reviewer"), F.concat(F.lit("atom-"), (F.col("event_id") % 500).cast("string")).alias("atom")).distinct()
-    return R.review_queue(outline(d), reviewers, seen)
+    return reviewers, seen
 
 
 @query("t4_review_queue", "select reviewer, diffset_id, path, frag_no, atom, row_number() over (partition by reviewer order by diffset_id, path, frag_no, s) place from stops")
 def _(d):
-    return queue(d).select("reviewer", "diffset_id", "path", "frag_no", "atom", "place")
+    return R.review_queue(outline(d), *reading(d)).select("reviewer", "diffset_id", "path", "frag_no", "atom", "place")
 
 
 @query("t4_next_stop", """select reviewer, diffset_id, path, frag_no, atom from (select *, row_number() over (partition by reviewer order by diffset_id, path, frag_no, s) r from stops where diffset_id > 'src14' or (diffset_id = 'src14' and (path > 'src14/src/2' or (path = 'src14/src/2' and frag_no > 0)))) x where r = 1""")
 def _(d):
-    q = queue(d)
-    at = q.select("reviewer").distinct().select("reviewer", F.lit("src14").alias("diffset_id"), F.lit("src14/src/2").alias("path"), F.lit(0).cast("bigint").alias("frag_no"))
-    return R.next_stop(q, at)
+    reviewers, seen = reading(d)
+    at = reviewers.select("reviewer").distinct().select("reviewer", F.lit("src14").alias("diffset_id"), F.lit("src14/src/2").alias("path"), F.lit(0).cast("bigint").alias("frag_no"))
+    return R.next_stop(outline(d), reviewers, seen, at)
 
 
 oracle_fragment("thread_at", "select distinct diffset_id, cast(cast(substr(diffset_id, 4) as int) + 20 as varchar) commit, cast(substr(diffset_id, 4) as int) % 2 = 0 is_head, cast(substr(diffset_id, 4) as int) % 3 <> 1 left_is_before from comments")

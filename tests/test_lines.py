@@ -177,3 +177,12 @@ def test_rescue_asks_no_more_of_a_line_than_its_marks(spark):
     marked = H.rescue_marks(lines)
     assert pairs(marked) == pairs(lines) != []
     assert {r["text"] for r in marked.collect()} == {"", "w"} and max(len(r["key"]) for r in marked.collect()) == 24
+
+
+def test_lines_of_a_pair_are_exchanged_once(spark):
+    """A round's windows agree on the file pair, so the plan of a round holds the one exchange that lays rows by it."""
+    rows = [("p", s, i, k) for s, ks in (("a", "xayb"), ("b", "xbya")) for i, k in enumerate(ks, 1)]
+    df = spark.createDataFrame(rows, "path string, side string, line_no int, key string")
+    open_ = df.select("path", "side", "line_no", F.xxhash64("key").alias("_k1"), F.xxhash64(F.lit(1), "key").alias("_k2"), F.lit("0").alias("_gap"))
+    plan = A._settled(A._round(open_.repartition("path"), ["path"], False), ["path"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan

@@ -272,3 +272,18 @@ def test_moved_tells_how_in_one_pass_over_its_claims(spark):
     chain = lambda changed: spark.createDataFrame([(c, "y" if c in changed else "x") for c in ("both", "passes", "enters", "stays")], "claim_id string, chain string")
     got = {r["claim_id"]: (r["passed"], r["rechained"]) for r in M.moved_how(claims, anchors, chain([]), chain(["both", "enters"])).collect()}
     assert got == {"both": (True, True), "passes": (True, False), "enters": (False, True)}
+
+
+def test_next_stop_is_the_queues_first_past_the_place(spark):
+    rows = [("d1", "f", 0, "after", 1, "x"), ("d1", "f", 2, "after", 1, "x"), ("d1", "f", 2, "before", 3, "y"), ("d1", "g", 0, "after", 2, "z"), ("d2", "a", 0, "after", 1, "x"), ("d0", "z", 9, "after", 1, "q"), ("d1", "f", 2, "after", 0, None)]
+    o = spark.createDataFrame(rows, "diffset_id string, path string, frag_no int, side string, node_no int, atom string")
+    reviewers = spark.createDataFrame([(r, s) for r in (1, 2, 3, 4) for s in ("d0", "d1", "d2")], "reviewer int, diffset_id string")
+    seen = spark.createDataFrame([(2, "y"), (3, "x"), (3, "y"), (3, "z"), (4, "y"), (4, "x")], "reviewer int, atom string")
+    at = spark.createDataFrame([(r, "d1", "f", 0) for r in (1, 2, 3, 4)], "reviewer int, diffset_id string, path string, frag_no int")
+    got = {tuple(r) for r in R.next_stop(o, reviewers, seen, at).collect()}
+    queue = [r for r in sorted(R.review_queue(o, reviewers, seen).collect(), key=lambda r: r["place"]) if (r["diffset_id"], r["path"], r["frag_no"]) > ("d1", "f", 0)]
+    first = {}
+    for r in queue:
+        first.setdefault(r["reviewer"], (r["reviewer"], r["diffset_id"], r["path"], r["frag_no"], r["atom"]))
+    assert got == set(first.values()) and len(got) == 3
+    assert (1, "d1", "f", 2, "y") in got and (2, "d1", "f", 2, "x") in got and (4, "d1", "g", 0, "z") in got
