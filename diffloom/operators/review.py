@@ -86,13 +86,17 @@ def approval(outline: DataFrame, scores: DataFrame, viewed: DataFrame) -> DataFr
     least = scored.groupBy("diffset_id").agg(F.min("score").alias("least"))
     covered = covered_atoms(outline, scored).withColumn("covered", F.lit(True))
     atoms = outline.filter("atom is not null").select("diffset_id", "atom").distinct()
+    return _judged(outline.select("diffset_id").distinct(), atoms, least, covered, viewed)
+
+
+def _judged(sets: DataFrame, atoms: DataFrame, least: DataFrame, covered: DataFrame, viewed: DataFrame) -> DataFrame:
+    """The approval of every set from its atoms, its least score and the atoms that scored nodes hold."""
     state = atoms.join(covered, ["diffset_id", "atom"], "left").join(viewed.select("atom", "viewed"), "atom", "left")
     is_covered, is_viewed = F.coalesce("covered", F.lit(False)), F.coalesce("viewed", F.lit(False))
     caps = is_viewed & ~is_covered & ~F.col("atom").startswith("row:")
     counts = state.groupBy("diffset_id").agg(
         F.count(F.lit(1)).alias("edits"), F.count(F.when(is_covered | is_viewed, 1)).alias("read"), F.bool_or(caps).alias("_caps")
     )
-    sets = outline.select("diffset_id").distinct()
     rows = sets.join(counts, "diffset_id", "left").join(least, "diffset_id", "left").na.fill(0, ["edits", "read"])
     heaviest = F.when(F.col("_caps"), F.least(F.coalesce("least", F.lit(1)), F.lit(1))).otherwise(F.col("least"))
     rows = rows.withColumn("heaviest", heaviest)
@@ -104,6 +108,39 @@ def approval(outline: DataFrame, scores: DataFrame, viewed: DataFrame) -> DataFr
     return rows.select("diffset_id", state_.alias("state"), "heaviest", "read", "edits")
 
 
+class ApprovalIndex:
+    """What an approval asks of an outline, for callers that judge one outline by many states of its marks: which keys a
+    change set has, which atoms, and which keys stand on the way up from an atom. Ways are made once, by doubling, so
+    their number of rounds is the log of the depth; a judgement joins marks to distinct keys and walks no outline."""
+
+    def __init__(self, outline: DataFrame) -> None:
+        place = lambda n: F.struct(F.xxhash64("diffset_id", "path", "frag_no", "side", n), F.xxhash64(F.lit(1), "diffset_id", "path", "frag_no", "side", n))
+        up = F.when((F.col("parent") >= 0) & (F.col("parent") < F.col("node_no")), place("parent"))
+        nodes = cut(outline.select("diffset_id", "atom", "key", place("node_no").alias("at"), up.alias("to")))
+        reach = nodes.filter("atom is not null").select("diffset_id", "atom", "at")
+        hops = nodes.filter("to is not null").select("at", "to").distinct()
+        while not hops.isEmpty():
+            reach = cut(reach.unionByName(reach.join(hops, "at").select("diffset_id", "atom", F.col("to").alias("at"))))
+            hops = cut(hops.join(hops.select(F.col("at").alias("to"), F.col("to").alias("_to")), "to").select("at", F.col("_to").alias("to")))
+        keyed = nodes.filter("key is not null").select("at", "key").distinct()
+        self.holders = cut(reach.join(keyed, "at").select("diffset_id", "atom", "key").distinct())
+        self.keys = cut(nodes.filter("key is not null").select("diffset_id", "key").distinct())
+        self.atoms = cut(nodes.filter("atom is not null").select("diffset_id", "atom").distinct())
+        self.sets = cut(nodes.select("diffset_id").distinct())
+
+    def asked(self) -> DataFrame:
+        """``(diffset_id, key)``: the keys of the marks that a set's approval depends on."""
+        return self.keys.union(self.atoms).distinct()
+
+    def approval(self, sets: DataFrame, scores: DataFrame, viewed: DataFrame) -> DataFrame:
+        """``approval`` of the given ``sets`` (diffset_id)."""
+        of = lambda df: df.join(sets, "diffset_id", "left_semi")
+        given = scores.filter("score is not null").select("key", "score")
+        least = of(self.keys).join(given, "key").groupBy("diffset_id").agg(F.min("score").alias("least"))
+        covered = of(self.holders).join(given.select("key"), "key", "left_semi").select("diffset_id", "atom").distinct()
+        return _judged(of(self.sets), of(self.atoms), least, covered.withColumn("covered", F.lit(True)), viewed)
+
+
 def review_event(state: Column) -> Column:
     return F.when(state == "blocked", "REQUEST_CHANGES").when(state == "approved", "APPROVE").otherwise("COMMENT")
 

@@ -149,7 +149,8 @@ def _(d):
 @query("x6_approval_stream", "select diffset_id, state, coalesce(heaviest, 0) heaviest, read, edits from approvals")
 def _(d):
     nodes = outline(d)
-    folder = fed(d, mark_parts(d), lambda s, f: M.approval_stream(s, nodes, f))
+    index = R.ApprovalIndex(nodes)
+    folder = fed(d, mark_parts(d), lambda s, f: M.approval_stream(s, nodes, f, index))
     return M.latest(folder, d.spark, ["diffset_id"]).withColumn("heaviest", F.coalesce("heaviest", F.lit(0))).select("diffset_id", "state", "heaviest", "read", "edits")
 
 

@@ -274,6 +274,20 @@ def test_moved_tells_how_in_one_pass_over_its_claims(spark):
     assert got == {"both": (True, True), "passes": (True, False), "enters": (False, True)}
 
 
+def test_index_judges_like_the_outline(spark):
+    """One index, many states of the marks: deep ways, broken parents, and several keys and atoms on a way."""
+    deep = [("deep", "f", 0, "after", i, i - 1, f"k{i}", f"e{i}" if i in (3, 20, 40) else None) for i in range(41)]
+    broken = [("odd", "g", 0, "after", 0, 1, "u", "late"), ("odd", "g", 0, "after", 1, -1, "v", None), ("odd", "g", 0, "after", 2, 9, "w", "lost"), ("odd", "g", 0, "after", 3, 1, "x", "fine")]
+    o = spark.createDataFrame(deep + broken, "diffset_id string, path string, frag_no int, side string, node_no int, parent int, key string, atom string").cache()
+    index, sets = R.ApprovalIndex(o), o.select("diffset_id").distinct()
+    for scores, viewed in (({}, {}), ({"k4": 2, "v": 2}, {}), ({"k40": 2, "w": -2}, {"e3": True, "late": True}), ({"k0": 2, "k30": 1, "u": None}, {"fine": False})):
+        s = spark.createDataFrame(list(scores.items()), "key string, score int")
+        v = spark.createDataFrame(list(viewed.items()), "atom string, viewed boolean")
+        got, want = ({tuple(r) for r in df.collect()} for df in (index.approval(sets, s, v), R.approval(o, s, v)))
+        assert got == want and len(got) == 2
+    assert {tuple(r) for r in index.holders.filter("diffset_id = 'odd'").select("atom", "key").collect()} == {("late", "u"), ("lost", "w"), ("fine", "x"), ("fine", "v")}
+
+
 def test_next_stop_is_the_queues_first_past_the_place(spark):
     rows = [("d1", "f", 0, "after", 1, "x"), ("d1", "f", 2, "after", 1, "x"), ("d1", "f", 2, "before", 3, "y"), ("d1", "g", 0, "after", 2, "z"), ("d2", "a", 0, "after", 1, "x"), ("d0", "z", 9, "after", 1, "q"), ("d1", "f", 2, "after", 0, None)]
     o = spark.createDataFrame(rows, "diffset_id string, path string, frag_no int, side string, node_no int, atom string")
