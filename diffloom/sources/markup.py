@@ -29,7 +29,7 @@ def _pair(tags: DataFrame, by: str) -> DataFrame:
     before it is ignored; at one level of one name, an open pairs with the close that follows it."""
     name = Window.partitionBy(by, "name").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
     delta = F.when(F.col("closes"), -1).otherwise(1)
-    rows = tags.withColumn("_sum", F.sum(delta).over(name))
+    rows = tags.repartition(by).withColumn("_sum", F.sum(delta).over(name))
     # Stray closes push the balance below its floor; the floor moves down with them.
     floor = F.least(F.min("_sum").over(name), F.lit(0))
     rows = rows.withColumn("_bal", F.col("_sum") - floor)
@@ -72,14 +72,17 @@ def markup_nodes(texts: DataFrame, by: str = "blob_id") -> DataFrame:
     pieces = pieces.withColumn("end", F.sum(F.length("gap") + F.length("tag")).over(upto).cast("int"))
     pieces = pieces.withColumn("start", F.col("end") - F.length("tag"))
     part = lambda g: F.regexp_extract("tag", TAG, g)
-    tags = pieces.filter("tag <> ''").select(
-        by, "start", "end", (part(1) == "/").alias("closes"), F.lower(part(2)).alias("name"), F.trim(part(3)).alias("label")
-    )
     gap_start = F.col("start") - F.length("gap")
     trimmed = F.regexp_replace("gap", f"^{T.SPACES}|{T.SPACES}$", "")
     lead = F.length(F.regexp_extract("gap", f"^({T.SPACE}*)", 1))
-    texts_ = pieces.filter(trimmed != "").select(
-        by, (gap_start + lead).alias("start"), (gap_start + lead + F.length(trimmed)).alias("end"), F.lit("text").alias("kind"), trimmed.alias("label"),
+    # Written, since tags and texts are read apart: a text is searched and shuffled once.
+    pieces = cut(pieces.select(
+        by, "start", "end", (F.col("tag") != "").alias("tagged"), (part(1) == "/").alias("closes"), F.lower(part(2)).alias("name"), F.trim(part(3)).alias("label"),
+        (gap_start + lead).alias("text_start"), trimmed.alias("solid"),
+    ))
+    tags = pieces.filter("tagged").select(by, "start", "end", "closes", "name", "label")
+    texts_ = pieces.filter("solid <> ''").select(
+        by, F.col("text_start").alias("start"), (F.col("text_start") + F.length("solid")).alias("end"), F.lit("text").alias("kind"), F.col("solid").alias("label"),
         F.lit(None).cast("int").alias("mate"), F.lit(None).cast("int").alias("mate_start"),
     )
     elements = _pair(tags, by).filter("not closes").select(by, "start", "end", F.col("name").alias("kind"), "label", "mate", "mate_start")

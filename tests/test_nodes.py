@@ -226,3 +226,25 @@ def test_nodes_that_fill_a_range_meet_only_ranges_around_them(spark):
         inside = [i for i in range(1, 101) if first <= 3 * i - 2 and 3 * i <= last]
         want |= {("f", r, i) for i in inside} or {("f", r, next((i for i in range(1, 101) if 3 * i - 2 <= first and last <= 3 * i), 0)) } if last <= 300 else {("f", r, i) for i in inside}
     assert got == want
+
+
+def test_matching_shuffles_nodes_once(spark):
+    a = N.subtree_hash(S.markup_nodes(spark.createDataFrame([("p", PAGE)], "blob_id string, text string"))).localCheckpoint()
+    plan = N.match_nodes(a, a)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    # Versions that share all: every node meets itself, copies (two equal items) through their neighbours where these tell.
+    rows = N.match_nodes(a, a).collect()
+    assert rows and all(r["idx_a"] == r["idx_b"] for r in rows) and {r["rule"] for r in rows} <= {"unique", "neighbours"}
+
+
+def test_wrappers_do_not_make_a_unit_local(spark):
+    """A declaration below a chain of only children is a unit, whatever their kind; one beside others in a call is not."""
+    rows = [("w", 0, -1, 3, 0, "program", "", 0, 9), ("w", 1, 0, 2, 1, "call", "", 0, 9), ("w", 2, 1, 1, 2, "function", "only", 0, 9),
+            ("v", 0, -1, 4, 0, "program", "", 0, 9), ("v", 1, 0, 3, 1, "call", "", 0, 9), ("v", 2, 1, 1, 2, "function", "one", 0, 4), ("v", 3, 1, 1, 2, "name", "", 5, 9)]
+    rows += [("d", i, i - 1, 30 - i, i, "program" if i == 0 else "function" if i == 29 else "wrap", f"n{i}", 0, 9) for i in range(30)]
+    nodes = spark.createDataFrame(rows, "blob_id string, idx int, parent int, size int, depth int, kind string, label string, start int, end int")
+    got = {(r["blob_id"], r["label"]) for r in N.whole_units(nodes, nodes.select("blob_id", "idx"), ["function"], []).collect()}
+    assert got == {("w", "only"), ("d", "n29")}
+    flat = nodes.filter("blob_id <> 'd'")
+    plan = N.whole_units(flat, flat.select("blob_id", "idx"), ["function"], [])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Join") == 1
