@@ -51,6 +51,7 @@ class Index:
     begin: np.ndarray | None = None  # cell: where its postings begin
     curve: tuple[float, float, float] = (0.0, 0.0, 0.0)
     rate: float = 0.0
+    both: bool = False  # whether there are examples of both labels
     vectors: list = field(default_factory=list)  # of the examples, for the curve only
 
 
@@ -156,7 +157,8 @@ def weigh(index: Index, frequency: np.ndarray, total: int, rate: float, k: int =
     index.begin = np.append(first, len(order))
     index.start = np.searchsorted(cells, np.arange(n_terms + 1) * blocks)
     index.most = np.maximum.reduceat(index.weight, first) if len(first) else np.zeros(0)
-    if len(set(index.toxic.tolist())) == 2:
+    index.both = len(np.unique(index.toxic)) == 2
+    if index.both:
         first = np.searchsorted(d, np.arange(n_docs + 1))
         x = np.array([_signs(index, *neighbours(index, t[first[i] : first[i + 1]], w[first[i] : first[i + 1]], k, i)) for i in range(n_docs)])
         index.curve = _logistic(x, index.toxic, rate)
@@ -179,7 +181,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, rate: float) -> tuple[float, float,
 
 
 def score_of(index: Index, best: np.ndarray, cosine: np.ndarray) -> float:
-    if not len(best) or len(set(index.toxic.tolist())) < 2:
+    if not len(best) or not index.both:
         return index.rate
     vote, mean = _signs(index, best, cosine)
     c = index.curve

@@ -222,3 +222,16 @@ def test_long_runs_are_cut_between_characters():
     parts = [text[a:b].decode() for a, b in zip(starts, ends, strict=True)]
     assert "".join(parts) == text.decode().replace(" ", "") and parts[0] == "ab" and "x" * 24 in parts
     assert all(len(p.encode()) <= language.WORD_BYTES for p in parts)
+
+
+def test_labels_are_looked_through_once_not_per_text():
+    """Whether both labels have examples is told with the weights; scoring a text reads no list of labels."""
+    d, t = np.array([0, 0, 1, 2]), np.array([0, 1, 1, 2])
+    for toxic, both in (([0, 1, 0], True), ([1, 1, 1], False)):
+        index = toxicity.Index(np.arange(3).astype(np.uint64), np.ones(3), np.arange(3), np.array(toxic, np.int32), *[np.zeros(0)] * 4)
+        index.vectors = [(d, t, np.ones(4, np.int64))]
+        toxicity.weigh(index, np.array([1, 2, 1]), 3, 0.25, 2)
+        assert index.both is both
+        best, cosine = toxicity.neighbours(index, np.array([0]), np.ones(1), 2)
+        assert (toxicity.score_of(index, best, cosine) == 0.25) is not both
+        assert toxicity.score_of(index, best[:0], cosine[:0]) == 0.25
