@@ -82,6 +82,39 @@ def test_links_are_true_and_connect(spark):
         assert 100 * len(a & b) >= 85 * len(a | b)
 
 
+def test_sets_without_partner_send_a_sample_only(spark, monkeypatch):
+    """All tokens are exchanged of sets that may have a partner, the rest answers for a sample; slices of a few texts
+    and a passage that a third share tell common tokens between slices."""
+    rng, given, pairs = random.Random(11), [], []
+    passage = " ".join(f"common{i}" for i in range(12))
+    lone = [" ".join([passage] * (i % 3 == 0) + [f"w{rng.randrange(10**9)}" for _ in range(90)]) for i in range(200)]
+    rows = list(enumerate([*lone, *near_copies(random.Random(12), 60), *lone[:3], None, "", "a b", "a b c d e"]))
+    before, crossing = jaccard_join._tokens_by_range, jaccard_join._crossing
+    monkeypatch.setattr(jaccard_join, "PACK_BYTES", 1 << 14)
+    monkeypatch.setattr(jaccard_join, "_tokens_by_range", lambda texts, *rest: given.append(texts.count()) or before(texts, *rest))
+    monkeypatch.setattr(jaccard_join, "_crossing", lambda *args: pairs.append(crossing(*args)) or pairs[-1])
+    out = jaccard_join.join(documents(spark, rows), parts=9).collect()
+    want = Counter((i, n, c) for (i, _), (n, c) in zip(rows, plain_components(rows), strict=True))
+    assert Counter((r["_id"], r["n"], r["component_id"]) for r in out) == want
+    assert given[0] < 100
+
+
+def test_a_crowd_is_connected_by_hubs(spark, monkeypatch):
+    """Members of a crowd share rare tokens with texts outside of it; they still find its hub, not each other."""
+    rng, found = random.Random(13), []
+    base = [f"b{i}" for i in range(400)]
+    rare = [[f"r{k}_{i}" for i in range(6)] for k in range(150)]
+    rows = []
+    for k in range(150):  # the crowd: the text with a short run replaced by one of two members' own
+        at = rng.randrange(10, 380)
+        rows.append((k, " ".join(base[:at] + rare[k // 2] + base[at + 6 :])))
+    before = jaccard_join._crossing
+    monkeypatch.setattr(jaccard_join, "_crossing", lambda *args: found.append(before(*args).count()) or before(*args))
+    out = jaccard_join.join(documents(spark, rows), parts=4).collect()
+    assert {r["component_id"] for r in out} == {0}
+    assert found[0] < 150
+
+
 def plain_runs(words, least=12):
     found = {}
     for q in range(1, len(words) // 2 + 1):
