@@ -225,7 +225,7 @@ def _(d):
 @query("h5_whole_units")
 def _(d):
     matched = node_map(d).select("blob_id", F.col("idx_b").alias("idx"))
-    changed = later(d).filter(F.col("kind").isin(DECLARED)).select("blob_id", "idx").join(matched, ["blob_id", "idx"], "left_anti")
+    changed = later(d).filter(F.col("kind").isin(DECLARED)).select("blob_id", "idx").join(matched.hint("merge"), ["blob_id", "idx"], "left_anti")
     return N.whole_units(later(d), changed, DECLARED, ["body", "html", *DECLARED]).drop("label")
 
 

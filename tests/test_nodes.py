@@ -248,3 +248,31 @@ def test_wrappers_do_not_make_a_unit_local(spark):
     flat = nodes.filter("blob_id <> 'd'")
     plan = N.whole_units(flat, flat.select("blob_id", "idx"), ["function"], [])._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan and plan.count("Join") == 1
+
+
+def test_containers_pair_without_a_join_that_sends_the_map_through_the_driver(spark):
+    box = lambda n, *inner: f"<div>{'<p>x</p>' * n}{''.join(inner)}</div>"
+    wrapped = lambda page: "<main>" * 9 + page + "</main>" * 9
+    pages = [("flat", box(1, "<ul><li>a</li><li>b</li><li>c</li></ul>", "<ol><li>d</li><li>e</li></ol>")), ("deep", wrapped(box(0, "<ul><li>f</li><li>g</li></ul>", "<ol><li>h</li></ol>")))]
+    versions = [pages, [(n, p.replace("<li>c</li>", "<li>z</li><li>y</li>").replace("<li>h</li>", "<li>h</li><li>i</li>")) for n, p in pages]]
+    a, b = (N.subtree_hash(S.markup_nodes(spark.createDataFrame(v, "blob_id string, text string"))).localCheckpoint() for v in versions)
+    pairs = N.match_nodes(a, b).localCheckpoint()
+    out = N.match_containers(pairs, a, b)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan  # nodes deeper than a band are looked up by a join of their own, over what is found
+    flat = lambda df: df.filter("blob_id = 'flat'")
+    plan = N.match_containers(flat(pairs), flat(a), flat(b))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
+
+    met = {}
+    mates = {(r["blob_id"], r["idx_a"], r["idx_b"]) for r in pairs.collect()}
+    na, nb = a.collect(), b.collect()
+    taken = [{(p, i) for p, i, _ in mates}, {(p, j) for p, _, j in mates}]
+    for x in (r for r in na if r["size"] > 1 and (r["blob_id"], r["idx"]) not in taken[0]):
+        for y in (r for r in nb if r["size"] > 1 and (r["blob_id"], r["idx"]) not in taken[1] and (r["blob_id"], r["kind"]) == (x["blob_id"], x["kind"])):
+            n = sum(p == x["blob_id"] and x["idx"] < i < x["idx"] + x["size"] and y["idx"] < j < y["idx"] + y["size"] for p, i, j in mates)
+            if n and (dice := round(2 * n / (x["size"] + y["size"] - 2), 6)) >= 0.5:
+                met[x["blob_id"], x["idx"], y["idx"]] = (dice, n, x["kind"])
+    best = lambda k, own: max((m for m in met if m[0] == k[0] and m[own] == k[own]), key=lambda m: (met[m][:2], -m[3 - own])) == k
+    want = {(*k, met[k][2], met[k][0]) for k in met if best(k, 1) and best(k, 2)}
+    assert {tuple(r) for r in out.collect()} == want and {k[0] for k in want} == {"flat", "deep"}
