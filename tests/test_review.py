@@ -301,3 +301,26 @@ def test_next_stop_is_the_queues_first_past_the_place(spark):
         first.setdefault(r["reviewer"], (r["reviewer"], r["diffset_id"], r["path"], r["frag_no"], r["atom"]))
     assert got == set(first.values()) and len(got) == 3
     assert (1, "d1", "f", 2, "y") in got and (2, "d1", "f", 2, "x") in got and (4, "d1", "g", 0, "z") in got
+
+
+def test_bags_are_counted_in_their_row_and_align_nothing(spark):
+    import __spark_entry__ as entry
+    from diffloom.plans import registry
+
+    df = spark.createDataFrame([("b1", ["x", "y", "x", "x"]), ("b2", ["z"]), ("b3", []), ("b4", ["x"] * 300 + ["é", "E", "e"])], "owner string, words array<string>")
+    got = M.word_bags(df, ["owner"])
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    want = M.content_bag(df.select("owner", F.explode("words").alias("atom")), ["owner"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.schema["n"].dataType == want.schema["n"].dataType
+
+    registry.forget()
+    assert entry.queries()["a5_content_bags"](spark, "/root/testdata/sf0.001").count() > 0
+    assert not {"aligned", "bags", "side_texts"} & {name for _, _, name in registry._SHARED}
+
+
+def test_pairs_of_one_name_bring_their_words(spark):
+    rows = [("d", "f", "b1", True, "line", "n", 4, ["n", "x", "x", "y"]), ("d", "f", "b2", True, "line", "m", 4, ["m", "p", "q", "r"]), ("d", "f", "b3", False, "line", "n", 4, ["n", "a", "b", "c"])]
+    after = [("d", "g", "c1", True, "line", "n", 5, ["n", "x", "y", "y", "z"]), ("d", "g", "c2", True, "line", "m", 4, ["m", "p", "q", "r"]), ("d", "g", "c3", True, "line", "m", 4, ["m", "p", "q", "s"])]
+    schema = "diffset_id string, path string, block_id string, open boolean, kind string, name string, size int, words array<string>"
+    got = M.same_name_overlap(spark.createDataFrame(rows, schema), spark.createDataFrame(after, schema)).collect()
+    assert [(r["block_id_a"], r["block_id_b"], r["shared"], len(r["elements_a"])) for r in got] == [("b1", "c1", 3, 4)]
