@@ -186,3 +186,21 @@ def test_lines_of_a_pair_are_exchanged_once(spark):
     open_ = df.select("path", "side", "line_no", F.xxhash64("key").alias("_k1"), F.xxhash64(F.lit(1), "key").alias("_k2"), F.lit("0").alias("_gap"))
     plan = A._settled(A._round(open_.repartition("path"), ["path"], False), ["path"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_sides_of_an_alignment_are_deleted_once_its_lines_are_written(spark):
+    import __spark_entry__ as entry
+    from diffloom import session
+    from diffloom.plans import registry
+
+    registry.forget()
+    before = set(session._CUTS)
+    assert entry.queries()["w1_align_lines"](spark, "/root/testdata/sf0.001").count() > 0
+    made = [spark.read.parquet(path) for _, path in session._CUTS if (_, path) not in before]
+    texts = [df for df in made if "text" in df.columns]
+    assert len(texts) == 1 and "mate" in texts[0].columns  # the lines alone
+    registry.forget()
+    assert entry.queries()["w13_rescue_lines"](spark, "/root/testdata/sf0.001").count() > 0
+    entry.queries()["w1_align_lines"](spark, "/root/testdata/sf0.001")
+    sides = next(df for (_, _, name), df in registry._SHARED.items() if name == "side_texts")
+    assert sides.count() > 0  # another query's stay
